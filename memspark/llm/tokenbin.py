@@ -10,8 +10,8 @@ Chunk layout, little-endian: ``MSTB``, u8 version, u8 id width, u64 n_docs, u64
 of the boundary block, the boundary block, null flags (n_docs bytes), document ids (8 bytes each),
 ids.
 
-Speed: most texts are split at single spaces between non-spaces, where the tokenizer always starts
-a new piece; each distinct chunk of text is encoded once by the library and remembered in a bounded
+Speed: most texts are split at single spaces and newlines between non-spaces, where the tokenizer
+always starts a new piece; each distinct chunk of text is encoded once by the library and remembered in a bounded
 memo. Texts that hold a special token go to the library whole.
 
 Edge cases: null and empty texts are encoded as the end id alone; null ids sort first; repeated ids
@@ -136,7 +136,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}  # at the start of a line
+        self.rests: dict[str, bytes] = {}  # after a space
+        self.newline = self.whole("\n")
+        self.newline_id = int.from_bytes(self.newline[:4], "little")
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.splits = '"ByteLevel"' in str(self.tokenizer.pre_tokenizer.__getstate__()) and self.tokenizer.normalizer is None
@@ -152,26 +155,47 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as u32 bytes."""
-        cut: list[list[str] | None] = []
+        heads, rests = self.heads, self.rests
+        if len(heads) + len(rests) > MEMO_ENTRIES:
+            heads.clear()
+            rests.clear()
+        cut: list[list[tuple[str, list[str]]] | None] = []
+        first: set[str] = set()
+        later: set[str] = set()
         for t in texts:
             if not self.splits or self.special is not None and self.special.search(t):
                 cut.append(None)
                 continue
-            parts = t.split(" ") if _DOUBLE.search(t) is None else _SPACE.split(t)
-            cut.append([parts[0], *(" " + p for p in parts[1:])])
-        memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        fresh = list({p for parts in cut if parts for p in parts if p not in memo})
-        for at in range(0, len(fresh), 50_000):
-            some = fresh[at : at + 50_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                memo[p] = np.array(e.ids, "<u4").tobytes()
-        get = memo.__getitem__
-        return [self.whole(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, cut)]
+            lines = [x.split(" ") for x in t.split("\n")] if _DOUBLE.search(t) is None else [_SPACE.split(t)]
+            pairs = [(x[0], x[1:]) for x in lines]
+            for head, rest in pairs:
+                first.add(head)
+                later.update(rest)
+            cut.append(pairs)
+        self.learn(heads, first - heads.keys(), "")
+        self.learn(rests, later - rests.keys(), " ")
+        get, newline, out = rests.__getitem__, self.newline, []
+        for t, pairs in zip(texts, cut):
+            out.append(self.whole(t) if pairs is None else newline.join([heads[h] + b"".join(map(get, r)) for h, r in pairs]))
+        return out
+
+    def learn(self, memo: dict[str, bytes], fresh: set[str], before: str) -> None:
+        """Encode chunks: those without white space many at a time, between newlines, each a piece of its own."""
+        plain = [p for p in fresh if p and _ANY.search(p) is None]
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode("\n".join([before + p for p in part]), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(ids == self.newline_id)
+            if len(ends) != len(part) - 1:
+                raise ValueError("the tokenizer joins pieces across newlines")
+            data, bounds = ids.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(ids)]
+            memo.update(zip(part, [data[a + 4 : b] for a, b in zip(bounds, bounds[1:])]))
+        for p in fresh - memo.keys():
+            memo[p] = self.whole(before + p)
 
 
 _DOUBLE = re.compile(r"\s\s")
+_ANY = re.compile(r"\s")
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
