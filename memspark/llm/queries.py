@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, htmlcrf, langid, mixing, neardup, pii, quality, suffixdedup, tokenbin
+from . import decontam, htmlcrf, langid, lmscore, mixing, neardup, pii, quality, suffixdedup, tokenbin
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,6 +25,10 @@ def op2_decontamination(spark, sf_dir):
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scoring(spark, sf_dir):
+    return lmscore.query(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark, sf_dir):
     return htmlcrf.query(table(spark, sf_dir, "pages"))
 
@@ -62,6 +66,7 @@ def pipeline(spark, sf_dir):
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_html_extraction": op4_html_extraction,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_rules": op6_quality_rules,

@@ -2,7 +2,7 @@
 pass a floor, a second pass counts just those. No key at or above the floor is lost, and at most
 (all counts / floor) keys, plus few false alarms that the second pass removes, are ever gathered."""
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,16 +18,17 @@ def _cells(keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def heavy(rows: DataFrame, keys_of, floor) -> tuple[dict[int, int], int, int]:
-    """({key: count}, rows, total) of the keys whose count is ``floor(rows, total)`` or more.
+def heavy(rows: DataFrame, keys_of, floor) -> tuple[dict[int, tuple[int, int]], int, int]:
+    """({key: (count, tag)}, rows, total) of the keys whose count is ``floor(rows, total)`` or more.
 
-    ``keys_of(texts)`` gives for each batch of texts (keys u64, counts) arrays; ``rows`` has one column, text.
+    ``keys_of(texts)`` gives for each batch of texts (keys u64, counts, tags u64) arrays, a tag being a
+    function of its key; ``rows`` has one column, text.
     """
 
     def sketch(batches):
         cells, n, total = np.zeros(1 << BITS, np.int64), 0, 0
         for pdf in batches:
-            for keys, counts in keys_of(pdf["text"].tolist()):
+            for keys, counts, _ in keys_of(pdf["text"].tolist()):
                 cells += np.bincount(_cells(keys), counts, minlength=1 << BITS).astype(np.int64)
                 total += int(np.sum(counts))
             n += len(pdf)
@@ -35,7 +36,7 @@ def heavy(rows: DataFrame, keys_of, floor) -> tuple[dict[int, int], int, int]:
             used = [k for k in range(0, 1 << BITS, SLICE) if cells[k : k + SLICE].any()]
             yield pd.DataFrame({"slice": [-1, *used], "cells": [np.array([n, total], "<i8").tobytes(), *[cells[k : k + SLICE].astype("<i8").tobytes() for k in used]]})
 
-    def added(key, pdfs):
+    def add(key: tuple, pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = None
         for pdf in pdfs:
             for c in pdf["cells"]:
@@ -43,12 +44,6 @@ def heavy(rows: DataFrame, keys_of, floor) -> tuple[dict[int, int], int, int]:
                 out = v.copy() if out is None else out + v
         yield pd.DataFrame({"slice": [int(key[0])], "cells": [out.tobytes()]})
 
-    from collections.abc import Iterator  # noqa: PLC0415
-
-    def add(key: tuple, pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from added(key, pdfs)
-
-    add.__annotations__ = {"key": tuple, "pdfs": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
     got = rows.mapInPandas(sketch, "slice int, cells binary").groupBy("slice").applyInPandas(add, "slice int, cells binary").collect()
     sums = {r["slice"]: np.frombuffer(r["cells"], "<i8") for r in got}
     n, total = (int(x) for x in sums.pop(-1, (0, 0)))
@@ -59,22 +54,24 @@ def heavy(rows: DataFrame, keys_of, floor) -> tuple[dict[int, int], int, int]:
     shared = rows.sparkSession.sparkContext.broadcast(may)
 
     def count(batches):
-        sums: dict[int, int] = {}
+        sums: dict[tuple[int, int], int] = {}
 
         def rows_of(d):
-            return pd.DataFrame({"key": np.array(list(d), np.uint64).astype(np.int64), "n": np.array(list(d.values()), np.int64)})
+            pairs = np.array(list(d), np.uint64).reshape(-1, 2).astype(np.int64)
+            return pd.DataFrame({"key": pairs[:, 0], "tag": pairs[:, 1], "n": np.array(list(d.values()), np.int64)})
 
         for pdf in batches:
-            for keys, counts in keys_of(pdf["text"].tolist()):
+            for keys, counts, tags in keys_of(pdf["text"].tolist()):
                 hit = shared.value[_cells(keys)]
-                for k, c in zip(keys[hit].tolist(), np.asarray(counts)[hit].tolist()):
-                    sums[k] = sums.get(k, 0) + int(c)
+                for k, t, c in zip(keys[hit].tolist(), tags[hit].tolist(), counts[hit].tolist()):
+                    sums[k, t] = sums.get((k, t), 0) + c
             if len(sums) > 500_000:
                 yield rows_of(sums)
                 sums = {}
         if sums:
             yield rows_of(sums)
 
-    exact = rows.mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    exact = rows.mapInPandas(count, "key long, tag long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.min("tag").alias("tag")).where(F.col("n") >= least)
     found = exact.collect()  # at most total / least rows
-    return {r["key"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in found}, n, total
+    whole = (1 << 64) - 1
+    return {r["key"] & whole: (r["n"], r["tag"] & whole) for r in found}, n, total
