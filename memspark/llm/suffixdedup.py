@@ -9,7 +9,8 @@ text or in the same one, is removed; strings are judged on the input and never c
    that picks it. Only (gram hash, neighbourhood hash, text, place) rows are shuffled, and
    counted with partial aggregation.
 3. A neighbourhood that occurs twice is repeated throughout. Where a gram has several different
-   neighbourhoods, one of each is cut from its text; whole groups are packed into shards, a shard's
+   neighbourhoods, one of each is cut from its text, and those that share no 358 bytes around the gram
+   with another are set aside; the others are packed into shards by gram, a shard's
    suffix array is built by Larsson-Sadakane refinement in numpy, common prefixes come from Kasai's
    rule, and runs with a common prefix of 400 bytes are the repeated strings. A group larger than a
    shard is cut into several shards, merged by binary search of each one's suffixes in the others.
@@ -63,14 +64,13 @@ def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def picked(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams picked by the windows of ``data``."""
-    places, hashes = [], []
+def picked(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the grams picked by the strings of ``data``, and the first and last string
+    that picks each (every string picks one: the leftmost of least hash in it)."""
+    places, hashes, firsts, lasts = [], [], [], []
     width = length - gram + 1
-    for begin in range(0, max(1, len(data) - length + 1), _BLOCK - length):
+    for begin in range(0, len(data) - length + 1, _BLOCK - length + 1):
         part = np.frombuffer(data, np.uint8)[begin : begin + _BLOCK]
-        if len(part) < length:
-            break
         h = gram_hashes(part, gram)
         v = (h & np.uint64(0xFFFFFFFFFFE00000)) | np.arange(len(h), dtype=np.uint64)
         padded = np.full(-(-len(v) // width) * width + width, np.iinfo(np.uint64).max, np.uint64)
@@ -79,14 +79,17 @@ def picked(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
         ahead = np.minimum.accumulate(rows, axis=1).ravel()
         behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
         n = len(v) - width + 1
-        least = np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
-        at = np.unique((least & np.uint64(0x1FFFFF)).astype(np.int64))
+        chosen = (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & np.uint64(0x1FFFFF)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+        at = chosen[first]
         places.append(at + begin)
         hashes.append(h[at])
+        firsts.append(first + begin)
+        lasts.append(np.append(first[1:], n) - 1 + begin)
     if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at, first = np.unique(np.concatenate(places), return_index=True)
-    return at, np.concatenate(hashes)[first]
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, np.uint64), none, none
+    return tuple(np.concatenate(x) for x in (places, hashes, firsts, lasts))
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -101,7 +104,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     for k in range(7):  # seven bytes and how many of them there are
         key = (key << np.uint64(8)) | wide[k : n + k]
     key = (key << np.uint64(8)) | np.minimum(np.uint64(7), np.arange(n, 0, -1).astype(np.uint64))
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     new = np.concatenate([[True], key[sa][1:] != key[sa][:-1]])
     rank = np.empty(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -115,10 +118,11 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         ahead = at + reach
         second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], -1)
         group = rank[at]
-        order = np.lexsort((second, group))
+        both = group * (n + 1) + second + 1  # groups of the array are in order, so one sort does for all
+        order = np.argsort(both)
         sa[todo] = at[order]
-        g, s = group[order], second[order]
-        starts = np.concatenate([[True], (g[1:] != g[:-1]) | (s[1:] != s[:-1])])
+        both = both[order]
+        starts = np.concatenate([[True], both[1:] != both[:-1]])
         new[todo] = starts
         rank[sa[todo]] = np.maximum.accumulate(np.where(starts, todo, 0))
         reach *= 2
@@ -258,9 +262,11 @@ def repeated_windows(slices: list[bytes], origin: np.ndarray, twice: np.ndarray,
                     whose = theirs[other.slice[hit[ok]]]
                     elsewhere = (origin[whose] + other.offset[hit[ok]] != low[ok]) | twice[whose] | (low[ok] != high[ok])
                     many[ok] |= elsewhere
-        good = np.repeat(many, counts)
-        for k in np.unique(owner[good]):
-            out[k].append(shard.offset[at][good & (owner == k)])
+        good = np.flatnonzero(np.repeat(many, counts))
+        good = good[np.argsort(owner[good], kind="stable")]
+        whose, begin = np.unique(owner[good], return_index=True)
+        for k, part in zip(whose.tolist(), np.split(shard.offset[at[good]], begin[1:])):
+            out[k].append(part)
     return [np.sort(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in out]
 
 
@@ -272,8 +278,31 @@ def stretches(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]
     return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), (starts[np.concatenate([cut, [len(starts) - 1]])] + length).tolist()))
 
 
-def _hood(place: int, n: int) -> tuple[int, int]:
-    return max(0, place - LENGTH + GRAM), min(n, place + LENGTH)
+#: A string reaches left of its gram by 0 to 336 bytes; keys are taken at every STEP of them.
+STEP = 42
+
+
+def candidates(group: list[tuple[bytes, int]]) -> list[tuple[int, int] | None]:
+    """For neighbourhoods (bytes, place of the gram in them) of one gram: the part of each that can hold
+    strings of another, or None. Equal strings agree in all bytes around the gram, so for the step of
+    their reach to the left they share the key of the bytes that every such string holds."""
+    reach = LENGTH - GRAM
+    seen: dict[tuple[int, int], int] = {}
+    keys: list[list[tuple[int, int]]] = []
+    for data, at in group:
+        own = []
+        for k in range(0, reach, STEP):
+            least, most = max(k, at - (len(data) - LENGTH)), min(k + STEP - 1 if k + STEP < reach else reach, at)
+            if least <= most:  # some string here reaches that far
+                key = (k, xxhash.xxh3_64_intdigest(data[at - k : at + GRAM + max(0, reach - STEP - k)]))
+                seen[key] = seen.get(key, 0) + 1
+                own.append((key, least, most))
+        keys.append(own)
+    out: list[tuple[int, int] | None] = []
+    for (data, at), own in zip(group, keys):
+        hit = [(a, b) for key, a, b in own if seen[key] > 1]
+        out.append((at - max(b for _, b in hit), at - min(a for a, _ in hit) + LENGTH) if hit else None)
+    return out
 
 
 def _bytes(text: str | None) -> bytes:
@@ -295,9 +324,8 @@ def repeats(texts: DataFrame) -> DataFrame:
             nodes, out = [], []
             for node, text, copies in zip(pdf["node"], pdf["text"], pdf["copies"]):
                 data = _bytes(text)
-                at, h = picked(data)
-                for p, g in zip(at.tolist(), h.view(np.int64).tolist()):
-                    a, b = _hood(p, len(data))
+                at, h, first, last = picked(data)
+                for p, g, a, b in zip(at.tolist(), h.view(np.int64).tolist(), first.tolist(), (last + LENGTH).tolist()):
                     out.append((g, _signed(xxhash.xxh3_64_intdigest(data[a:b], p - a)), p, a - p, b - p, copies > 1))
                 nodes += [node] * len(at)
             if out:
@@ -332,11 +360,16 @@ def repeats(texts: DataFrame) -> DataFrame:
     cuts = written(cuts.mapInPandas(cut, "gram long, n long, hood long, twice boolean, origin long, low int, data binary"), "cuts", compression="zstd")
 
     def shards(batches):
-        held: list[tuple] = []
+        held: list[list[tuple]] = []
         size = 0
 
-        def done(rows):
-            out = []
+        def done(groups):
+            rows = []
+            for group in groups:
+                for r, part in zip(group, candidates([(r[6], -r[5]) for r in group])):
+                    if part:
+                        rows.append((*r[:4], r[4] + part[0], r[5] + part[0], r[6][part[0] : part[1]]))
+            out: list[tuple] = []
             found = repeated_windows([r[6] for r in rows], np.array([r[4] for r in rows], np.int64), np.array([r[3] for r in rows], bool))
             for r, starts in zip(rows, found):
                 out += [(r[0], r[2], r[5] + a, r[5] + b) for a, b in stretches(starts)]
@@ -344,10 +377,12 @@ def repeats(texts: DataFrame) -> DataFrame:
 
         for pdf in batches:
             for r in pdf[["gram", "n", "hood", "twice", "origin", "low", "data"]].itertuples(index=False, name=None):
-                if size >= SHARD // 2 and r[0] != held[-1][0]:
-                    yield done(held)
-                    held, size = [], 0
-                held.append(r)
+                if not held or r[0] != held[-1][-1][0]:
+                    if size >= 8 * SHARD:
+                        yield done(held)
+                        held, size = [], 0
+                    held.append([])
+                held[-1].append(r)
                 size += len(r[6])
         if held:
             yield done(held)
