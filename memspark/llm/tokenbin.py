@@ -24,9 +24,12 @@ import os
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,8 +130,12 @@ def unpack(blob: bytes) -> tuple[list, EliasFano, np.ndarray]:
 
 
 class Encoder:
-    """The tokenizers library behind a memo of text chunks."""
+    """The tokenizers library behind a memo of text chunks.
 
+    Chunks are marked by what stands before them: NEW at the start of a text, LINE after a newline, no mark
+    after a space. Splitting, and finding the different chunks of a batch, is done by Arrow."""
+
+    NEW, LINE = "\x01", "\x00"
     _loaded: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
@@ -136,12 +143,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.heads: dict[str, bytes] = {}  # at the start of a line
-        self.rests: dict[str, bytes] = {}  # after a space
+        self.memo: dict[str, bytes] = {}
+        self.marks = {c: self.whole(c) for c in ",."}
         self.newline = self.whole("\n")
         self.newline_id = int.from_bytes(self.newline[:4], "little")
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        self.bytelevel = [x.id for x in self.model.tokenize("\u0120the")] == self.tokenizer.encode(" the", add_special_tokens=False).ids
         self.splits = '"ByteLevel"' in str(self.tokenizer.pre_tokenizer.__getstate__()) and self.tokenizer.normalizer is None
 
     @classmethod
@@ -155,50 +163,96 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as u32 bytes."""
-        heads, rests = self.heads, self.rests
-        if len(heads) + len(rests) > MEMO_ENTRIES:
-            heads.clear()
-            rests.clear()
-        cut: list[list[tuple[str, list[str]]] | None] = []
-        first: set[str] = set()
-        later: set[str] = set()
-        for t in texts:
-            if not self.splits or self.special is not None and self.special.search(t):
-                cut.append(None)
-                continue
-            lines = [x.split(" ") for x in t.split("\n")] if _DOUBLE.search(t) is None else [_SPACE.split(t)]
-            pairs = [(x[0], x[1:]) for x in lines]
-            for head, rest in pairs:
-                first.add(head)
-                later.update(rest)
-            cut.append(pairs)
-        self.learn(heads, first - heads.keys(), "")
-        self.learn(rests, later - rests.keys(), " ")
-        get, newline, out = rests.__getitem__, self.newline, []
-        for t, pairs in zip(texts, cut):
-            out.append(self.whole(t) if pairs is None else newline.join([heads[h] + b"".join(map(get, r)) for h, r in pairs]))
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo.clear()
+        out: list[bytes] = [b""] * len(texts)
+        plain: list[int] = []
+        for k, t in enumerate(texts):
+            if not self.splits or any(x in t for x in self.special) or self.NEW in t or self.LINE in t:
+                out[k] = self.whole(t)
+            elif t and len(t.split()) == t.count(" ") + t.count("\n") + 1:
+                plain.append(k)
+            elif t:  # white space beside white space: split at the single spaces only
+                parts = _SPACE.split(t)
+                parts[0] = self.NEW + parts[0]
+                out[k] = b"".join(self.ids_of(parts))
+        if plain:
+            marked = pa.array([self.NEW + texts[k].replace("\n", " " + self.LINE) for k in plain], pa.large_string())
+            lists = pc.split_pattern(marked, " ")
+            chunks = lists.flatten().dictionary_encode()
+            vals = self.ids_of(chunks.dictionary.to_pylist())
+            index = chunks.indices.to_numpy()
+            size = np.array([len(v) for v in vals], np.int64) // 4
+            begin = np.cumsum(size) - size
+            lengths = size[index]
+            ends = np.cumsum(lengths)
+            ids = np.frombuffer(b"".join(vals), "<u4")[np.repeat(begin[index] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
+            bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            for k, x, y in zip(plain, bounds.tolist(), bounds[1:].tolist()):
+                out[k] = ids[x:y].tobytes()
         return out
 
-    def learn(self, memo: dict[str, bytes], fresh: set[str], before: str) -> None:
-        """Encode chunks: those without white space many at a time, between newlines, each a piece of its own."""
-        plain = [p for p in fresh if p and _ANY.search(p) is None]
+    def ids_of(self, chunks: list[str]) -> list[bytes]:
+        vals = list(map(self.memo.get, chunks))
+        fresh = {c for c, v in zip(chunks, vals) if v is None}
+        if not fresh:
+            return vals
+        self.learn(fresh)
+        return [self.memo[c] if v is None else v for c, v in zip(chunks, vals)]
+
+    def learn(self, fresh: set[str]) -> None:
+        """Encode chunks: those without white space many at a time, between newlines, each a piece of its
+        own; a comma or full stop after a letter is a piece of its own too."""
+        memo, new, line = self.memo, self.NEW, self.LINE
+        tails = {c for c in fresh if c[-1:] in (",", ".") and c[-2:-1].isalpha() and _ANY.search(c) is None}
+        plain = [c for c in (fresh - tails) | {c[:-1] for c in tails} - memo.keys() if c and c != new and c != line and _ANY.search(c) is None]
+        other = []
+        for c in plain:
+            head = c[0] == new or c[0] == line
+            word = c[1:] if head else c
+            if not self.bytelevel or not word.isalpha() or max(word) >= "\u0250":
+                other.append(c)
+                continue
+            # a word of letters is one piece: straight to the library's merge model
+            shown = ("" if head else "\u0120") + (word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN))
+            ids = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+            memo[c] = self.newline + ids if c[0] == line else ids
+        plain = other
         for at in range(0, len(plain), 20_000):
             part = plain[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode("\n".join([before + p for p in part]), add_special_tokens=False).ids, "<u4")
+            joined = "\n".join([c[1:] if c[0] == new or c[0] == line else " " + c for c in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(ids == self.newline_id)
             if len(ends) != len(part) - 1:
                 raise ValueError("the tokenizer joins pieces across newlines")
             data, bounds = ids.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(ids)]
-            memo.update(zip(part, [data[a + 4 : b] for a, b in zip(bounds, bounds[1:])]))
-        for p in fresh - memo.keys():
-            memo[p] = self.whole(before + p)
+            for c, a, b in zip(part, bounds, bounds[1:]):
+                memo[c] = self.newline + data[a + 4 : b] if c[0] == line else data[a + 4 : b]
+        for c in tails:
+            memo[c] = memo[c[:-1]] + self.marks[c[-1]]
+        for c in fresh - memo.keys():
+            memo[c] = self.newline + self.whole(c[1:]) if c[:1] == line else self.whole(c[1:] if c[:1] == new else " " + c)
 
 
-_DOUBLE = re.compile(r"\s\s")
+#: How a byte-level model shows bytes: printable Latin-1 as itself, the others from U+0100 on.
+_SHOWN = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}
 _ANY = re.compile(r"\s")
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
+def gathered(batches, chars: int = 8 << 20):
+    """Join Arrow batches up to some characters of text: the larger, the fewer different chunks."""
+    held, size = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        size += int(pdf["text"].str.len().sum())
+        if size >= chars:
+            yield pd.concat(held)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held)
+
+
 def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = END_ID, chunk_ids: int = CHUNK_IDS) -> str:
     """Encode ``docs`` and write the chunk table; returns its path."""
     spark = prepare(docs.sparkSession)
@@ -214,7 +268,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id:
         lengths: list[int] = []
         held: list[bytes] = []
         size = 0
-        for pdf in batches:
+        for pdf in gathered(batches):
             texts = pdf["text"].tolist()
             for key, null, ids in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), encoder.encode(texts)):
                 keys.append(None if null else int(key))
