@@ -26,11 +26,19 @@ def tokenize(text) -> Column:
     return F.transform(F.flatten(F.transform(split, lambda x: F.when(F.size(x["parts"]) > 0, x["parts"]).otherwise(F.array(x["run"])))), F.lower)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once (a lambda's argument is not computed again)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def features(text) -> Column:
     """Tokens and the pairs of neighbours."""
-    t = tokenize(text)
-    pairs = F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: F.concat(F.element_at(t, i + 1), F.lit("_"), x))
-    return F.concat(t, F.when(F.size(t) > 1, pairs).otherwise(F.array().cast("array<string>")))
+
+    def with_pairs(t):
+        n = F.greatest(F.size(t) - 1, F.lit(0))
+        return F.concat(t, F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat(a, F.lit("_"), b)))
+
+    return let(tokenize(text), with_pairs)
 
 
 def infer_query_types(query) -> Column:

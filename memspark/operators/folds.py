@@ -167,7 +167,7 @@ def greedy_clusters(rows: DataFrame, threshold: float, min_size: int = 3, key: s
         return pd.DataFrame({key: pdf[key].to_numpy(), "id": pdf["id"].to_numpy(), "place": pdf["place"].to_numpy(), "anchor_id": pdf["id"].to_numpy()[of], "anchor_place": pdf["place"].to_numpy()[of]})
 
     def claim(group: tuple, free: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({key: [], "id": [], "place": [], "anchor_id": [], "anchor_place": []})
+        empty = pd.DataFrame([], columns=[key, "id", "place", "anchor_id", "anchor_place"])
         if not len(free) or not len(a):
             return empty
         a = a.sort_values("place")
@@ -175,6 +175,8 @@ def greedy_clusters(rows: DataFrame, threshold: float, min_size: int = 3, key: s
         hit = sims.any(axis=1)
         first = sims.argmax(axis=1)[hit]
         f = free[hit]
+        if not len(f):
+            return empty
         return pd.DataFrame({key: f[key].to_numpy(), "id": f["id"].to_numpy(), "place": f["place"].to_numpy(), "anchor_id": a["id"].to_numpy()[first], "anchor_place": a["place"].to_numpy()[first]})
 
     shape = f"{key} {rows.schema[key].dataType.simpleString()}, id {kind}, place int, anchor_id {kind}, anchor_place int"

@@ -250,11 +250,11 @@ def touch(spark, d):
     return dml.touch(e, e.where("outcome = 'success'").select("id"), NOW).select("id", "last_access_at", "access_count")
 
 
-@query(sql("facts", body="SELECT f.id, coalesce(CASE WHEN l.quality = 0 THEN upper(f.summary) END, f.content) AS content FROM facts f LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) l ON f.doc_id = l.doc_id"))
+@query(sql("facts", body="SELECT f.id, coalesce(CASE WHEN l.quality = 0 THEN reverse(f.summary) END, f.content) AS content FROM facts f LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) l ON f.doc_id = l.doc_id"))
 def patch_content(spark, d):
     f = views.facts(spark, d)
     low = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 0").select("doc_id")
-    patches = f.join(low, "doc_id").select("id", F.upper("summary").alias("content"), F.lit(None).cast("array<float>").alias("embedding"))
+    patches = f.join(low, "doc_id").select("id", F.reverse("summary").alias("content"), F.lit(None).cast("array<float>").alias("embedding"))
     state = MemoryState.empty(spark, memories=layers.memory_rows(f.drop("doc_id"), NOW))
     return dml.patch_content(state, patches, NOW).memories.select("id", "content")
 
@@ -386,7 +386,7 @@ def action_mode(spark, d):
     return e.groupBy("agent", "action").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("at")).groupBy("agent").agg(F.max_by("action", F.struct("n", -F.col("at"))).alias("action"))
 
 
-@query(sql("episodes", body="SELECT agent, string_agg(action, ',' ORDER BY at) AS steps FROM (SELECT agent, action, min(event_id) AS at FROM episodes GROUP BY agent, action) GROUP BY agent"))
+@query(sql("episodes", body="SELECT agent, string_agg(action, ',' ORDER BY seen) AS steps FROM (SELECT agent, action, min(event_id) AS seen FROM episodes GROUP BY agent, action) GROUP BY agent"))
 def ordered_steps(spark, d):
     e = views.events(spark, d).groupBy("agent", "action").agg(F.min("event_id").alias("at"))
     return e.groupBy("agent").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "action"))), lambda x: x["action"]), ",").alias("steps"))
@@ -396,7 +396,7 @@ def ordered_steps(spark, d):
 def greedy_clusters(spark, d):
     v = views.vectors(spark, d)
     rows = v.withColumn("place", F.row_number().over(Window.partitionBy("workspace").orderBy("id"))).select("workspace", "id", "place", "embedding")
-    return folds.greedy_clusters(rows, 0.55, 3)
+    return folds.greedy_clusters(rows, 0.25, 3)
 
 
 @query()
