@@ -42,10 +42,30 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Where a pipeline notes its stage's tables, so that the next stage can drop them; None outside pipelines.
+_noted: list[str] | None = None
+
+
+def next_stage(spark: SparkSession) -> None:
+    """Drop the tables of the pipeline's stage before, whose result is stored by now, and note the next one's."""
+    global _noted
+    for path in _noted or ():
+        drop_path(spark, path)
+    _noted = []
+
+
+def end_stages(spark: SparkSession) -> None:
+    global _noted
+    next_stage(spark)
+    _noted = None
+
+
 def written(df: DataFrame, kind: str, **options) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder."""
     spark = df.sparkSession
     path = fresh_path(spark, kind)
+    if _noted is not None:
+        _noted.append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
