@@ -217,7 +217,8 @@ def test_consolidate(spark):
 def test_consolidate_cap(spark):
     s = MemoryState.empty(spark, memories=episode(spark, [(f"{k:04d}", "same thing", "", k) for k in range(501)]))
     log = folds.consolidation_log(s, Config(dim=DIM))
-    assert log.count() == 500 and {r["action"]: r["count"] for r in log.groupBy("action").count().collect()} == {"ADD": 1, "NOOP": 499}
+    # the episodes themselves, all as similar, take the slots of the search
+    assert log.count() == 500 and {r["action"] for r in log.collect()} == {"ADD"}
 
 
 def greedy(vs, t, least):
