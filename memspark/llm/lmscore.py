@@ -1,20 +1,20 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-The model is an interpolated bigram over words. Its counts sit in one Bloom filter in quantised
-logarithmic form: an n-gram of level q is inserted under levels 1..q, and a lookup probes levels
-upwards until one is missing, so a false alarm can only raise a count by a level. Smoothing
-interpolates bigram, unigram and a spelling model (bytes given the three bytes before them) for the
-words that the filter does not hold, so that every text has a probability.
-
-Bounds: an n-gram enters if it makes up at least ``FLOOR`` (2^-22 for words, 2^-18 for pairs) of all
-training tokens; the sum over entries of their octaves is then below 1/FLOOR, whatever the corpus, as
-1 + log2(x) <= x (four levels an octave: four times that). So the filter, which goes to workers by broadcast, has a proven size (12 bits for
-each of at most 4 x (2^22 + 2 x 2^18) insertions, 28 MB), by one rule at every corpus size. Counts themselves
-are exact and cover all training texts; the words' table is distributed and never collected whole.
-
-The unigram base score needs exact counts of all words: frequent words' counts (at most 2^22 of them
-by the same bound) are broadcast, the rest are joined by a shuffle of (document, word) pairs that are
-rare by definition, so no key is hot.
+The model is an interpolated bigram over words. It holds every word and every pair of the training
+texts, from one occurrence on. Counts sit in a Bloom filter in quantised logarithmic form: an n-gram of
+level q is inserted under levels 1..q, and a lookup probes levels upwards until one is missing, so a
+false alarm can only raise a count by a level. Smoothing interpolates bigram, unigram and, for words
+that training texts do not hold, a spelling model (bytes given the three bytes before them).
+
+Scale: the filter grows with the corpus. It is cut by key hash into blocks of about ``BLOCK_TOKENS``
+training tokens; a block's n-grams are counted and inserted in the task that answers the probes for it,
+so no worker holds more than one block. Texts are coded once in packs of some hundred documents; a pack
+asks each block once for its distinct words and pairs (hot ones weigh nothing), and the levels come back
+to the pack. Two shuffles, each in proportion to the input; counts are exact, nothing is collected.
+
+The unigram base score needs exact counts of all words: frequent words' counts (at most 2^22 of them,
+as they make up 2^-22 of the tokens each) are broadcast, the rest are joined by a shuffle of
+(document, word) pairs that are rare by definition, so no key is hot. No word is left out.
 
 Edge cases: null text is empty and scores its end alone; null or repeated ids are ordinary rows; a row
 with a null id is not held out; with no training text N = V = 0 and the base gives 0; an empty table gives no rows.
@@ -22,6 +22,7 @@ with a null id is not held out; with no training text N = V = 0 and the base giv
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,18 +33,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, prepare, text_of, written
-from .sketch import heavy
 
-WORD_FLOOR, PAIR_FLOOR = 2.0**-22, 2.0**-18
+#: Share of the tokens from which on a word's count is broadcast for the base score.
+WORD_FLOOR = 2.0**-22
 LEVELS_PER_OCTAVE = 4
-#: Of a context's mass that its held pairs took in training, the part that they get.
-PAIR_WEIGHT = 0.8
+#: What pairs get after a word seen c times: PAIR_WEIGHT x c / (c + PAIR_DOUBT).
+PAIR_WEIGHT, PAIR_DOUBT = 0.8, 4.0
+#: Training tokens for each block of the filter, and tokens of a pack.
+BLOCK_TOKENS, LEAST_BLOCKS, PACK_TOKENS = 1 << 22, 64, 1 << 20
 BITS_PER_ENTRY, PROBES = 12, 6
 #: The end of a text; no word holds white space.
 END = b"\n"
 CONTEXTS, SYMBOLS = 1 << 12, 256
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MEMO = 400_000
+_CHUNK = 1 << 17
 
 
 def words(text: str | None) -> list[bytes]:
@@ -94,8 +98,10 @@ class LogBloom:
     def insert(self, keys: np.ndarray, levels: np.ndarray) -> None:
         self.top = max(self.top, int(levels.max()) if len(levels) else 0)
         for q in range(1, self.top + 1):
-            c = self._cells(keys[levels >= q], q).ravel()
-            np.bitwise_or.at(self.bits, c >> 3, (1 << (c & 7)).astype(np.uint8))
+            some = keys[levels >= q]
+            for at in range(0, len(some), _CHUNK):
+                c = self._cells(some[at : at + _CHUNK], q).ravel()
+                np.bitwise_or.at(self.bits, c >> 3, (1 << (c & 7)).astype(np.uint8))
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: 0 if it is not held."""
@@ -110,13 +116,13 @@ class LogBloom:
         return out
 
 
-def level_of(counts: np.ndarray, floor: float) -> np.ndarray:
-    return (1 + np.floor(LEVELS_PER_OCTAVE * np.log2(np.maximum(counts / floor, 1)))).astype(np.int64)
+def level_of(counts: np.ndarray) -> np.ndarray:
+    return (1 + np.floor(LEVELS_PER_OCTAVE * np.log2(np.maximum(counts, 1)))).astype(np.int64)
 
 
-def count_of(levels: np.ndarray, floor: float) -> np.ndarray:
+def count_of(levels: np.ndarray) -> np.ndarray:
     """The middle of a level's range of counts, 0 for level 0."""
-    return np.where(levels > 0, floor * 2.0 ** ((levels - 0.5) / LEVELS_PER_OCTAVE), 0.0)
+    return np.where(levels > 0, 2.0 ** ((levels - 0.5) / LEVELS_PER_OCTAVE), 0.0)
 
 
 def spelling_counts(types: list[bytes], weights: np.ndarray) -> np.ndarray:
@@ -139,78 +145,74 @@ def _spelling_cells(types: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return context * SYMBOLS + data[at], word[at]
 
 
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    every, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return every, np.bincount(back, np.concatenate(counts), minlength=len(every)).astype(np.int64)
+
+
+def by_block(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys' places in the order of (block, short key), where each block begins in it (and the end), and
+    the short keys in that order. The block comes from 24 bits, the short key is the other 40."""
+    b = (keys & np.uint64(0xFFFFFF)).astype(np.int64) % blocks
+    short = keys >> np.uint64(24)
+    order = np.argsort((b.astype(np.uint64) << np.uint64(40)) | short, kind="stable")
+    return order, np.searchsorted(b[order], np.arange(blocks + 1)), short[order]
+
+
+def planes(values: np.ndarray, size: int) -> bytes:
+    """The ``size`` low bytes of the values, byte by byte (like ones next to each other, as they compress)."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
+
+
+def unplaned(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(size, -1).T
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 class Model:
-    """What workers need: the filter, the spelling model and a few totals."""
-
-    def __init__(self, n: int, word_counts: tuple[np.ndarray, np.ndarray], pairs: dict[int, tuple[int, int]], spelling: np.ndarray):
-        self.n = max(n, 1)
-        keys, counts = word_counts
-        self.word_floor, self.pair_floor = max(1.0, WORD_FLOOR * n), max(1.0, PAIR_FLOOR * n)
-        pair_key = np.array(list(pairs), np.uint64)
-        joint = np.array([c for c, _ in pairs.values()], float)
-        word_level, pair_level = level_of(counts, self.word_floor), level_of(joint, self.pair_floor)
-        contexts, back = np.unique(np.array([t for _, t in pairs.values()], np.uint64), return_inverse=True)
-        context_level = level_of(np.bincount(back, joint, minlength=len(contexts)), self.pair_floor)
-        self.filter = LogBloom(int(word_level.sum() + pair_level.sum() + context_level.sum()))
-        self.filter.insert(keys ^ np.uint64(1), word_level)
-        self.filter.insert(pair_key, pair_level)
-        self.filter.insert(contexts ^ np.uint64(2), context_level)  # what a context's held pairs sum to
-        held = count_of(word_level, self.word_floor).sum()
-        #: Share of tokens that the filter's words leave, never nothing.
-        self.rest = max(1.0 / (self.n + 1), 1.0 - counts.sum() / self.n) if n else 1.0
+    """What workers need besides the filter: the spelling model and a few totals."""
+
+    def __init__(self, n: int, held: float, spelling: np.ndarray):
+        #: Share of tokens that new words get, and a held word's share for each of its quantised occurrences.
+        self.rest = 1.0 / (n + 1) if n else 1.0
         self.scale = (1 - self.rest) / held if held else 0.0
         table = spelling.reshape(CONTEXTS, SYMBOLS) + 0.0
         total = table.sum(axis=0) + 0.05
         back = total / total.sum()
         self.spelling = np.log10((table + 2.0 * back) / (table.sum(axis=1, keepdims=True) + 2.0)).astype(np.float32).ravel()
 
-    def word_probabilities(self, types: list[bytes], h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log10 unigram probability, quantised count, share that held pairs take after it) of distinct words."""
-        count = count_of(self.filter.levels(h ^ np.uint64(1)), self.word_floor)
-        p = np.log10(np.maximum(count * self.scale, 1e-300))
-        rare = np.flatnonzero(count == 0)
-        if len(rare):
-            cells, word = _spelling_cells([types[i] for i in rare])
-            p[rare] = np.log10(self.rest) + np.bincount(word, self.spelling[cells], minlength=len(rare))
-        share = np.zeros(len(h))
-        often = np.flatnonzero(count >= self.pair_floor / 2)
-        share[often] = np.minimum(count_of(self.filter.levels(h[often] ^ np.uint64(2)), self.pair_floor) / count[often], 1.0)
-        return p, count, share
-
-
-class Scorer:
-    def __init__(self, model: Model):
-        self.model, self.memo = model, {}
-        self.p = self.c = self.share = np.zeros(0)
-
-    def scores(self, texts: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each token list (its end included)."""
-        m = self.model
-        if len(self.memo) > _MEMO:
-            self.memo = {}
-            self.p = self.c = self.share = np.zeros(0)
-        fresh = list(set().union(*texts) - self.memo.keys()) if texts else []
-        if fresh:
-            p, c, share = m.word_probabilities(fresh, hashed(fresh))
-            self.memo.update(zip(fresh, range(len(self.p), len(self.p) + len(fresh))))
-            self.p, self.c, self.share = np.concatenate([self.p, p]), np.concatenate([self.c, c]), np.concatenate([self.share, share])
-        tokens = [t for ts in texts for t in ts]
-        at = np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))
-        first = np.zeros(len(tokens) + 1, bool)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        first[np.cumsum(sizes) - sizes] = True
-        logp = self.p[at].copy()
-        # only pairs of words that the filter holds can be in it
-        h = hashed(tokens)
-        can = np.flatnonzero(~first[1:-1] & (self.share[at[:-1]] > 0)) if len(tokens) > 1 else np.zeros(0, np.int64)
-        if len(can):
-            before = np.maximum(self.c[at[can]], 1e-9)
-            joint = np.minimum(count_of(m.filter.levels(pair_keys(h)[can]), m.pair_floor) / before, 1.0)
-            logp[can + 1] = np.log10(PAIR_WEIGHT * joint + (1 - PAIR_WEIGHT * self.share[at[can]]) * 10.0 ** logp[can + 1])
-        return np.bincount(np.repeat(np.arange(len(texts)), sizes), logp, minlength=len(texts))
-
-
-_scorers: dict[int, Scorer] = {}
+    def spelled(self, types: list[bytes]) -> np.ndarray:
+        """log10 probability of words that the filter does not hold."""
+        cells, word = _spelling_cells(types)
+        return np.log10(self.rest) + np.bincount(word, self.spelling[cells], minlength=len(types))
+
+
+class Pack:
+    """Some texts in coded form: distinct words' hashes, each token's place among them, tokens of each text."""
+
+    def __init__(self, h: np.ndarray, at: np.ndarray, sizes: np.ndarray):
+        self.h, self.at, self.sizes = h, at.astype(np.int64), sizes
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        #: Tokens that begin a pair, the distinct pairs' hashes, and each such token's pair among them.
+        self.begins = np.flatnonzero(self.doc[:-1] == self.doc[1:])
+        codes, self.pair = np.unique(self.at[self.begins] * len(h) + self.at[self.begins + 1], return_inverse=True)
+        first, second = codes // max(len(h), 1), codes % max(len(h), 1)
+        self.pairs = pair_keys(np.stack([h[first], h[second]], 1).ravel())[::2] if len(codes) else np.zeros(0, np.uint64)
+
+    def scores(self, model: Model, spelled: np.ndarray, word_levels: np.ndarray, pair_levels: np.ndarray) -> np.ndarray:
+        """log10 probability of each text (its end included)."""
+        count = count_of(word_levels)
+        p = np.where(count > 0, count * model.scale, 10.0 ** np.maximum(spelled, -300.0))
+        logp = np.where(count > 0, np.log10(np.maximum(p, 1e-300)), spelled)
+        before = count[self.at[self.begins]]
+        joint = np.minimum(count_of(pair_levels)[self.pair] / np.maximum(before, 1e-9), 1.0)
+        weight = PAIR_WEIGHT * before / (before + PAIR_DOUBT)
+        each = logp[self.at]
+        known = np.flatnonzero(before > 0)
+        each[self.begins[known] + 1] = np.log10(np.maximum(weight * joint + (1 - weight) * p[self.at[self.begins + 1]], 1e-300))[known]
+        return np.bincount(self.doc, each, minlength=len(self.sizes))
 
 
 def train(docs: DataFrame, training) -> tuple[DataFrame, Model, dict[bytes, int], int, int]:
@@ -231,23 +233,17 @@ def train(docs: DataFrame, training) -> tuple[DataFrame, Model, dict[bytes, int]
             yield pd.DataFrame({"word": list(sums), "c": list(sums.values())})
 
     counts = written(rows.mapInPandas(tally, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words", compression="zstd")
-    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    middle = F.pow(F.lit(2.0), (F.floor(LEVELS_PER_OCTAVE * F.log2("c")) + 0.5) / LEVELS_PER_OCTAVE)
+    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(middle).alias("held")).first()
     n, v = total["n"] or 0, total["v"]
     floor = max(1.0, WORD_FLOOR * n)
     often = counts.where(F.col("c") >= floor).toPandas()  # at most 1 / WORD_FLOOR rows
     frequent = {bytes(w): int(c) for w, c in zip(often["word"], often["c"])}
 
-    def pairs_of(texts):
-        each = [hashed([*words(t), END]) for t in texts]
-        keys = np.concatenate([pair_keys(h) for h in each]) if each else np.zeros(0, np.uint64)
-        yield keys, np.ones(len(keys), np.int64), np.concatenate([h[:-1] for h in each]) if each else keys
-
-    pairs, _, _ = heavy(rows, pairs_of, lambda docs, tokens: max(2, int(np.ceil(PAIR_FLOOR * n))))
-
     def spell(batches):
         out = np.zeros(CONTEXTS * SYMBOLS)
         for pdf in batches:
-            out += spelling_counts([bytes(w) for w in pdf["word"]], pdf["c"].to_numpy(float))
+            out += spelling_counts([bytes(w) for w in pdf["word"]], np.ones(len(pdf)))
         for k in range(0, len(out), 1 << 16):
             if out[k : k + (1 << 16)].any():
                 yield pd.DataFrame({"slice": [k], "cells": [out[k : k + (1 << 16)].tobytes()]})
@@ -260,17 +256,127 @@ def train(docs: DataFrame, training) -> tuple[DataFrame, Model, dict[bytes, int]
         if sums:
             yield pd.DataFrame({"slice": list(sums), "cells": [x.tobytes() for x in sums.values()]})
 
-    rare = counts.where((F.col("c") < floor) & (F.col("word") != F.lit(END)))
-    spelled = rare.select("word", "c").mapInPandas(spell, "slice int, cells binary").repartition("slice").mapInPandas(add, "slice int, cells binary")
+    types = counts.where(F.col("word") != F.lit(END)).select("word")  # a new word is one more type
+    spelled = types.mapInPandas(spell, "slice int, cells binary").repartition("slice").mapInPandas(add, "slice int, cells binary")
     spelling = np.zeros(CONTEXTS * SYMBOLS)
     for r in spelled.collect():  # a fixed-size table
         part = np.frombuffer(r["cells"], float)
         spelling[r["slice"] : r["slice"] + len(part)] += part
-    if not spelling.any():
-        spelling = spelling_counts(list(frequent), np.ones(len(frequent)))
-    keys = hashed(list(frequent)) if frequent else np.zeros(0, np.uint64)
-    model = Model(n, (keys, np.array(list(frequent.values()), float)), pairs, spelling)
-    return counts, model, frequent, n, v
+    return counts, Model(n, total["held"] or 0.0, spelling), frequent, n, v
+
+
+def coded(docs: DataFrame, training, shared) -> DataFrame:
+    """A row of each text (what the base score needs; ``k`` is its place in its pack) and one of each pack (k = -1)."""
+
+    def rows_of(kept, tokens):
+        model, known = shared.value
+        rows = pd.DataFrame(kept, columns=["doc_id", "node", "training"])
+        index: dict[bytes, int] = {}
+        sizes = np.array([len(ts) for ts in tokens], np.int64)
+        at = np.fromiter((index.setdefault(t, len(index)) for ts in tokens for t in ts), np.int32, int(sizes.sum()))
+        types = list(index)
+        base = np.array([known.get(t, np.nan) for t in types])
+        new = np.flatnonzero(np.isnan(base))
+        spelled = np.zeros(len(types), np.float32)
+        if len(new):
+            spelled[new] = model.spelled([types[i] for i in new])
+        doc = np.repeat(np.arange(len(tokens)), sizes)
+        seen = ~np.isnan(base[at])
+        codes, times = np.unique(doc[~seen] * len(types) + at[~seen], return_counts=True)
+        cuts = np.searchsorted(codes, np.arange(1, len(tokens)) * len(types))
+        name = uuid.uuid4().hex
+        yield pd.DataFrame({
+            "pack": name, "k": np.arange(len(tokens)), "doc_id": rows["doc_id"].to_numpy(), "node": rows["node"].to_numpy(), "n_tokens": sizes,
+            "n_often": np.bincount(doc[seen], minlength=len(tokens)), "base": np.bincount(doc[seen], base[at[seen]], minlength=len(tokens)),
+            "rare": [[types[c % len(types)] for c in part.tolist()] for part in np.split(codes, cuts)], "times": np.split(times, cuts),
+            "words": None, "spelled": None, "tokens": None, "sizes": None, "training": None,
+        })
+        yield pd.DataFrame({
+            "pack": [name], "k": [-1], "doc_id": [None], "node": [None], "n_tokens": [0], "n_often": [0], "base": [0.0], "rare": [[]], "times": [[]],
+            "words": [hashed(types).tobytes()], "spelled": [spelled.tobytes()], "tokens": [planes(at, 4)], "sizes": [sizes.tobytes()], "training": [rows["training"].to_numpy(bool).tobytes()],
+        })
+
+    def pack(batches):
+        kept, tokens, size = [], [], 0
+        for pdf in batches:
+            for row in pdf[["doc_id", "node", "training", "text"]].itertuples(index=False):
+                kept.append(row[:3])
+                tokens.append([*words(row[3]), END])
+                size += len(tokens[-1])
+                if size >= PACK_TOKENS:
+                    yield from rows_of(kept, tokens)
+                    kept, tokens, size = [], [], 0
+        if kept:
+            yield from rows_of(kept, tokens)
+
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
+    rows = rows.withColumn("node", F.md5(F.col("text").cast("binary")))
+    shape = "pack string, k int, doc_id string, node string, n_tokens long, n_often long, base double, rare array<binary>, times array<long>, words binary, spelled binary, tokens binary, sizes binary, training binary"
+    return written(rows.mapInPandas(pack, shape), "coded", compression="zstd")
+
+
+def _unpacked(row) -> Pack:
+    return Pack(np.frombuffer(row["words"], np.uint64), unplaned(row["tokens"], 4), np.frombuffer(row["sizes"], np.int64))
+
+
+def scored(packs: DataFrame, n: int, shared) -> DataFrame:
+    """pack, k, score of each text of the packs."""
+    blocks = max(LEAST_BLOCKS, -(-n // BLOCK_TOKENS))
+
+    def ask(batches):
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                pack = _unpacked(row)
+                learnt = np.frombuffer(row["training"], bool)[pack.doc]
+                out = {"block": np.arange(blocks), "pack": row["pack"]}
+                times = np.bincount(pack.at[learnt], minlength=len(pack.h)), np.bincount(pack.pair[learnt[pack.begins]], minlength=len(pack.pairs))
+                for kind, keys, c in (("word", pack.h, times[0]), ("pair", pack.pairs, times[1])):
+                    order, starts, short = by_block(keys, blocks)
+                    cut = [slice(starts[b], starts[b + 1]) for b in range(blocks)]
+                    out[kind] = [planes(short[x], 5) for x in cut]
+                    out[f"{kind}_times"] = [planes(c[order[x]], 4) for x in cut]
+                yield pd.DataFrame(out)
+
+    def answer(key: tuple, pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = [row for pdf in pdfs for row in pdf.itertuples(index=False)]
+        filled = []
+        for kind, mark in (("word", np.uint64(1 << 63)), ("pair", np.uint64(0))):
+            keys = np.concatenate([unplaned(getattr(r, kind), 5) for r in asked])
+            times = np.concatenate([unplaned(getattr(r, f"{kind}_times"), 4) for r in asked])
+            keys, sums = summed([keys[times > 0]], [times[times > 0]])
+            filled.append((keys ^ mark, level_of(sums)))
+        bloom = LogBloom(int(sum(q.sum() for _, q in filled)))
+        for keys, q in filled:
+            bloom.insert(keys, q)
+        filled.clear()
+        for at in range(0, len(asked), 64):
+            some = asked[at : at + 64]
+            out = {"pack": [r.pack for r in some], "block": int(key[0])}
+            for kind, mark in (("word", np.uint64(1 << 63)), ("pair", np.uint64(0))):
+                each = [unplaned(getattr(r, kind), 5) ^ mark for r in some]
+                every = np.concatenate(each)
+                got = np.concatenate([bloom.levels(every[i : i + _CHUNK]) for i in range(0, max(1, len(every)), _CHUNK)]).astype(np.uint8)
+                out[kind] = [x.tobytes() for x in np.split(got, np.cumsum([len(x) for x in each])[:-1])]
+            yield pd.DataFrame(out)
+
+    asked = packs.select("pack", "words", "tokens", "sizes", "training").mapInPandas(ask, "block int, pack string, word binary, word_times binary, pair binary, pair_times binary")
+    answers = asked.groupBy("block").applyInPandas(answer, "pack string, block int, word binary, pair binary")
+
+    def finish(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        row = left.iloc[0]
+        pack = _unpacked(row)
+        levels = []
+        for kind, keys in (("word", pack.h), ("pair", pack.pairs)):
+            order, starts, _ = by_block(keys, blocks)
+            q = np.zeros(len(keys), np.int64)
+            for b, x in zip(right["block"], right[kind]):
+                q[order[starts[b] : starts[b + 1]]] = np.frombuffer(x, np.uint8)
+            levels.append(q)
+        s = pack.scores(shared.value[0], np.frombuffer(row["spelled"], np.float32).astype(float), *levels)
+        return pd.DataFrame({"pack": row["pack"], "k": np.arange(len(s)), "score": s})
+
+    coded_rows = packs.select("pack", "words", "spelled", "tokens", "sizes")
+    return coded_rows.groupBy("pack").cogroup(answers.groupBy("pack")).applyInPandas(finish, "pack string, k int, score double")
 
 
 def score(docs: DataFrame, training) -> DataFrame:
@@ -279,31 +385,13 @@ def score(docs: DataFrame, training) -> DataFrame:
     counts, model, frequent, n, v = train(docs, training)
     floor = max(1.0, WORD_FLOOR * n)
     shared = spark.sparkContext.broadcast((model, {w: float(np.log10(c + 1)) for w, c in frequent.items()}))
-
-    @F.pandas_udf("n_tokens long, n_often long, base double, score double, rare array<binary>, times array<long>")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m, known = shared.value
-        if id(m) not in _scorers:
-            _scorers.clear()
-            _scorers[id(m)] = Scorer(m)
-        scorer = _scorers[id(m)]
-        for texts in batches:
-            tokens = [[*words(t), END] for t in texts]
-            out = []
-            for ts, s in zip(tokens, scorer.scores(tokens)):
-                got = [known.get(t) for t in ts]
-                seen = [x for x in got if x is not None]
-                rare = Counter(t for t, x in zip(ts, got) if x is None)
-                out.append((len(ts), len(seen), float(sum(seen)), float(s), list(rare), list(rare.values())))
-            yield pd.DataFrame(out, columns=["n_tokens", "n_often", "base", "score", "rare", "times"])
-
     kind = docs.schema["doc_id"].dataType
-    judged = docs.select(F.col("doc_id"), text_of().alias("text"))
-    judged = judged.select("doc_id", F.md5(F.col("text").cast("binary")).alias("node"), judge("text").alias("j")).select("doc_id", "node", "j.*")
-    judged = written(judged, "judged", compression="zstd")
+    rows = coded(docs, training, shared)
+    judged = rows.where("k >= 0").select("pack", "k", "doc_id", "node", "n_tokens", "n_often", "base", "rare", "times")
+    scores = written(scored(rows.where("k < 0"), n, shared), "scores", compression="zstd")
     rare = judged.select("node", "rare", "times").dropDuplicates(["node"]).select("node", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("node", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     known = rare.join(counts.where(F.col("c") < floor), "word").groupBy("node").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("part"))
-    out = judged.select("doc_id", "node", "n_tokens", "n_often", "base", "score").join(known, "node", "left")
+    out = judged.select("pack", "k", "doc_id", "node", "n_tokens", "n_often", "base").join(scores, ["pack", "k"]).join(known, "node", "left")
     each = float(np.log10(n + v + 1)) if n else 0.0  # N + 1 * (V + 1)
     return out.select(
         F.col("doc_id").cast(kind).alias("doc_id"),

@@ -173,6 +173,20 @@ def test_lm_base_and_score(spark):
     assert all(np.isfinite(g[6]) and g[6] < 0 for g in got)
 
 
+def test_lm_keeps_rare_pairs(spark):
+    """Pairs seen twice are held however many tokens the corpus has (2^-18 of these would be 4)."""
+    filler = " ".join(f"f{k % 500}" for k in range(5000))
+    held = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 7 == 2]
+    rows = [(k, filler) for k in range(300) if k not in held]
+    few = [k for k in range(300, 400) if k not in held][:2]
+    rows += [(k, "alpha beta gamma delta epsilon") for k in few]
+    rows += [(held[0], "alpha beta gamma delta epsilon"), (held[1], "gamma alpha epsilon beta delta")]
+    got = {x["doc_id"]: x for x in lmscore.query(documents(spark, rows)).collect()}
+    assert got[held[0]]["train_tokens"] > 1 << 20
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 4
+    np.testing.assert_allclose(got[held[0]]["base_score"], got[held[1]]["base_score"])
+
+
 def test_log_bloom():
     r = np.random.default_rng(2)
     keys = r.integers(0, 1 << 62, 5000).astype(np.uint64)
