@@ -1,11 +1,13 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are lower-cased words. Every mask is a fixed pattern over ``SPAN`` successive tokens of which
-it reads some and ignores the rest, so a seed survives a substitution at an ignored place. Seeds of
+Tokens are lower-cased words. Every mask is a fixed pattern over successive tokens of which it reads
+some and ignores the rest, so a seed survives a substitution at an ignored place. The masks are complete:
+whatever places of a window differ within the rule, some mask misses them all (a test tries every case). Seeds of
 the test items are hashed; training texts are hashed with the same masks and joined on the hash. A
 hit fixes a diagonal (item place against text place); the whole diagonal is then compared token by
 token, and the overlap counts if some window of ``WINDOW`` tokens (the whole item if it is shorter)
-agrees in ``MIN_SHARE`` of its places. Items shorter than ``SPAN`` are sought whole.
+agrees in ``MIN_SHARE`` of its places. Items shorter than ``WINDOW`` are sought whole, with masks of
+their own length; those of up to ``EXACT`` words have to agree in every word.
 
 Scale: the test side is cut into blocks of at most ``BLOCK_TOKENS`` tokens by item hash; each
 block's seed table has a proven size and is broadcast, one pass over the texts for each block.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -28,10 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import prepare, text_of
 
-#: Which of 12 successive tokens each mask reads.
-MASKS = ("110110101101", "111010110011", "101101110101", "111100001111")
-SPAN = 12
+#: Which successive tokens each mask reads.
+MASKS = ("11101111", "11010010111", "1110110011")
 WINDOW, MIN_SHARE = 13, 0.8
+#: Items up to so many words have to agree in all of them.
+EXACT = 5
 BLOCK_TOKENS = 1_000_000
 _FILTER_BITS = 22
 _WORDS = re.compile(r"\w+")
@@ -69,6 +73,13 @@ def seeds(tokens: np.ndarray, places: tuple[int, ...], salt: int) -> np.ndarray:
         return h ^ (h >> np.uint64(28))
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Places read in a whole item of ``n`` tokens: of d + 2 parts, all but d, where d may differ."""
+    d = n - int(np.ceil(MIN_SHARE * n)) if n > EXACT else 0
+    parts = np.array_split(np.arange(n), d + 2)
+    return [tuple(np.concatenate([x for k, x in enumerate(parts) if k not in c]).tolist()) for c in combinations(range(d + 2), d)] if d else [tuple(range(n))]
+
+
 class Index:
     """Seeds of some items, sorted."""
 
@@ -76,13 +87,14 @@ class Index:
         self.ids = [i for i, _ in items]
         self.tokens = [hashes(t) for _, t in items]
         full = [tuple(k for k, c in enumerate(m) if c == "1") for m in MASKS]
-        short = sorted({len(t) for t in self.tokens if 0 < len(t) < SPAN})
-        self.masks = [(places, SPAN, k + 1) for k, places in enumerate(full)] + [(tuple(range(n)), n, 100 + n) for n in short]
+        short = sorted({len(t) for t in self.tokens if 0 < len(t) < WINDOW})
+        #: (places, span, salt, length of the items it is for: 0 for those of WINDOW and more)
+        self.masks = [(places, places[-1] + 1, k + 1, 0) for k, places in enumerate(full)] + [(places, n, 100 * n + k, n) for n in short for k, places in enumerate(short_masks(n))]
         keys, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, t in enumerate(self.tokens):
-            for places, span, salt in self.masks:
-                if (span == SPAN) == (len(t) >= SPAN) and len(t) >= span and (span == SPAN or len(t) == span):
-                    s = seeds(t, (*places[:-1], places[-1]), salt)[: len(t) - span + 1]
+            for places, span, salt, length in self.masks:
+                if len(t) == length or (not length and len(t) >= WINDOW):
+                    s = seeds(t, places, salt)[: len(t) - span + 1]
                     s, first = np.unique(s, return_index=True)  # where a seed recurs in its item, its first place
                     keys.append(s)
                     item.append(np.full(len(s), i))
@@ -103,7 +115,7 @@ class Index:
         tokens, starts = np.concatenate(docs), np.cumsum(lengths) - lengths
         doc = np.repeat(np.arange(len(docs)), lengths)
         hits = []
-        for places, span, salt in self.masks:
+        for places, span, salt, _ in self.masks:
             s = seeds(tokens, places, salt)[: max(0, len(tokens) - span + 1)]
             maybe = np.flatnonzero(self.filter[(s >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
             maybe = maybe[doc[maybe] == doc[maybe + span - 1]]

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -147,6 +148,18 @@ def test_decontamination_edges(spark):
     assert decontam.overlaps(d, items(spark, [])).count() == 0 and decontam.overlaps(documents(spark, []), b).count() == 0
 
 
+def test_decontamination_masks_are_complete():
+    """Every pattern of substitutions that the rule allows is found."""
+    for n in (*range(1, 13), 13):
+        item = [f"i{k}" for k in range(n)]
+        index = decontam.Index([(1, " ".join(item))])
+        may = n - int(np.ceil(decontam.MIN_SHARE * n)) if n > decontam.EXACT else 0
+        texts = [" ".join(["a", "b", *("x" if k in c else w for k, w in enumerate(item)), "y", "z"]) for d in range(may + 1) for c in itertools.combinations(range(n), d)]
+        assert len({x[0] for x in index.search(texts)}) == len(texts), n
+        worse = " ".join("x" if k <= may else w for k, w in enumerate(item))
+        assert not index.search([worse])
+
+
 # --- 3
 
 
