@@ -82,14 +82,18 @@ def retire(state: MemoryState, pairs: DataFrame, now: float) -> MemoryState:
     return dml.put_edges(state.with_(memories=memories, edges=edges), fresh)
 
 
+def doubling_rounds(links: int) -> int:
+    """After so many doublings every pointer has gone further than ``links``; what still has a successor is bound for a cycle."""
+    return max(links, 1).bit_length() + 1
+
+
 def latest_in_chain(edges: DataFrame, starts: DataFrame, max_rounds: int = 64) -> DataFrame:
     """start -> the end of its chain of live ``supersedes`` edges (newest edge of each node); pointers are
     doubled, so rounds grow with the logarithm of the length. A cycle ends at its least node."""
     some = current(edges).where(F.col("relation") == "supersedes")
     nxt = some.groupBy("src_id").agg(F.max_by("dst_id", F.struct("valid_from", F.col("id"))).alias("to"))
     hop = written(nxt.select(F.col("src_id").alias("id"), "to", F.least("src_id", "to").alias("low"), F.lit(False).alias("cycle")), "chain")
-    rounds = 0
-    while rounds < max_rounds:
+    for _ in range(min(max_rounds, doubling_rounds(hop.count()))):
         a, b = hop.alias("a"), hop.alias("b")
         step = a.join(b, F.col("a.to") == F.col("b.id"), "left").select(
             F.col("a.id").alias("id"), F.coalesce("b.to", "a.to").alias("to"), F.least("a.low", F.coalesce("b.low", "a.low")).alias("low"),
@@ -97,8 +101,7 @@ def latest_in_chain(edges: DataFrame, starts: DataFrame, max_rounds: int = 64) -
         )
         step = written(step, "chain")
         hop = step.drop("moved")
-        rounds += 1
-        if step.where("moved").isEmpty() or rounds >= 20:
+        if step.where("moved").isEmpty():
             break
     s = starts.select(F.col(starts.columns[0]).alias("id")).distinct()
     joined = s.join(hop, "id", "left")

@@ -435,3 +435,9 @@ def test_streams(spark, tmp_path):
         streaming.Worker(lambda b, i: 1 / 0).once(s, f"{tmp_path}/c3")
     late, early = streaming.after_mark(spark.createDataFrame(rows, "workspace string, content string, id string, created_at double"), 55.0)
     assert late.count() == 2 and early.count() == 2
+
+
+@pytest.mark.parametrize("links", [1, 5, 1 << 20, (1 << 20) + 1, 3_000_000, 10**9])
+def test_chain_rounds_follow_the_links(links):
+    """Twenty rounds reach 2^20 hops only."""
+    assert 2 ** graph.doubling_rounds(links) > links and graph.doubling_rounds(links) <= np.log2(links) + 2
