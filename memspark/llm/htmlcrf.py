@@ -9,7 +9,7 @@ writes them from a grammar of page layouts, with the label on each element) and
 Scale: each page is decoded by itself in an Arrow UDF; the model is a few KB.
 
 Edge cases: null or empty html and pages without text blocks give the empty text; broken or cut markup
-is read as far as it goes (an unclosed comment or script hides the rest); equal rows give equal results.
+is read as far as it goes (an unclosed comment or script hides the rest; an unclosed head ends where something follows that may not stand in it); equal rows give equal results.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ BLOCK = set("address article aside blockquote body center dd details dialog dir
 HIDDEN = set("head noscript template svg math object iframe canvas audio video map datalist".split())
 RAW = set("script style textarea title xmp noembed noframes".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+#: What may stand in a head; any other start tag, or text, ends it.
+IN_HEAD = set("html head title meta link base basefont bgsound style script noscript template noframes".split())
 #: Open elements that a start tag closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _LIMIT = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
@@ -72,6 +74,8 @@ def blocks(page: str) -> list[Block]:
     while at < n:
         m = _TAG.search(page, at)
         end = m.start() if m else n
+        if state["hidden"] == "head" and page[at:end].strip():
+            state["hidden"] = None
         if end > at and state["hidden"] is None:
             piece = page[at:end]
             pieces.append(piece)
@@ -88,13 +92,18 @@ def blocks(page: str) -> list[Block]:
                 state["depth"] += -1 if m[1] else 1
                 if state["depth"] == 0:
                     state["hidden"] = None
-            elif tag == "body" and not m[1] and state["hidden"] == "head":
-                state["hidden"] = None
-            elif tag in RAW and not m[1]:
+                continue
+            if tag in RAW and not m[1]:
                 close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = close.end() if close else n
-            if state["hidden"] is not None or tag != "body":
                 continue
+            if state["hidden"] == "head" and tag in ("noscript", "template") and not m[1]:
+                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = close.end() if close else at
+                continue
+            if state["hidden"] != "head" or m[1] or tag in IN_HEAD:
+                continue
+            state["hidden"] = None
         if m[1]:
             if tag == "a":
                 state["link"] = max(0, state["link"] - 1)

@@ -236,6 +236,13 @@ def test_html_held_out():
     assert wrong / total < 0.02
 
 
+@pytest.mark.parametrize("head", ["<head><title>T</title>", "<head><meta charset=utf-8><noscript><img src=x>on</noscript><script>1<2</script>", "<head><title>T</title></head>", "<head><title>T</title><body>"])
+def test_html_head_ends_without_its_tag(head):
+    got = [b.text for b in htmlcrf.blocks(f"<html>{head}<article><p>First part.</p><p>Second.</p></article>")]
+    assert got == ["First part.", "Second."]
+    assert [b.text for b in htmlcrf.blocks(f"<html>{head}Just text")] == ["Just text"]
+
+
 def test_viterbi_brute_force():
     import itertools
 
