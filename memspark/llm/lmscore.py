@@ -3,57 +3,56 @@
 The model is an interpolated bigram over words. It holds every word and every pair of the training
 texts, from one occurrence on. Counts sit in a Bloom filter in quantised logarithmic form: an n-gram of
 level q is inserted under levels 1..q, and a lookup probes levels upwards until one is missing, so a
-false alarm can only raise a count by a level. Smoothing interpolates bigram, unigram and, for words
-that training texts do not hold, a spelling model (bytes given the three bytes before them).
-
-Scale: the filter grows with the corpus. It is cut by key hash into blocks of about ``BLOCK_TOKENS``
-training tokens; a block's n-grams are counted and inserted in the task that answers the probes for it,
-so no worker holds more than one block. Texts are coded once in packs of some hundred documents; a pack
-asks each block once for its distinct words and pairs (hot ones weigh nothing), and the levels come back
-to the pack. Two shuffles, each in proportion to the input; counts are exact, nothing is collected.
-
-The unigram base score needs exact counts of all words: frequent words' counts (at most 2^22 of them,
-as they make up 2^-22 of the tokens each) are broadcast, the rest are joined by a shuffle of
-(document, word) pairs that are rare by definition, so no key is hot. No word is left out.
+false alarm can only raise a count by a level. Smoothing interpolates bigram and unigram. Words that the
+training texts do not hold share the Good-Turing mass n1 / N (n1: words seen once) evenly over as many
+new words as Chao's estimator expects, n1 (n1 - 1) / (2 (n2 + 1)); so a new word is one event, as in the
+base score, and gibberish scores low.
+
+Scale: texts are tokenised once, into packs of about ``PACK_TOKENS`` tokens in coded form. The filter
+grows with the corpus and is cut by key hash into blocks of about ``BLOCK_TOKENS`` training tokens. A
+pack sends each block its distinct words and pairs with their training counts (hot ones weigh nothing);
+the task of a block sums them, fills the filter and answers with the levels it probes, and with the
+words' exact counts for the base score (words are told apart by 64-bit hashes). The answers meet their
+pack again in a second shuffle. Both shuffles are in proportion to the input, no worker holds more than
+a block or a pack, and the driver sees only a few totals.
 
 Edge cases: null text is empty and scores its end alone; null or repeated ids are ordinary rows; a row
-with a null id is not held out; with no training text N = V = 0 and the base gives 0; an empty table gives no rows.
+with a null id is not held out; a very long text is a pack of its own; equal texts score alike (ties
+need no order); other columns are not read; with no training text N = V = 0 and the base gives 0; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, prepare, text_of, written
 
-#: Share of the tokens from which on a word's count is broadcast for the base score.
-WORD_FLOOR = 2.0**-22
-LEVELS_PER_OCTAVE = 4
 #: What pairs get after a word seen c times: PAIR_WEIGHT x c / (c + PAIR_DOUBT).
 PAIR_WEIGHT, PAIR_DOUBT = 0.8, 4.0
 #: Training tokens for each block of the filter, and tokens of a pack.
 BLOCK_TOKENS, LEAST_BLOCKS, PACK_TOKENS = 1 << 22, 64, 1 << 20
-BITS_PER_ENTRY, PROBES = 12, 6
-#: The end of a text; no word holds white space.
-END = b"\n"
-CONTEXTS, SYMBOLS = 1 << 12, 256
+BITS_PER_ENTRY, PROBES = 12, 4
+#: The least count of each level: two levels an octave, but none between successive integers.
+LEAST = np.unique(np.ceil(2.0 ** (np.arange(96) / 2)))
+#: What a count of each level stands for: the middle of its range on the logarithmic scale.
+MIDDLE = np.concatenate([[0.0], np.sqrt(LEAST * (np.append(LEAST[1:], 2 * LEAST[-1]) - 1))])
+#: The end of a text; no UTF-8 text has this byte.
+END = b"\xff"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _MEMO = 400_000
 _CHUNK = 1 << 17
 
 
-def words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-
-
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > _MEMO:
@@ -69,10 +68,10 @@ def hashed(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
 
 
-def pair_keys(h: np.ndarray) -> np.ndarray:
-    """Hashes of successive pairs."""
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of words."""
     with np.errstate(over="ignore"):
-        k = (h[:-1] ^ (h[:-1] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        k = (first ^ (first >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xC2B2AE3D27D4EB4F)
         k ^= k >> np.uint64(30)
         k *= np.uint64(0xBF58476D1CE4E5B9)
         return k ^ (k >> np.uint64(31))
@@ -97,67 +96,45 @@ class LogBloom:
 
     def insert(self, keys: np.ndarray, levels: np.ndarray) -> None:
         self.top = max(self.top, int(levels.max()) if len(levels) else 0)
-        for q in range(1, self.top + 1):
-            some = keys[levels >= q]
-            for at in range(0, len(some), _CHUNK):
-                c = self._cells(some[at : at + _CHUNK], q).ravel()
-                np.bitwise_or.at(self.bits, c >> 3, (1 << (c & 7)).astype(np.uint8))
+        flags = np.unpackbits(self.bits, bitorder="little")
+        order = np.argsort(levels, kind="stable")[::-1]
+        keys = keys[order]
+        ends = np.searchsorted(-levels[order], -np.arange(1, self.top + 1), "right")
+        for q, end in enumerate(ends.tolist(), 1):
+            for at in range(0, end, _CHUNK):
+                flags[self._cells(keys[at : min(end, at + _CHUNK)], q).ravel()] = 1
+        self.bits = np.packbits(flags, bitorder="little")
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: 0 if it is not held."""
-        out, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        for q in range(1, self.top + 1):
-            if not len(live):
-                break
-            c = self._cells(keys[live], q)
-            held = ((self.bits[c >> 3] >> (c & 7).astype(np.uint8)) & 1).all(axis=1)
-            live = live[held]
-            out[live] = q
+        out = np.zeros(len(keys), np.int64)
+        for begin in range(0, len(keys), _CHUNK):
+            part = keys[begin : begin + _CHUNK]
+            live = np.arange(len(part))
+            for q in range(1, self.top + 1):
+                if not len(live):
+                    break
+                c = self._cells(part[live], q)
+                held = ((self.bits[c >> 3] >> (c & 7).astype(np.uint8)) & 1).all(axis=1)
+                live = live[held]
+                out[begin + live] = q
         return out
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
-    return (1 + np.floor(LEVELS_PER_OCTAVE * np.log2(np.maximum(counts, 1)))).astype(np.int64)
+    return np.searchsorted(LEAST, counts, "right")
 
 
 def count_of(levels: np.ndarray) -> np.ndarray:
-    """The middle of a level's range of counts, 0 for level 0."""
-    return np.where(levels > 0, 2.0 ** ((levels - 0.5) / LEVELS_PER_OCTAVE), 0.0)
-
-
-def spelling_counts(types: list[bytes], weights: np.ndarray) -> np.ndarray:
-    """Counts of (hashed three-byte context, byte) in words with an end mark."""
-    out = np.zeros(CONTEXTS * SYMBOLS)
-    for at in range(0, len(types), 20_000):
-        some = types[at : at + 20_000]
-        cells, word = _spelling_cells(some)
-        out += np.bincount(cells, weights[at : at + 20_000][word], minlength=len(out))
-    return out
+    """What a count of each level stands for, 0 for level 0."""
+    return MIDDLE[levels]
 
 
-def _spelling_cells(types: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(b"".join(b"\x00\x00\x00" + t + b"\n" for t in types), np.uint8).astype(np.int64)
-    sizes = np.array([len(t) + 4 for t in types], np.int64)
-    word = np.repeat(np.arange(len(types)), sizes)
-    place = np.arange(len(data)) - (np.cumsum(sizes) - sizes)[word]
-    at = np.flatnonzero(place >= 3)
-    context = ((data[at - 1] * 65599 + data[at - 2]) * 65599 + data[at - 3]) * 2654435761 >> 7 & (CONTEXTS - 1)
-    return context * SYMBOLS + data[at], word[at]
-
-
-def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and the sums of their counts."""
-    every, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return every, np.bincount(back, np.concatenate(counts), minlength=len(every)).astype(np.int64)
-
-
-def by_block(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The keys' places in the order of (block, short key), where each block begins in it (and the end), and
-    the short keys in that order. The block comes from 24 bits, the short key is the other 40."""
-    b = (keys & np.uint64(0xFFFFFF)).astype(np.int64) % blocks
-    short = keys >> np.uint64(24)
-    order = np.argsort((b.astype(np.uint64) << np.uint64(40)) | short, kind="stable")
-    return order, np.searchsorted(b[order], np.arange(blocks + 1)), short[order]
+def by_block(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys' places in the order of their blocks, and where each block begins in it (and the end)."""
+    b = ((keys & np.uint64(0xFFFFFF)) % np.uint64(blocks)).astype(np.int32)
+    order = np.argsort(b, kind="stable")
+    return order, np.searchsorted(b[order], np.arange(blocks + 1))
 
 
 def planes(values: np.ndarray, size: int) -> bytes:
@@ -168,25 +145,18 @@ def planes(values: np.ndarray, size: int) -> bytes:
 def unplaned(data: bytes, size: int) -> np.ndarray:
     out = np.zeros((len(data) // size, 8), np.uint8)
     out[:, :size] = np.frombuffer(data, np.uint8).reshape(size, -1).T
-    return out.view("<u8").ravel().astype(np.uint64)
-
-
-class Model:
-    """What workers need besides the filter: the spelling model and a few totals."""
+    return out.view("<u8").ravel()
 
-    def __init__(self, n: int, held: float, spelling: np.ndarray):
-        #: Share of tokens that new words get, and a held word's share for each of its quantised occurrences.
-        self.rest = 1.0 / (n + 1) if n else 1.0
-        self.scale = (1 - self.rest) / held if held else 0.0
-        table = spelling.reshape(CONTEXTS, SYMBOLS) + 0.0
-        total = table.sum(axis=0) + 0.05
-        back = total / total.sum()
-        self.spelling = np.log10((table + 2.0 * back) / (table.sum(axis=1, keepdims=True) + 2.0)).astype(np.float32).ravel()
 
-    def spelled(self, types: list[bytes]) -> np.ndarray:
-        """log10 probability of words that the filter does not hold."""
-        cells, word = _spelling_cells(types)
-        return np.log10(self.rest) + np.bincount(word, self.spelling[cells], minlength=len(types))
+def tokenised(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All tokens of some texts as an Arrow array, cut out of the joined bytes, and how many each has."""
+    data = np.frombuffer(b" " + b"".join([t + b" " + END + b" " for t in texts]), np.uint8)
+    ink = ~_BLANK[data]
+    edges = np.flatnonzero(ink[1:] != ink[:-1]) + 1
+    begin, end = edges[::2], edges[1::2]
+    offsets = np.concatenate([[0], np.cumsum(end - begin)])
+    tokens = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[ink])])
+    return tokens, np.diff(np.flatnonzero(data[begin] == END[0]), prepend=-1)
 
 
 class Pack:
@@ -198,209 +168,162 @@ class Pack:
         #: Tokens that begin a pair, the distinct pairs' hashes, and each such token's pair among them.
         self.begins = np.flatnonzero(self.doc[:-1] == self.doc[1:])
         codes, self.pair = np.unique(self.at[self.begins] * len(h) + self.at[self.begins + 1], return_inverse=True)
-        first, second = codes // max(len(h), 1), codes % max(len(h), 1)
-        self.pairs = pair_keys(np.stack([h[first], h[second]], 1).ravel())[::2] if len(codes) else np.zeros(0, np.uint64)
+        n = max(len(h), 1)
+        self.pairs = pair_keys(h[codes // n], h[codes % n])
 
-    def scores(self, model: Model, spelled: np.ndarray, word_levels: np.ndarray, pair_levels: np.ndarray) -> np.ndarray:
-        """log10 probability of each text (its end included)."""
-        count = count_of(word_levels)
-        p = np.where(count > 0, count * model.scale, 10.0 ** np.maximum(spelled, -300.0))
-        logp = np.where(count > 0, np.log10(np.maximum(p, 1e-300)), spelled)
-        before = count[self.at[self.begins]]
-        joint = np.minimum(count_of(pair_levels)[self.pair] / np.maximum(before, 1e-9), 1.0)
-        weight = PAIR_WEIGHT * before / (before + PAIR_DOUBT)
-        each = logp[self.at]
-        known = np.flatnonzero(before > 0)
-        each[self.begins[known] + 1] = np.log10(np.maximum(weight * joint + (1 - weight) * p[self.at[self.begins + 1]], 1e-300))[known]
-        return np.bincount(self.doc, each, minlength=len(self.sizes))
+    def summed(self, tokens: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, tokens, minlength=len(self.sizes))
 
 
-def train(docs: DataFrame, training) -> tuple[DataFrame, Model, dict[bytes, int], int, int]:
-    """(distributed word counts (word, c), model, frequent words, N, V) from the rows where ``training`` holds."""
-    spark = prepare(docs.sparkSession)
-    rows = docs.where(training).select(text_of().alias("text"))
+class Model:
+    """What workers need besides the filter: a few totals."""
 
-    def tally(batches):
-        sums: Counter = Counter()
-        for pdf in batches:
-            for t in pdf["text"]:
-                sums.update(words(t))
-                sums[END] += 1
-            if len(sums) > 500_000:
-                yield pd.DataFrame({"word": list(sums), "c": list(sums.values())})
-                sums = Counter()
-        if sums:
-            yield pd.DataFrame({"word": list(sums), "c": list(sums.values())})
-
-    counts = written(rows.mapInPandas(tally, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words", compression="zstd")
-    middle = F.pow(F.lit(2.0), (F.floor(LEVELS_PER_OCTAVE * F.log2("c")) + 0.5) / LEVELS_PER_OCTAVE)
-    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(middle).alias("held")).first()
-    n, v = total["n"] or 0, total["v"]
-    floor = max(1.0, WORD_FLOOR * n)
-    often = counts.where(F.col("c") >= floor).toPandas()  # at most 1 / WORD_FLOOR rows
-    frequent = {bytes(w): int(c) for w, c in zip(often["word"], often["c"])}
-
-    def spell(batches):
-        out = np.zeros(CONTEXTS * SYMBOLS)
-        for pdf in batches:
-            out += spelling_counts([bytes(w) for w in pdf["word"]], np.ones(len(pdf)))
-        for k in range(0, len(out), 1 << 16):
-            if out[k : k + (1 << 16)].any():
-                yield pd.DataFrame({"slice": [k], "cells": [out[k : k + (1 << 16)].tobytes()]})
+    def __init__(self, n: int, held: float, once: int, twice: int):
+        #: The share of tokens that new words get, that of one of them, and a held word's for each of its quantised occurrences.
+        self.rest = (once + 1) / (n + 2)
+        self.new = self.rest / max(1.0, once * (once - 1) / (2 * (twice + 1)))
+        self.scale = (1 - self.rest) / held if held else 0.0
 
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for k, c in zip(pdf["slice"], pdf["cells"]):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c, float)
-        if sums:
-            yield pd.DataFrame({"slice": list(sums), "cells": [x.tobytes() for x in sums.values()]})
-
-    types = counts.where(F.col("word") != F.lit(END)).select("word")  # a new word is one more type
-    spelled = types.mapInPandas(spell, "slice int, cells binary").repartition("slice").mapInPandas(add, "slice int, cells binary")
-    spelling = np.zeros(CONTEXTS * SYMBOLS)
-    for r in spelled.collect():  # a fixed-size table
-        part = np.frombuffer(r["cells"], float)
-        spelling[r["slice"] : r["slice"] + len(part)] += part
-    return counts, Model(n, total["held"] or 0.0, spelling), frequent, n, v
-
-
-def coded(docs: DataFrame, training, shared) -> DataFrame:
-    """A row of each text (what the base score needs; ``k`` is its place in its pack) and one of each pack (k = -1)."""
-
-    def rows_of(kept, tokens):
-        model, known = shared.value
-        rows = pd.DataFrame(kept, columns=["doc_id", "node", "training"])
-        index: dict[bytes, int] = {}
-        sizes = np.array([len(ts) for ts in tokens], np.int64)
-        at = np.fromiter((index.setdefault(t, len(index)) for ts in tokens for t in ts), np.int32, int(sizes.sum()))
-        types = list(index)
-        base = np.array([known.get(t, np.nan) for t in types])
-        new = np.flatnonzero(np.isnan(base))
-        spelled = np.zeros(len(types), np.float32)
-        if len(new):
-            spelled[new] = model.spelled([types[i] for i in new])
-        doc = np.repeat(np.arange(len(tokens)), sizes)
-        seen = ~np.isnan(base[at])
-        codes, times = np.unique(doc[~seen] * len(types) + at[~seen], return_counts=True)
-        cuts = np.searchsorted(codes, np.arange(1, len(tokens)) * len(types))
-        name = uuid.uuid4().hex
-        yield pd.DataFrame({
-            "pack": name, "k": np.arange(len(tokens)), "doc_id": rows["doc_id"].to_numpy(), "node": rows["node"].to_numpy(), "n_tokens": sizes,
-            "n_often": np.bincount(doc[seen], minlength=len(tokens)), "base": np.bincount(doc[seen], base[at[seen]], minlength=len(tokens)),
-            "rare": [[types[c % len(types)] for c in part.tolist()] for part in np.split(codes, cuts)], "times": np.split(times, cuts),
-            "words": None, "spelled": None, "tokens": None, "sizes": None, "training": None,
-        })
-        yield pd.DataFrame({
-            "pack": [name], "k": [-1], "doc_id": [None], "node": [None], "n_tokens": [0], "n_often": [0], "base": [0.0], "rare": [[]], "times": [[]],
-            "words": [hashed(types).tobytes()], "spelled": [spelled.tobytes()], "tokens": [planes(at, 4)], "sizes": [sizes.tobytes()], "training": [rows["training"].to_numpy(bool).tobytes()],
+    def scores(self, pack: Pack, word_levels: np.ndarray, pair_levels: np.ndarray) -> np.ndarray:
+        """log10 probability of each text (its end included)."""
+        count = count_of(word_levels)
+        p = np.where(count > 0, count * self.scale, self.new)
+        before = count[pack.at[pack.begins]]
+        joint = np.minimum(count_of(pair_levels)[pack.pair] / np.maximum(before, 1e-9), 1.0)
+        weight = PAIR_WEIGHT * before / (before + PAIR_DOUBT)
+        each = p[pack.at]
+        each[pack.begins + 1] = weight * joint + (1 - weight) * each[pack.begins + 1]
+        return pack.summed(np.log10(each))
+
+
+def coded(docs: DataFrame, training) -> DataFrame:
+    """A row for each pack: its texts' ids, sizes and training flags, the words' hashes and the coded tokens."""
+
+    def rows_of(ids, learnt, texts):
+        tokens, sizes = tokenised(texts)
+        words = tokens.dictionary_encode()
+        at = words.indices.to_numpy()
+        learnt = np.array(learnt, bool)
+        return pd.DataFrame({
+            "pack": [uuid.uuid4().hex], "ids": [ids], "n_train": [int(sizes[learnt].sum())], "words": [hashed(words.dictionary.to_pylist()).tobytes()],
+            "tokens": [planes(at, 4)], "sizes": [planes(sizes, 5)], "training": [learnt.tobytes()],
         })
 
     def pack(batches):
-        kept, tokens, size = [], [], 0
+        ids, learnt, texts, size = [], [], [], 0
         for pdf in batches:
-            for row in pdf[["doc_id", "node", "training", "text"]].itertuples(index=False):
-                kept.append(row[:3])
-                tokens.append([*words(row[3]), END])
-                size += len(tokens[-1])
-                if size >= PACK_TOKENS:
-                    yield from rows_of(kept, tokens)
-                    kept, tokens, size = [], [], 0
-        if kept:
-            yield from rows_of(kept, tokens)
+            for key, train, text in zip(pdf["doc_id"].tolist(), pdf["training"].tolist(), pdf["text"].tolist()):
+                ids.append(key)
+                learnt.append(train)
+                texts.append(text.encode("utf-8", "surrogatepass").translate(_LOWER))
+                size += len(texts[-1]) + 6
+                if size >= 6 * PACK_TOKENS:
+                    yield rows_of(ids, learnt, texts)
+                    ids, learnt, texts, size = [], [], [], 0
+        if ids:
+            yield rows_of(ids, learnt, texts)
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    rows = rows.withColumn("node", F.md5(F.col("text").cast("binary")))
-    shape = "pack string, k int, doc_id string, node string, n_tokens long, n_often long, base double, rare array<binary>, times array<long>, words binary, spelled binary, tokens binary, sizes binary, training binary"
-    return written(rows.mapInPandas(pack, shape), "coded", compression="zstd")
+    return written(rows.mapInPandas(pack, "pack string, ids array<string>, n_train long, words binary, tokens binary, sizes binary, training binary"), "coded", compression="zstd")
 
 
-def _unpacked(row) -> Pack:
-    return Pack(np.frombuffer(row["words"], np.uint64), unplaned(row["tokens"], 4), np.frombuffer(row["sizes"], np.int64))
+def _unpacked(words: bytes, tokens: bytes, sizes: bytes) -> Pack:
+    return Pack(np.frombuffer(words, np.uint64), unplaned(tokens, 4), unplaned(sizes, 5).astype(np.int64))
 
 
-def scored(packs: DataFrame, n: int, shared) -> DataFrame:
-    """pack, k, score of each text of the packs."""
-    blocks = max(LEAST_BLOCKS, -(-n // BLOCK_TOKENS))
+#: Bytes sent of a key, of a training count in a pack and of a count in the corpus. Words are sent by their whole
+#: hashes; of pairs the block is known, which leaves 40 bits.
+WORD_BYTES, PAIR_BYTES, TIMES_BYTES, COUNT_BYTES = 8, 5, 4, 6
+
+
+def asked(packs: DataFrame, blocks: int) -> DataFrame:
+    """A row for each pack and block that it has n-grams of: their keys and training counts."""
 
     def ask(batches):
         for pdf in batches:
-            for _, row in pdf.iterrows():
-                pack = _unpacked(row)
-                learnt = np.frombuffer(row["training"], bool)[pack.doc]
-                out = {"block": np.arange(blocks), "pack": row["pack"]}
+            for row in pdf.itertuples(index=False):
+                pack = _unpacked(row.words, row.tokens, row.sizes)
+                learnt = np.frombuffer(row.training, bool)[pack.doc]
                 times = np.bincount(pack.at[learnt], minlength=len(pack.h)), np.bincount(pack.pair[learnt[pack.begins]], minlength=len(pack.pairs))
-                for kind, keys, c in (("word", pack.h, times[0]), ("pair", pack.pairs, times[1])):
-                    order, starts, short = by_block(keys, blocks)
-                    cut = [slice(starts[b], starts[b + 1]) for b in range(blocks)]
-                    out[kind] = [planes(short[x], 5) for x in cut]
-                    out[f"{kind}_times"] = [planes(c[order[x]], 4) for x in cut]
-                yield pd.DataFrame(out)
+                out: dict = {}
+                for kind, keys, c, size in (("word", pack.h, times[0], WORD_BYTES), ("pair", pack.pairs, times[1], PAIR_BYTES)):
+                    order, starts = by_block(keys, blocks)
+                    sent, c = (keys if size == 8 else keys >> np.uint64(24))[order], c[order]
+                    cuts = list(zip(starts[:-1].tolist(), starts[1:].tolist()))
+                    out[kind] = [planes(sent[a:b], size) for a, b in cuts]
+                    out[f"{kind}_times"] = [planes(c[a:b], TIMES_BYTES) for a, b in cuts]
+                frame = pd.DataFrame({"block": np.arange(blocks), "pack": row.pack, **out})
+                yield frame[(frame["word"].str.len() > 0) | (frame["pair"].str.len() > 0)]
 
-    def answer(key: tuple, pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked = [row for pdf in pdfs for row in pdf.itertuples(index=False)]
-        filled = []
-        for kind, mark in (("word", np.uint64(1 << 63)), ("pair", np.uint64(0))):
-            keys = np.concatenate([unplaned(getattr(r, kind), 5) for r in asked])
-            times = np.concatenate([unplaned(getattr(r, f"{kind}_times"), 4) for r in asked])
-            keys, sums = summed([keys[times > 0]], [times[times > 0]])
-            filled.append((keys ^ mark, level_of(sums)))
-        bloom = LogBloom(int(sum(q.sum() for _, q in filled)))
-        for keys, q in filled:
-            bloom.insert(keys, q)
-        filled.clear()
-        for at in range(0, len(asked), 64):
-            some = asked[at : at + 64]
-            out = {"pack": [r.pack for r in some], "block": int(key[0])}
-            for kind, mark in (("word", np.uint64(1 << 63)), ("pair", np.uint64(0))):
-                each = [unplaned(getattr(r, kind), 5) ^ mark for r in some]
-                every = np.concatenate(each)
-                got = np.concatenate([bloom.levels(every[i : i + _CHUNK]) for i in range(0, max(1, len(every)), _CHUNK)]).astype(np.uint8)
-                out[kind] = [x.tobytes() for x in np.split(got, np.cumsum([len(x) for x in each])[:-1])]
-            yield pd.DataFrame(out)
-
-    asked = packs.select("pack", "words", "tokens", "sizes", "training").mapInPandas(ask, "block int, pack string, word binary, word_times binary, pair binary, pair_times binary")
-    answers = asked.groupBy("block").applyInPandas(answer, "pack string, block int, word binary, pair binary")
+    return packs.select("pack", "words", "tokens", "sizes", "training").mapInPandas(ask, "block int, pack string, word binary, word_times binary, pair binary, pair_times binary")
 
-    def finish(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        row = left.iloc[0]
-        pack = _unpacked(row)
-        levels = []
-        for kind, keys in (("word", pack.h), ("pair", pack.pairs)):
-            order, starts, _ = by_block(keys, blocks)
-            q = np.zeros(len(keys), np.int64)
-            for b, x in zip(right["block"], right[kind]):
-                q[order[starts[b] : starts[b + 1]]] = np.frombuffer(x, np.uint8)
-            levels.append(q)
-        s = pack.scores(shared.value[0], np.frombuffer(row["spelled"], np.float32).astype(float), *levels)
-        return pd.DataFrame({"pack": row["pack"], "k": np.arange(len(s)), "score": s})
 
-    coded_rows = packs.select("pack", "words", "spelled", "tokens", "sizes")
-    return coded_rows.groupBy("pack").cogroup(answers.groupBy("pack")).applyInPandas(finish, "pack string, k int, score double")
+def answered(questions: DataFrame) -> DataFrame:
+    """Levels and word counts for each question, and (pack null) a row of totals for each block."""
+
+    def answer(key: tuple, pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [row for pdf in pdfs for row in pdf.itertuples(index=False)]
+        found = []
+        for kind, size in (("word", WORD_BYTES), ("pair", PAIR_BYTES)):
+            each = [unplaned(getattr(r, kind), size) for r in rows]
+            keys, back = np.unique(np.concatenate(each), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([unplaned(getattr(r, f"{kind}_times"), TIMES_BYTES) for r in rows]), minlength=len(keys)).astype(np.int64)
+            found.append((keys if kind == "word" else keys ^ np.uint64(1 << 63), counts, back, np.cumsum([len(x) for x in each])[:-1]))
+        bloom = LogBloom(int(sum(level_of(counts).sum() for _, counts, _, _ in found)))
+        for keys, counts, _, _ in found:
+            bloom.insert(keys[counts > 0], level_of(counts[counts > 0]))
+        counts = found[0][1]
+        yield pd.DataFrame({
+            "pack": [None], "block": [int(key[0])], "word": [None], "count": [None], "pair": [None], "types": [int((counts > 0).sum())],
+            "once": [int((counts == 1).sum())], "twice": [int((counts == 2).sum())], "held": [float(count_of(level_of(counts)).sum())],
+        })
+        levels = [np.split(bloom.levels(keys).astype(np.uint8)[back], cuts) for keys, _, back, cuts in found]
+        words = np.split(counts[found[0][2]], found[0][3])
+        for at in range(0, len(rows), 64):
+            some = slice(at, at + 64)
+            yield pd.DataFrame({
+                "pack": [r.pack for r in rows[some]], "block": int(key[0]), "word": [x.tobytes() for x in levels[0][some]], "count": [planes(x, COUNT_BYTES) for x in words[some]],
+                "pair": [x.tobytes() for x in levels[1][some]], "types": 0, "once": 0, "twice": 0, "held": 0.0,
+            })
+
+    shape = "pack string, block int, word binary, count binary, pair binary, types long, once long, twice long, held double"
+    return written(questions.groupBy("block").applyInPandas(answer, shape), "answers", compression="zstd")
 
 
 def score(docs: DataFrame, training) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = prepare(docs.sparkSession)
-    counts, model, frequent, n, v = train(docs, training)
-    floor = max(1.0, WORD_FLOOR * n)
-    shared = spark.sparkContext.broadcast((model, {w: float(np.log10(c + 1)) for w, c in frequent.items()}))
     kind = docs.schema["doc_id"].dataType
-    rows = coded(docs, training, shared)
-    judged = rows.where("k >= 0").select("pack", "k", "doc_id", "node", "n_tokens", "n_often", "base", "rare", "times")
-    scores = written(scored(rows.where("k < 0"), n, shared), "scores", compression="zstd")
-    rare = judged.select("node", "rare", "times").dropDuplicates(["node"]).select("node", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("node", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    known = rare.join(counts.where(F.col("c") < floor), "word").groupBy("node").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("part"))
-    out = judged.select("pack", "k", "doc_id", "node", "n_tokens", "n_often", "base").join(scores, ["pack", "k"]).join(known, "node", "left")
+    packs = coded(docs, training)
+    n = packs.agg(F.sum("n_train")).first()[0] or 0
+    blocks = max(LEAST_BLOCKS, -(-n // BLOCK_TOKENS))
+    answers = answered(asked(packs, blocks))
+    sums = answers.where("pack is null").agg(F.sum("types").alias("v"), F.sum("once").alias("once"), F.sum("twice").alias("twice"), F.sum("held").alias("held")).first()
+    v = sums["v"] or 0
+    model = Model(n, sums["held"] or 0.0, sums["once"] or 0, sums["twice"] or 0)
+
+    def finish(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        row = left.iloc[0]
+        pack = _unpacked(row["words"], row["tokens"], row["sizes"])
+        got = []
+        for kind, keys in (("word", pack.h), ("pair", pack.pairs)):
+            order, starts = by_block(keys, blocks)
+            levels, counts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            for b, q, c in zip(right["block"], right[kind], right["count"]):
+                levels[order[starts[b] : starts[b + 1]]] = np.frombuffer(q, np.uint8)
+                if kind == "word":
+                    counts[order[starts[b] : starts[b + 1]]] = unplaned(c, COUNT_BYTES)
+            got.append((levels, counts))
+        (word_levels, counts), (pair_levels, _) = got
+        return pd.DataFrame({
+            "doc_id": row["ids"], "n_tokens": pack.sizes, "n_known": pack.summed((counts > 0)[pack.at]).astype(np.int64), "base": pack.summed(np.log10(counts + 1.0)[pack.at]),
+            "score": model.scores(pack, word_levels, pair_levels),
+        })
+
+    left, right = packs.select("pack", "ids", "words", "tokens", "sizes").groupBy("pack"), answers.where("pack is not null").select("pack", "block", "word", "count", "pair").groupBy("pack")
+    out = left.cogroup(right).applyInPandas(finish, "doc_id string, n_tokens long, n_known long, base double, score double")
     each = float(np.log10(n + v + 1)) if n else 0.0  # N + 1 * (V + 1)
-    return out.select(
-        F.col("doc_id").cast(kind).alias("doc_id"),
-        "n_tokens",
-        (F.col("n_often") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("part", F.lit(0.0)) - F.col("n_tokens") * F.lit(each)).alias("base_score"),
-        "score",
-    )
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score")
 
 
 def query(docs: DataFrame) -> DataFrame:
