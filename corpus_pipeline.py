@@ -11,32 +11,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from memspark.llm import decontam, mixing, neardup, quality, tokenbin
-from memspark.llm.common import end_stages, fresh_path, next_stage, prepare
+from memspark.llm.common import drop_path, fresh_path, prepare
 from memspark.llm.queries import table, tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    next_stage(spark)
     return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    next_stage(spark)
     return neardup.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    next_stage(spark)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    next_stage(spark)
     return mixing.mix(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    next_stage(spark)
     return tokenbin.query(docs, tokenizer_path())
 
 
@@ -48,10 +43,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = fresh_path(spark, f"stage{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    end_stages(spark)
+        if before:
+            drop_path(spark, before)
+        before = path
     return docs
