@@ -2,13 +2,16 @@
 
 Statistics of whole texts (an Arrow UDF) are joined with labels; a bounded sample of labelled rows
 (``max_labels``, chosen by a hash of the id) trains the list on the driver. Each rule is a
-conjunction of thresholds, grown by information gain on two thirds of the sample and pruned on the
-rest; a rule that is not precise enough on the held part ends the list. The list becomes one
-ordered Spark conditional expression, so applying it is JVM-side.
+conjunction of thresholds, grown by information gain on two thirds of the sample (by a hash of the id)
+and pruned on the rest. A rule that is not precise enough is left out and the rows it was grown for are
+not grown for again; after ``PATIENCE`` such rules in a row the list ends. The list becomes one ordered
+Spark conditional expression, so applying it is JVM-side.
 
 Edge cases: null text has no words and fails the base rule; without labels (or with one class only)
 the list is empty and only the base rule rejects; null quality is no label; repeated labels of an
-id count once (the lowest); repeated documents are judged each by its own text.
+id count once (the lowest); repeated documents are judged each by its own text, of a labelled id the
+longest text trains; equal gains take the first feature and least threshold; very long texts are read
+whole; other columns are carried by ``keep`` whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +28,8 @@ from .common import prepare
 
 #: At most about this many labelled rows train the list.
 MAX_LABELS = 20_000
-MAX_RULES, MAX_CONDITIONS, MIN_PRECISION, MIN_COVER = 12, 4, 0.97, 5
+#: Conditions of a rule at most, precision and rows a rule needs, and rejected rules in a row that end the list.
+MAX_CONDITIONS, MIN_PRECISION, MIN_COVER, PATIENCE = 4, 0.97, 5, 5
 MIN_WORDS, MAX_REPEAT = 50, 50
 
 _SPACE = " \t\n\v\f\r"
@@ -131,12 +136,13 @@ def _grow(x: np.ndarray, bad: np.ndarray) -> list[tuple[int, bool, float]]:
     return rule
 
 
-def learn(x: np.ndarray, bad: np.ndarray, min_precision: float = MIN_PRECISION) -> list[list[tuple[str, bool, float]]]:
-    """Rules (feature, at least?, threshold) of what is bad, in order."""
-    held = np.arange(len(x)) % 3 == 2
-    left, rules = np.ones(len(x), bool), []
-    while len(rules) < MAX_RULES:
-        rule = _grow(x[left & ~held], bad[left & ~held])
+def learn(x: np.ndarray, bad: np.ndarray, ids: np.ndarray, min_precision: float = MIN_PRECISION) -> list[list[tuple[str, bool, float]]]:
+    """Rules (feature, at least?, threshold) of what is bad, in order; ``ids`` split the rows."""
+    held = np.array([xxhash.xxh64_intdigest(str(i)) % 3 == 2 for i in ids.tolist()], bool)
+    left, seek, rules, poor = np.ones(len(x), bool), bad.copy(), [], 0
+    while poor < PATIENCE:
+        grown = left & ~held & (seek | ~bad)
+        rule = _grow(x[grown], bad[grown])
         if not rule:
             break
         xp, yp = x[left & held], bad[left & held]
@@ -150,10 +156,13 @@ def learn(x: np.ndarray, bad: np.ndarray, min_precision: float = MIN_PRECISION)
         rule = max((rule[:k] for k in range(1, len(rule) + 1)), key=worth)
         both = _covers(x, rule) & left
         test = both & held
+        seek &= ~both
         if both.sum() < MIN_COVER or bad[both].mean() < min_precision or not test.any() or bad[test].mean() < min_precision:
-            break
+            poor += 1
+            continue
         rules.append([(FEATURES[f], above, at) for f, above, at in rule])
         left &= ~both
+        poor = 0
     return rules
 
 
@@ -181,10 +190,12 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> l
     share = min(1.0, max_labels / max(n, 1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most about max_labels rows
+    # a repeated id counts once, so that the driver gets no more rows than labels
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
     rows = rows.select("doc_id", "quality", statistics(F.col("text")).alias("s")).select("doc_id", "quality", *[F.col(f"s.{f}").cast("double").alias(f) for f in FEATURES])
     got = rows.toPandas().sort_values(["doc_id", *FEATURES])
     x, bad = got[list(FEATURES)].to_numpy(np.float64), (got["quality"] == 0).to_numpy()
-    return learn(x, bad) if bad.any() and not bad.all() else []
+    return learn(x, bad, got["doc_id"].to_numpy()) if bad.any() and not bad.all() else []
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
