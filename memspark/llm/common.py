@@ -10,6 +10,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,30 +45,29 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-#: Where a pipeline notes its stage's tables, so that the next stage can drop them; None outside pipelines.
-_noted: list[str] | None = None
+#: Paths of the innermost ``scratch`` block; None outside of any.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
-def next_stage(spark: SparkSession) -> None:
-    """Drop the tables of the pipeline's stage before, whose result is stored by now, and note the next one's."""
-    global _noted
-    for path in _noted or ():
-        drop_path(spark, path)
-    _noted = []
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside the block are dropped at its end, but for those written with ``keep``."""
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        paths = _scratch.get() or []
+        _scratch.reset(token)
+        for path in paths:
+            drop_path(spark, path)
 
 
-def end_stages(spark: SparkSession) -> None:
-    global _noted
-    next_stage(spark)
-    _noted = None
-
-
-def written(df: DataFrame, kind: str, **options) -> DataFrame:
+def written(df: DataFrame, kind: str, keep: bool = False, **options) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder."""
     spark = df.sparkSession
     path = fresh_path(spark, kind)
-    if _noted is not None:
-        _noted.append(path)
+    if not keep and _scratch.get() is not None:
+        _scratch.get().append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,9 +1,10 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is a weighted set of five-word shingles (fewer words: the whole text). Weight = (1 + ln tf)
-x idf; idf is ln(1 + N/df) over its value at df = N/100, at most 1, with df counted over distinct
-texts: shingles in up to a hundredth of the texts weigh fully, boilerplate less. The few shingles
-beyond that are found exactly by ``sketch.heavy``.
+x idf; idf is ln(1 + (N + 1000) / df) over its value at df = (N + 1000) / 100, at most 1, with df counted
+over distinct texts: shingles in up to a hundredth of the texts weigh fully, so that a group of near
+copies is not torn by its own frequency, and boilerplate weighs less. The few shingles beyond that are
+found exactly by ``sketch.heavy``.
 
 Each of 64 samples takes, by Ioffe's scheme, the element with the least a = c / (y e^r), where
 ln y = r (t - beta), t = floor(ln w / r + beta); r, c ~ Gamma(2, 1) and beta ~ U(0, 1) are read from a
@@ -11,14 +12,17 @@ table of 65,536 draws at a hash of element and sample. Two texts agree in a samp
 of their weighted Jaccard similarity. Sixteen bands of four samples give buckets; pairs are verified by
 exact weighted Jaccard similarity of 0.8 or more.
 
-A bucket never yields all its pairs. Every member is verified against the bucket's least member, and
-where that leaves members in different classes, against its nearest predecessors in bucket order
-(a bucket up to ``LAGS`` + 1 members is thus compared whole). Exact copies are collapsed first, so
-hot copies weigh nothing; bucket orders of hot buckets are salted.
+A bucket never yields all its pairs. Exact copies are collapsed first, so hot copies weigh nothing. Every
+member is verified against the bucket's least member; where that leaves a bucket in several classes, its
+members are compared with each other in blocks of 128, first by their samples, then exactly, until it is
+settled: no class that a link of the bucket would join stays apart. A bucket of n texts that are alike
+enough to share it and yet in several classes costs n^2 / 2 comparisons of 64 samples, spread over
+(n / 128)^2 / 2 tasks.
 
 Edge cases: equal texts are always one class, texts without words too (null is the empty text); null
-ids get the class but never name it unless all are null; repeated rows are copies; an empty table
-gives no rows.
+ids get the class but never name it unless all are null; repeated rows are copies; ties take the least
+id; a very long text costs memory in proportion to its words; other columns are carried by ``one_of_each``
+whatever their names, and not read otherwise; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,25 +30,29 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, prepare, text_of, written
+from .common import id_text, prepare, scratch, text_of, written
 from .sketch import heavy
 
 WORDS_A_SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
-LAGS = 8
-COMMON = 0.01
+#: Share of the texts up to which a shingle weighs fully, and texts without it that are added to the count.
+COMMON, UNSEEN = 0.01, 1000
+#: Texts of a bucket in a block; samples of the 64 that two texts must share to be compared exactly (at a
+#: similarity of 0.8 fewer agree in four pairs of a million).
+BLOCK, SCREEN = 128, 36
 _K = BANDS * ROWS
 _MEMO = 300_000
 
 _rng = np.random.default_rng(20240229)
-_MULT = _rng.integers(1 << 62, 1 << 63, _K, dtype=np.uint64) | np.uint64(1)
-_R = _rng.gamma(2.0, 1.0, 1 << 16)
-_LOG_C = np.log(_rng.gamma(2.0, 1.0, 1 << 16))
-_BETA = _rng.random(1 << 16)
-_UNIT = (_LOG_C + _R * _BETA - _R).astype(np.float32)  # ln a at weight 1, where t = 0
+_MULT = _rng.integers(1 << 30, 1 << 31, _K, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_R, _LOG_C, _BETA = _rng.gamma(2.0, 1.0, 1 << 16), np.log(_rng.gamma(2.0, 1.0, 1 << 16)), _rng.random(1 << 16)
+#: ln a at weight 1, where t = 0. Draws are kept in its order, so that at weight 1 the least hash wins.
+_UNIT = _LOG_C + _R * _BETA - _R
+_ORDER = np.argsort(_UNIT)
+_R, _LOG_C, _BETA, _UNIT = _R[_ORDER], _LOG_C[_ORDER], _BETA[_ORDER], _UNIT[_ORDER]
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -83,7 +91,7 @@ class Idf:
     def __init__(self, df: dict[int, int], n: int):
         self.keys = np.array(sorted(df), np.uint64)
         counts = np.array([df[int(k)] for k in self.keys.tolist()], float)
-        self.values = np.minimum(1.0, np.log1p(n / np.maximum(counts, 1)) / np.log1p(1 / COMMON))
+        self.values = np.minimum(1.0, np.log1p((n + UNSEEN) / np.maximum(counts, 1)) / np.log1p(1 / COMMON))
 
     def weights(self, keys: np.ndarray, tf: np.ndarray) -> np.ndarray:
         w = 1.0 + np.log(tf)
@@ -94,35 +102,38 @@ class Idf:
         return w
 
 
-def signature(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The band hashes of a weighted set."""
-    best = np.full(_K, np.inf, np.float32)
-    chosen, level = np.zeros(_K, np.uint64), np.zeros(_K, np.int64)
+def samples(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The consistent weighted samples of a weighted set, each as a hash of element and level."""
+    x = (keys ^ (keys >> np.uint64(32))).astype(np.uint32)
+    plain, other = np.flatnonzero(weights == 1.0), np.flatnonzero(weights != 1.0)
+    best, chosen, level = np.full(_K, np.inf), np.zeros(_K, np.uint64), np.zeros(_K, np.int64)
     column = np.arange(_K)
     with np.errstate(over="ignore"):
-        for at in range(0, len(keys), 4096):
-            x, w = keys[at : at + 4096], weights[at : at + 4096]
-            place = ((x[:, None] * _MULT[None, :]) >> np.uint64(48)).astype(np.uint16)
-            a = _UNIT[place]
-            t = np.zeros((0, _K))
-            other = np.flatnonzero(w != 1.0)
-            if len(other):
-                r, b = _R[place[other]], _BETA[place[other]]
-                t = np.floor(np.log(w[other])[:, None] / r + b)
-                a[other] = (_LOG_C[place[other]] - r * (t - b) - r).astype(np.float32)
-            k = np.argmin(a, axis=0)
-            less = a[k, column] < best
-            best = np.where(less, a[k, column], best)
-            chosen = np.where(less, x[k], chosen)
-            ts = np.zeros(_K, np.int64)
-            if len(other):
-                row = np.full(len(x), -1)
-                row[other] = np.arange(len(other))
-                at_other = row[k] >= 0
-                ts[at_other] = t[row[k][at_other], column[at_other]].astype(np.int64)
-            level = np.where(less, ts, level)
-        samples = (chosen ^ (chosen >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        rows = samples.reshape(BANDS, ROWS)
+        for at in range(0, len(plain), 1 << 14):
+            some = plain[at : at + (1 << 14)]
+            place = _MULT[:, None] * x[some][None, :]
+            k = np.argmin(place, axis=1)
+            a = _UNIT[place[column, k] >> np.uint32(16)]
+            chosen = np.where(a < best, keys[some[k]], chosen)
+            best = np.minimum(a, best)
+        for at in range(0, len(other), 1 << 12):
+            some = other[at : at + (1 << 12)]
+            place = (_MULT[:, None] * x[some][None, :]) >> np.uint32(16)
+            r, beta = _R[place], _BETA[place]
+            t = np.floor(np.log(weights[some])[None, :] / r + beta)
+            a = _LOG_C[place] - r * (t - beta) - r
+            k = np.argmin(a, axis=1)
+            less = a[column, k] < best
+            chosen = np.where(less, keys[some[k]], chosen)
+            level = np.where(less, t[column, k].astype(np.int64), level)
+            best = np.minimum(a[column, k], best)
+        return (chosen ^ (chosen >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def banded(drawn: np.ndarray) -> np.ndarray:
+    """The band hashes of some samples."""
+    rows = drawn.reshape(BANDS, ROWS)
+    with np.errstate(over="ignore"):
         h = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)
         for j in range(ROWS):
             h = (h ^ rows[:, j]) * np.uint64(0xA0761D6478BD642F)
@@ -130,6 +141,11 @@ def signature(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return h
 
 
+def signature(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The band hashes of a weighted set."""
+    return banded(samples(keys, weights))
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of (keys, weights)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -168,41 +184,86 @@ class NearDuplicates:
             keys = np.concatenate([shingles(t)[0] for t in texts]) if texts else np.zeros(0, np.uint64)
             yield keys, np.ones(len(keys), np.int64), np.zeros(len(keys), np.uint64)
 
-        df, n, _ = heavy(self.texts.select("text"), keys_of, lambda n, total: max(2, int(np.ceil(COMMON * n))))
+        df, n, _ = heavy(self.texts.select("text"), keys_of, lambda n, total: max(2, int(np.ceil(COMMON * (n + UNSEEN)))))
         self.idf = spark.sparkContext.broadcast(Idf({k: c for k, (c, _) in df.items()}, n))
         idf = self.idf
 
-        def bands(batches):
+        def sketch(batches):
             for pdf in batches:
-                nodes, keys = [], []
+                rows = []
                 for node, text in zip(pdf["node"], pdf["text"]):
                     k, tf = shingles(text)
                     if len(k):
-                        nodes.append(node)
-                        keys.append(signature(k, idf.value.weights(k, tf)).astype(np.int64))
-                if nodes:
-                    yield pd.DataFrame({"node": np.repeat(nodes, BANDS), "bucket": np.concatenate(keys)})
+                        drawn = samples(k, idf.value.weights(k, tf))
+                        rows.append((node, banded(drawn).astype(np.int64), drawn.astype("<u4").tobytes()))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["node", "bands", "samples"])
 
-        bucketed = self.texts.select("node", "text").mapInPandas(bands, "node string, bucket long")
-        bucketed = written(bucketed, "buckets")
+        sketches = written(self.texts.select("node", "text").mapInPandas(sketch, "node string, bands array<long>, samples binary"), "sketches", compression="zstd")
+        bucketed = sketches.select("node", F.explode("bands").alias("bucket"))
         leaders = bucketed.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = written(bucketed.join(leaders, "bucket"), "buckets")
         stars = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         links = written(self.verified(stars), "links")
         labels = components(links)
-        # what is left apart in a bucket: nearest predecessors; hot buckets are ordered in salted pieces
-        apart = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = apart.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-        apart = apart.join(mixed, "bucket").withColumn("salt", F.pmod(F.xxhash64("node", "bucket"), F.greatest(F.lit(1), F.floor(F.col("n") / 1000)).cast("long")))
-        order = Window.partitionBy("bucket", "salt").orderBy(F.xxhash64("node", "bucket"), "node")
-        before = F.array(*[F.lag(F.struct("node", "label"), k).over(order) for k in range(1, LAGS + 1)])
-        apart = apart.withColumn("before", before)
-        pairs = apart.select("node", "label", F.explode("before").alias("p")).where("p is not null and p.label <> label")
-        pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-        more = written(self.verified(pairs), "links")
+        more = written(self.settled(shared, labels, sketches), "links")
         self.links = links.unionAll(more)
         self.labels = labels if more.isEmpty() else components(self.links)
 
+    def settled(self, shared: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Links (a, b, similarity) that join texts which share a bucket but not yet a class. The texts of such a
+        bucket (its leader is done) are dealt over blocks; every two blocks meet in one task, where pairs that share enough samples
+        and are still apart in the task are compared exactly, each in the first bucket that holds both. A task
+        returns a forest: a link is only left out where others of the task already join its ends."""
+        idf, least = self.idf, self.threshold
+        # every member has been compared with its leader
+        apart = shared.where("n > 2 and node <> leader").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = apart.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("bucket", "m")
+        apart = apart.select("bucket", "node", "label").join(mixed, "bucket").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
+        apart = apart.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("p", q).alias("i"), F.greatest("p", q).alias("j")))
+        dealt = apart.select("bucket", "node", "label", "p", F.explode(meet).alias("c")).select("bucket", "node", "label", "p", "c.i", "c.j")
+        dealt = dealt.join(sketches, "node").join(self.texts.select("node", "text"), "node")
+
+        def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            bucket, i, j = key
+            n = len(pdf)
+            nodes, texts, part = pdf["node"].tolist(), pdf["text"].tolist(), pdf["p"].to_numpy()
+            drawn = np.frombuffer(b"".join(pdf["samples"]), "<u4").reshape(n, _K)
+            bands = np.stack(pdf["bands"].tolist())
+            tree = {x: k for k, x in enumerate(dict.fromkeys(pdf["label"]))}
+            start = np.array([tree[x] for x in pdf["label"]])
+            parent = list(range(len(tree)))
+            weighed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+            def root(x):
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            def of(x):
+                if x not in weighed:
+                    k, tf = shingles(texts[x])
+                    weighed[x] = k, idf.value.weights(k, tf)
+                return weighed[x]
+
+            out = []
+            for x in range(n):
+                maybe = np.flatnonzero((start[x + 1 :] != start[x]) & ((i == j) | (part[x + 1 :] != part[x]))) + x + 1
+                maybe = maybe[(drawn[maybe] == drawn[x]).sum(axis=1) >= SCREEN]
+                if not len(maybe):
+                    continue
+                same = bands[maybe] == bands[x]
+                for y in maybe[bands[x][np.argmax(same, axis=1)] == bucket].tolist():
+                    u, v = root(start[x]), root(start[y])
+                    if u != v and (s := similarity(of(x), of(y))) >= least:
+                        parent[v] = u
+                        out.append((*sorted((nodes[x], nodes[y])), s))
+            return pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+        return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a string, b string, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose texts are similar enough, with their similarity."""
         idf, least = self.idf, self.threshold
@@ -235,19 +296,20 @@ class NearDuplicates:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    found = NearDuplicates(docs)
-    classes = written(found.classes(), "classes")
+    with scratch(docs.sparkSession):
+        found = NearDuplicates(docs)
+        classes = written(found.classes(), "classes", keep=True)
     return found.members.join(classes, "node").select("doc_id", "class_id", "class_size", "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The document of least id of each class, with all its columns."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    found = NearDuplicates(docs)
-    classes = found.classes()
-    members = found.members.join(classes.select("node", "label"), "node")
-    first = members.groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("least"), "doc_id", "node")).alias("w"))
-    first = first.select(id_text("w.doc_id").alias("__id"), F.col("w.node").alias("__node"))
+    with scratch(docs.sparkSession):
+        found = NearDuplicates(docs)
+        members = found.members.join(found.classes().select("node", "label"), "node")
+        first = members.groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("least"), "doc_id", "node")).alias("w"))
+        first = written(first.select(id_text("w.doc_id").alias("__id"), F.col("w.node").alias("__node")), "first", keep=True)
     keyed = docs.select(F.struct(*columns).alias("__row"), id_text().alias("__id"), F.md5(text_of().cast("binary")).alias("__node"))
     kept = keyed.join(first, ["__id", "__node"], "left_semi").groupBy("__id", "__node").agg(F.first("__row").alias("__row"))
     return kept.select("__row.*")
