@@ -1,21 +1,28 @@
 """Personal data: base detectors and information-theoretic sanitisation, in DataFrame expressions only.
 
 Detectors find protected entities (e-mail addresses, IP addresses, card numbers, phone numbers, and
-assigned secrets) with positions in code points. The corpus then tells which words near an entity
-reveal it: with n documents, n_c with the entity c, n_t with the word t and n_ct with t near c, the
-disclosure of c by t is PMI = log2(n n_ct / (n_c n_t)), at most the entity's own information
-IC = log2(n / n_c). A word that is near c in at least ``SUPPORT`` different texts and has PMI of
-``SHARE`` x IC or more discloses c; its occurrences near c become spans of kind ``term``. ``sanitise``
-generalises entities to their kind and removes disclosing words.
+assigned secrets) with positions in code points. The corpus then tells which words reveal them. An entity
+is known to the corpus in two ways: by its class, with which every word of a document that holds the class
+co-occurs, and by its value, with which the words of its context (``REACH`` code points on each side)
+co-occur. With n documents, n_c with the entity c, n_t with the word t and n_ct with both, the disclosure
+of c by t is PMI = log2(n n_ct / (n_c n_t)), at most the entity's own information IC = log2(n / n_c).
+A word discloses c if PMI is ``SHARE`` x IC or more and k x PMI, the bits that k different contexts of c
+give, exceeds ``DOUBT`` bits and the logarithm of the number of pairs tested (copies, and near copies with
+the same surroundings, are one context). Every occurrence of such a word, in every document that holds
+the entity, becomes a span of kind ``term``. ``sanitise`` generalises entities to their kind and removes
+disclosing words.
 
 Patterns are written so that a match takes linear time: a run is only entered at its start, or where
 the last match ended, and repeats are possessive; the spans equal those of the plain patterns.
 
-Scale: one pass finds entities and their neighbourhoods, one counts document frequencies with partial
-aggregation; only entity neighbourhoods are joined. Nothing is collected or broadcast by hand.
+Scale: one pass finds entities and their contexts, one counts document frequencies with partial
+aggregation; only documents with an entity are joined (each gives its words at most once for each class,
+not for each entity). Nothing is collected or broadcast by hand but two counts.
 
 Edge cases: null text is empty and has no spans; a null or repeated id is an ordinary row; equal rows
-get equal results; copies of a text count once for support; an empty table gives no rows.
+get equal results; copies of a text are one context; spans that start together are ordered by kind; very
+long texts with many matches are placed in runs of ``RUN``, so that time stays in proportion; other
+columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,13 +30,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, prepare, text_of, written
+from .common import id_text, prepare, scratch, text_of, written
 
 KINDS = ("email", "ip", "card", "phone", "secret", "term")
 BASE = 4
-SUPPORT, SHARE = 2, 0.75
-#: Code points on each side of an entity that are searched for disclosing words, and words taken there.
-REACH, NEAR = 60, 4
+#: Part of an entity's information that a word must give, and bits of evidence beyond chance among all pairs tested.
+SHARE, DOUBT = 0.75, 4.0
+#: Code points on each side of an entity that are the context of its value.
+REACH = 200
+#: Matches that are placed together.
+RUN = 64
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -62,22 +72,43 @@ VALID = {
 }
 
 
-def found(text: Column, kind: str) -> Column:
-    """array<struct<start, kind, end, value>> of a kind's valid matches; positions from 0."""
-    pattern, number = F.lit(PATTERNS[kind]), KINDS.index(kind)
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    matches, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PATTERNS[kind], -1)
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+_SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
+
+
+def _placed(text: Column, pattern: Column, kind: int) -> Column:
+    """array<struct<start, kind, end, value>> of a pattern's matches; positions from 0."""
+    empty = F.array().cast(_SPANS)
+    pairs = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit")), lambda p: p["hit"].isNotNull())
 
     def step(acc, pair):
         begin = acc["at"] + F.length(pair["gap"])
         end = begin + F.length(pair["hit"])
-        span = F.struct(begin.alias("start"), F.lit(number).alias("kind"), end.alias("end"), pair["hit"].alias("value"))
+        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["hit"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("hit"))
-    spans = F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(NEEDS[kind]), F.filter(spans, lambda s: VALID[kind](s["value"]))).otherwise(empty)
+    def run(some, k):  # the spans of a run of matches from its own start, and its length
+        return F.aggregate(F.slice(some, k * RUN + 1, RUN), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)
+
+    def join(acc, part):
+        starts = F.concat(acc["parts"], F.array(F.struct(acc["at"].alias("at"), part["spans"].alias("spans"))))
+        return F.struct((acc["at"] + part["at"]).alias("at"), starts.alias("parts"))
+
+    none = F.array().cast(f"array<struct<at:int,spans:{_SPANS}>>")
+    moved = lambda p: F.transform(p["spans"], lambda s: F.struct((s["start"] + p["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + p["at"]).alias("end"), s["value"].alias("value")))
+
+    def placed(some):
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(some) - 1) / RUN).cast("int")), lambda k: run(some, k))
+        parts = F.aggregate(runs, F.struct(F.lit(0).alias("at"), none.alias("parts")), join, lambda acc: acc["parts"])
+        return F.when(F.size(some) > 0, F.flatten(F.transform(parts, moved))).otherwise(empty)
+
+    # the one element of an array is a variable: the pattern is matched once
+    return F.element_at(F.transform(F.array(pairs), placed), 1)
+
+
+def found(text: Column, kind: str) -> Column:
+    """The spans of a kind's valid matches."""
+    spans = _placed(text, F.lit(PATTERNS[kind]), KINDS.index(kind))
+    return F.when(text.rlike(NEEDS[kind]), F.filter(spans, lambda s: VALID[kind](s["value"]))).otherwise(F.array().cast(_SPANS))
 
 
 def _joined(spans: Column) -> Column:
@@ -85,61 +116,80 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """doc_id, key, text_key, and the entities of each row with the text on either side."""
+def entities(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, id, text_key, entities and hash of each row; the text of rows that have any entity, or of all."""
     rows = docs.select("doc_id", text_of().alias("text"))
     rows = rows.select("doc_id", "text", F.array_sort(F.concat(*[found(F.col("text"), k) for k in KINDS[:-1]])).alias("spans"))
-    around = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), F.substring("text", F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH))).alias("left"), F.substring("text", s["end"] + 1, F.lit(REACH)).alias("right")))
-    return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), around.alias("spans"))
-
+    some = F.size("spans") > 0
+    return rows.select("doc_id", id_text().alias("id"), F.md5(F.col("text").cast("binary")).alias("text_key"), "spans", (F.col("text") if whole else F.when(some, F.col("text"))).alias("text"), F.when(~some, F.sha2(F.col("text").cast("binary"), 256)).alias("plain_sha256"))
 
-def _near(side: Column, begin: Column, last: bool) -> Column:
-    """array<struct<start, end, term>> of the words nearest to an entity."""
-    empty = F.array().cast("array<struct<start:int,end:int,term:string>>")
-    pairs = F.arrays_zip(F.split(side, TERM, -1).alias("gap"), F.regexp_extract_all(side, F.lit(TERM), F.lit(0)).alias("hit"))
 
-    def step(acc, pair):
-        at = acc["at"] + F.length(pair["gap"])
-        word = F.struct(at.alias("start"), (at + F.length(pair["hit"])).alias("end"), F.lower(pair["hit"]).alias("term"))
-        return F.struct((at + F.length(pair["hit"])).alias("at"), F.concat(acc["words"], F.array(word)).alias("words"))
-
-    words = F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), F.struct(begin.cast("int").alias("at"), empty.alias("words")), step, lambda acc: acc["words"])
-    # the word that the window cuts at its outer edge may not be whole; it is the outermost one
-    return F.slice(words, F.greatest(F.size(words) - NEAR + 1, F.lit(1)), F.lit(NEAR)) if last else F.slice(words, 1, NEAR)
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
 def disclosures(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """doc_id text, text_key, added: the disclosing words' spans of each row that has any."""
-    each = rows.where(F.size("spans") > 0).select(id_text().alias("id"), "text_key", F.explode("spans").alias("s"))
+    """id, text_key, terms: the disclosing words of each row that has any."""
+    held = rows.where(F.size("spans") > 0).select("id", "text_key", "text", F.explode("spans").alias("s"))
+    left = F.substring("text", F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH)))
+    right = F.substring("text", F.col("s.end") + 1, F.lit(REACH))
+    # a word that the reach cuts is not whole
+    left = F.when(F.col("s.start") > REACH, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
+    right = F.when(F.length("text") > F.col("s.end") + REACH, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
+    context = F.concat(left, F.lit(" "), right)
     value = F.when(F.col("s.kind").isin(2, 3), _digits(F.col("s.value"))).otherwise(F.lower("s.value"))
-    words = F.concat(_near(F.col("s.left"), F.col("s.start") - F.length("s.left"), True), _near(F.col("s.right"), F.col("s.end"), False))
-    each = each.select("id", "text_key", F.concat_ws(":", "s.kind", value).alias("entity"), words.alias("words"))
-    near = each.select("id", "text_key", "entity", F.explode("words").alias("w")).select("id", "text_key", "entity", "w.*")
-    seen = near.select("id", "text_key", "entity", "term").distinct()
-    pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.min("text_key").alias("k0"), F.max("text_key").alias("k1")).where("k0 <> k1" if SUPPORT == 2 else "true").select("entity", "term", "n_ct")
-    of_entity = each.select("id", "text_key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(TERM), F.lit(0)))).alias("term"))
-    of_term = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = float(rows.count())
-    judged = pairs.join(of_entity, "entity").join(of_term, "term")
+    each = held.select("id", "text_key", F.col("s.kind").alias("kind"), F.concat_ws(":", "s.kind", value).alias("entity"), context.alias("context"))
+    near = each.select("id", "text_key", "entity", F.xxhash64("context").alias("place"), F.explode(_terms(F.col("context"))).alias("term"))
+    classes = each.groupBy("id", "text_key", F.col("kind").cast("string").alias("entity")).agg(F.min(F.xxhash64("context")).alias("place"))
+    texts = rows.where(F.size("spans") > 0).select("id", "text_key", "text").dropDuplicates(["id", "text_key"])
+    wide = classes.join(texts, ["id", "text_key"]).select("id", "text_key", "entity", "place", F.explode(_terms(F.col("text"))).alias("term"))
+    seen = near.unionAll(wide).groupBy("entity", "term", "place", "id", "text_key").agg(F.lit(1).alias("one"))
+    pairs = written(seen.groupBy("entity", "term", "place").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("k")), "pairs")
+    of_value = each.select("id", "text_key", "entity").distinct()
+    by_value = of_value.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
+    by_class = F.broadcast(classes.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")))  # a row for each kind at most
+    of_term = docs.select(F.explode(_terms(text_of())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n, tested = float(rows.count()), max(1, pairs.count())
+    counted = pairs.where("k > 1 and entity like '%:%'").join(by_value, "entity").unionByName(pairs.where("k > 1 and entity not like '%:%'").join(by_class, "entity"))
+    judged = counted.join(of_term, "term")
     pmi = F.log2(n * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    strong = judged.where((pmi >= SHARE * F.log2(n / F.col("n_c"))) & (F.col("n_c") < n)).select("entity", "term")
-    hits = near.join(strong, ["entity", "term"]).select("id", "text_key", F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end").alias("span"))
-    return hits.groupBy("id", "text_key").agg(F.collect_set("span").alias("added"))
+    strong = judged.where((pmi >= SHARE * F.log2(n / F.col("n_c"))) & (F.col("k") * pmi >= F.lit(DOUBT) + F.log2(F.lit(float(tested))))).select("entity", "term")
+    # a value's words are marked in all of its documents, wherever they stand
+    hits = of_value.join(strong.where("entity like '%:%'"), "entity").select("id", "text_key", "term").unionAll(wide.join(strong, ["entity", "term"]).select("id", "text_key", "term"))
+    return hits.groupBy("id", "text_key").agg(F.collect_set("term").alias("terms"))
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, base and all spans (array<struct<start, kind, end>>) of every row."""
+def detect(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, found (entities), added (disclosing words), sanitised text (of rows without an entity only if
+    ``whole``) and its hash."""
     prepare(docs.sparkSession)
-    rows = written(entities(docs), "entities")
-    extra = disclosures(docs, rows)
-    plain = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    flat = rows.select("doc_id", "text_key", id_text().alias("id"), plain.alias("found"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    joined = flat.join(extra, ["id", "text_key"], "left")
+    rows = written(entities(docs, whole), "entities", keep=True)
+    with scratch(docs.sparkSession):
+        extra = written(disclosures(docs, rows), "terms", keep=True)
+    none = F.array().cast(_SPANS)
+    some = rows.where(F.size("spans") > 0).join(extra, ["id", "text_key"], "left")
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort("terms"), "|"), F.lit(r")(?!\p{L})"))
+    words = F.when(F.col("terms").isNotNull(), _placed(F.col("text"), pattern, KINDS.index("term"))).otherwise(none)
     # a word inside an entity is already covered
-    added = F.filter(F.coalesce("added", none), lambda w: ~F.exists("found", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    return joined.select("doc_id", "text_key", "found", added.alias("added"))
+    words = F.filter(words, lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    some = some.select("doc_id", F.col("spans").alias("found"), words.alias("added"), "text")
+    some = some.withColumn("sanitised", _sanitised(F.col("text"), F.array_sort(F.concat("found", "added"))))
+    some = some.select("doc_id", "found", "added", "sanitised", F.sha2(F.col("sanitised").cast("binary"), 256).alias("sanitised_sha256"))
+    plain = rows.where(F.size("spans") == 0).select("doc_id", F.col("spans").alias("found"), none.alias("added"), F.col("text").alias("sanitised"), F.col("plain_sha256").alias("sanitised_sha256"))
+    return some.unionAll(plain)
+
+
+def _sanitised(text: Column, spans: Column) -> Column:
+    """The text with entities generalised to their kind and disclosing words removed; of overlapping spans the first stands."""
+    label = F.array(*[F.lit("" if k == "term" else f"[{k.upper()}]") for k in KINDS])
+
+    def step(acc, s):
+        part = F.struct(acc["at"].alias("a"), F.greatest(s["start"], acc["at"]).alias("b"), F.when(s["start"] >= acc["at"], F.element_at(label, s["kind"] + 1)).otherwise("").alias("label"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["parts"], F.array(part)).alias("parts"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int,label:string>>").alias("parts"))
+    pieces = F.aggregate(spans, start, step, lambda acc: F.concat(acc["parts"], F.array(F.struct(acc["at"].alias("a"), F.length(text).alias("b"), F.lit("").alias("label")))))
+    return F.array_join(F.transform(pieces, lambda p: F.concat(F.substring(text, p["a"] + 1, p["b"] - p["a"]), p["label"])), "")
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -150,19 +200,10 @@ def query(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
 
     counts = [count(k) for k in range(5)]
-    return rows.select("doc_id", *counts[:BASE], F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.concat("found", "added")).alias("spans"), counts[4], F.size("added").cast("long").alias("n_term"))
+    n_spans = (F.size("found") + F.size("added")).cast("long").alias("n_spans")
+    return rows.select("doc_id", *counts[:BASE], F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.concat("found", "added")).alias("spans"), counts[4], F.size("added").cast("long").alias("n_term"), n_spans, "sanitised_sha256")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """doc_id, sanitised: texts with entities generalised to their kind and disclosing words removed."""
-    spans = detect(docs).select(id_text().alias("id"), "text_key", F.array_sort(F.concat("found", "added")).alias("spans")).dropDuplicates(["id", "text_key"])
-    rows = docs.select("doc_id", text_of().alias("text")).withColumn("id", id_text()).withColumn("text_key", F.md5(F.col("text").cast("binary")))
-    label = F.array(*[F.lit("" if k == "term" else f"[{k.upper()}]") for k in KINDS])
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        out = F.concat(acc["out"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.element_at(label, s["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, out).otherwise(acc["out"]).alias("out"))
-
-    whole = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    return rows.join(spans, ["id", "text_key"]).select("doc_id", whole.alias("sanitised"))
+    return detect(docs, whole=True).select("doc_id", "sanitised")
