@@ -14,12 +14,17 @@ text or in the same one, is removed; strings are judged on the input and never c
    suffix array is built by Larsson-Sadakane refinement in numpy, common prefixes come from Kasai's
    rule, and runs with a common prefix of 400 bytes are the repeated strings. A group larger than a
    shard is cut into several shards, merged by binary search of each one's suffixes in the others.
-   A group beyond ``GROUP`` neighbourhoods is dealt out by a 128-bit hash of each 400-byte string
+   A group beyond ``GROUP`` neighbourhoods is merged by a 128-bit hash of each 400-byte string
    instead, which is as exact and has no hot task.
 4. Repeated stretches go back to all places of their neighbourhood and are united in each text.
 
+Passages of over 50 words may be shorter than 400 bytes. ``shared_passages`` counts for each text the
+runs of 26 words, picked by winnowing so that every 51 words hold one, that another text (or a copy)
+picks too; the query reports the count beside the contract's columns.
+
 Edge cases: null text is empty; texts under 400 bytes lose nothing; null or repeated ids are ordinary
-rows (a repeated row is a repeated text); an empty table gives no rows.
+rows (a repeated row is a repeated text); equal strings have no order, all of them go; a very long text
+is read in blocks of 1 MB; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,11 +38,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_of, written
+from .common import prepare, scratch, text_of, written
+from .lmscore import END, hashed, tokenised
 
 LENGTH, GRAM = 400, 64
 SHARD = 2 << 20
+#: Different neighbourhoods of a gram that one task merges by suffix arrays.
 GROUP = 8192
+#: Words of a fingerprint, and words of which every run holds one.
+PASSAGE_GRAM, PASSAGE = 26, 51
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _BLOCK = 1 << 20
@@ -64,34 +73,82 @@ def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def winnowed(v: np.ndarray, width: int) -> np.ndarray:
+    """For every ``width`` successive values the place of the least; the low 21 bits of a value are its place."""
+    padded = np.full(-(-len(v) // width) * width + width, np.iinfo(np.uint64).max, np.uint64)
+    padded[: len(v)] = v
+    rows = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    n = len(v) - width + 1
+    return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & np.uint64(0x1FFFFF)).astype(np.int64)
+
+
+def _marked(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(0xFFFFFFFFFFE00000)) | np.arange(len(h), dtype=np.uint64)
+
+
 def picked(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places and hashes of the grams picked by the strings of ``data``, and the first and last string
     that picks each (every string picks one: the leftmost of least hash in it)."""
     places, hashes, firsts, lasts = [], [], [], []
-    width = length - gram + 1
     for begin in range(0, len(data) - length + 1, _BLOCK - length + 1):
         part = np.frombuffer(data, np.uint8)[begin : begin + _BLOCK]
         h = gram_hashes(part, gram)
-        v = (h & np.uint64(0xFFFFFFFFFFE00000)) | np.arange(len(h), dtype=np.uint64)
-        padded = np.full(-(-len(v) // width) * width + width, np.iinfo(np.uint64).max, np.uint64)
-        padded[: len(v)] = v
-        rows = padded.reshape(-1, width)
-        ahead = np.minimum.accumulate(rows, axis=1).ravel()
-        behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-        n = len(v) - width + 1
-        chosen = (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & np.uint64(0x1FFFFF)).astype(np.int64)
+        chosen = winnowed(_marked(h), length - gram + 1)
         first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
         at = chosen[first]
         places.append(at + begin)
         hashes.append(h[at])
         firsts.append(first + begin)
-        lasts.append(np.append(first[1:], n) - 1 + begin)
+        lasts.append(np.append(first[1:], len(chosen)) - 1 + begin)
     if not places:
         none = np.zeros(0, np.int64)
         return none, np.zeros(0, np.uint64), none, none
     return tuple(np.concatenate(x) for x in (places, hashes, firsts, lasts))
 
 
+def _runs(h: np.ndarray, size: int) -> np.ndarray:
+    """A polynomial hash of each ``size`` successive hashes, put together from runs of doubling length."""
+    out, done, power, k = None, 0, h, 1
+    while True:
+        if size & k:
+            if out is None:
+                out = power
+            else:
+                n = len(h) - done - k + 1
+                out = out[:n] * np.uint64(pow(_BASE, k, 1 << 64)) + power[done : done + n]
+            done += k
+        if done == size:
+            return out.copy()
+        power = power[:-k] * np.uint64(pow(_BASE, k, 1 << 64)) + power[k:]
+        k *= 2
+
+
+def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, hash) of the runs of ``PASSAGE_GRAM`` words picked in some texts."""
+    out_text, out_hash = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    tokens, sizes = tokenised([_bytes(t) for t in texts])
+    words = tokens.dictionary_encode()
+    h = hashed(words.dictionary.to_pylist())[words.indices.to_numpy()]
+    text = np.repeat(np.arange(len(texts)), sizes)
+    last = np.flatnonzero(h == hashed([END])[0])
+    width, step = PASSAGE - PASSAGE_GRAM + 1, 1 << 20
+    for begin in range(0, len(h) - PASSAGE + 1, step):
+        part = h[begin : begin + step + PASSAGE - 1]
+        with np.errstate(over="ignore"):
+            g = _runs(part, PASSAGE_GRAM)
+            g ^= g >> np.uint64(29)
+            g *= np.uint64(0xBF58476D1CE4E5B9)
+            g ^= g >> np.uint64(32)
+        chosen = np.unique(winnowed(_marked(g), width))
+        whole = np.searchsorted(last, chosen + begin) == np.searchsorted(last, chosen + begin + PASSAGE_GRAM)  # no end inside
+        chosen = chosen[whole]
+        out_text.append(text[chosen + begin])
+        out_hash.append(g[chosen])
+    return np.concatenate(out_text), np.concatenate(out_hash)
+
+
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Positions in order of their suffixes, by Larsson-Sadakane refinement: ranks double their reach,
     sorted groups are left alone."""
@@ -347,7 +404,7 @@ def repeats(texts: DataFrame) -> DataFrame:
             rows = []
             for node, text, w in zip(pdf["node"], pdf["text"], pdf["w"]):
                 data = _bytes(text)
-                base = _signed(xxhash.xxh3_64_intdigest(node.encode()) & ~0xFFFFFFFF)
+                base = xxhash.xxh3_64_intdigest(node.encode()) >> 2  # far apart for different texts
                 for x in w:
                     a, b = x["place"] + x["low"], x["place"] + x["high"]
                     rows.append((x["gram"], x["n"], x["hood"], x["twice"], base + a, x["low"], data[a:b]))
@@ -403,6 +460,25 @@ def repeats(texts: DataFrame) -> DataFrame:
     return spread.groupBy("node").agg(F.collect_set(F.struct((F.col("place") + F.col("low")).alias("a"), (F.col("place") + F.col("high")).alias("b"))).alias("stretches"))
 
 
+def shared_passages(texts: DataFrame) -> DataFrame:
+    """(node, text, copies) -> (key, n_passages), key being 60 bits of the node, of the texts that share a fingerprint with another."""
+
+    def pick(batches):
+        for pdf in batches:
+            which, h = fingerprints(pdf["text"].tolist())
+            order = np.lexsort((h, which))
+            which, h = which[order], h[order].view(np.int64)
+            new = np.concatenate([[True], (which[1:] != which[:-1]) | (h[1:] != h[:-1])])[: len(h)]
+            at = which[new]
+            yield pd.DataFrame({"gram": h[new], "key": pdf["key"].to_numpy()[at], "copied": pdf["copies"].to_numpy()[at] > 1})
+
+    keyed = texts.select(F.conv(F.substring("node", 1, 15), 16, 10).cast("long").alias("key"), "text", "copies")
+    grams = written(keyed.mapInPandas(pick, "gram long, key long, copied boolean"), "grams", compression="zstd")
+    # copied texts share all they have; of the others a gram's texts are told apart by counting
+    common = grams.groupBy("gram").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("copied").alias("copied")).where("a <> b or copied").select("gram")
+    return grams.join(common, "gram").groupBy("key").agg(F.count(F.lit(1)).alias("n_passages"))
+
+
 def united(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(parts):
@@ -414,11 +490,12 @@ def united(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def deduplicate(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of every row, and per distinct text: node, kept_bytes, n_bytes, n_removed, n_spans, kept_sha256."""
+    """(doc_id, node) of every row, and per distinct text: node, kept_bytes, n_bytes, n_removed, n_spans, kept_sha256, n_passages."""
     prepare(docs.sparkSession)
     rows = docs.select("doc_id", text_of().alias("text"))
     keyed = rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("node"), "text")
     texts = written(keyed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text")), "texts", compression="zstd")
+    passages = written(shared_passages(texts), "passages")
     joined = texts.join(repeats(texts), "node", "left")
 
     @F.pandas_udf("kept_bytes binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -436,10 +513,12 @@ def deduplicate(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pd.DataFrame(out, columns=["kept_bytes", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     members = rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("node"))
-    return members, joined.select("node", remove("text", "copies", "stretches").alias("r")).select("node", "r.*")
+    out = joined.select("node", remove("text", "copies", "stretches").alias("r")).select("node", "r.*", F.conv(F.substring("node", 1, 15), 16, 10).cast("long").alias("key"))
+    return members, out.join(passages, "key", "left").withColumn("n_passages", F.coalesce("n_passages", F.lit(0)).cast("long")).drop("key")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    members, texts = deduplicate(docs)
-    digest = written(texts.select("node", "n_bytes", "n_removed", "n_spans", "kept_sha256"), "digest")
-    return members.join(digest, "node").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    with scratch(docs.sparkSession):
+        members, texts = deduplicate(docs)
+        digest = written(texts.select("node", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages"), "digest", keep=True)
+    return members.join(digest, "node").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages")

@@ -626,3 +626,67 @@ def test_pipeline(spark, tmp_path):
 
 def test_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")) == list(range(1, 11)) and "pipeline" in QUERIES
+
+
+def test_shared_passages(spark):
+    """Every passage of over 50 words that two texts share is found, nothing else is."""
+    r = random.Random(21)
+    fresh = itertools.count()
+    own = lambda n: " ".join(f"{r.choice(EN)}{next(fresh)}" for _ in range(n))
+    rows, want = [], set()
+    for k in range(40):
+        n = (51, 60, 200, 20)[k % 4]
+        shared = own(n)
+        for d in (2 * k, 2 * k + 1):
+            rows.append((d, f"{own(r.randrange(80))} {shared} {own(r.randrange(80))}"))
+            want |= {d} if n > 50 else set()
+    rows += [(100, own(300)), (101, "the " * 400), (102, None), (103, own(60)), (104, own(30))]
+    rows.append((105, rows[-2][1]))
+    want |= {103, 105}
+    got = {x["doc_id"] for x in suffixdedup.query(documents(spark, rows).repartition(5)).collect() if x["n_passages"]}
+    assert got == want
+
+
+def test_lm_beats_base_on_held_out_texts(spark):
+    got = lmscore.query(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got["s"] > got["b"]
+
+
+def test_near_duplicates_in_a_shared_bucket(spark):
+    """Near copies are found among many texts that share most of a long notice but are not near-duplicates."""
+    r = random.Random(22)
+    notice = prose(77, 150)
+    rows = [(k, f"{notice} {' '.join(f'w{r.randrange(10**9)}' for _ in range(60))}") for k in range(400)]
+    for k in range(0, 400, 10):
+        w = rows[k][1].split()
+        w[160] = "changed"
+        rows.append((1000 + k, " ".join(w)))
+    cls = {x["doc_id"]: x["class_id"] for x in neardup.query(documents(spark, rows)).collect()}
+    assert all(cls[1000 + k] == k for k in range(0, 400, 10))
+    assert len(set(cls.values())) == 400
+
+
+def test_pii_terms_brute_force(spark):
+    """Disclosing words against a plain count over whole texts and contexts."""
+    r = random.Random(31)
+    rows = [(k, prose(k, 40)) for k in range(400)]
+    rows += [(1000 + k, f"Dear Quillon,\n{prose(2000 + k, 30)}\nwrite to q{k}@mail{k}.org today {prose(k, 8)}\nregards Marisk") for k in range(8)]
+    rows += [(2000 + k, f"{prose(3000 + k, 20)} Marisk {prose(k, 9)}") for k in range(30)]
+    texts = dict(rows)
+    emails = {d: [m.span() for m in re.finditer(PLAIN["email"], t)] for d, t in rows}
+    has = {d for d, e in emails.items() if e}
+    terms = {d: set(re.findall(r"[^\W\d_]{3,}", t.lower())) for d, t in rows}
+    n = len(rows)
+    near = {d: set(re.findall(r"[^\W\d_]{3,}", (texts[d][max(0, emails[d][0][0] - 200) : emails[d][0][0]] + " " + texts[d][emails[d][0][1] : emails[d][0][1] + 200]).lower())) for d in has}
+    tested = len({t for d in has for t in terms[d]}) + sum(map(len, near.values()))
+    want = set()
+    for t in {t for d in has for t in terms[d]}:
+        n_t, n_ct = sum(t in x for x in terms.values()), sum(t in terms[d] for d in has)
+        pmi = np.log2(n * n_ct / (len(has) * n_t))
+        if n_ct > 1 and pmi >= pii.SHARE * np.log2(n / len(has)) and n_ct * pmi >= pii.DOUBT + np.log2(tested):
+            want.add(t)
+    assert "quillon" in want and "marisk" not in want
+    for x in pii.query(documents(spark, rows)).collect():
+        found = {texts[x["doc_id"]][int(a) : int(b)].lower() for kind, a, b in (s.split(":") for s in x["spans"].split(",") if s) if kind == "term"}
+        inside = {w for a, b in emails[x["doc_id"]] for w in re.findall(r"[^\W\d_]{3,}", texts[x["doc_id"]][a:b].lower())}
+        assert found - inside == ((want & terms[x["doc_id"]]) - inside if x["doc_id"] in has else set())
