@@ -64,3 +64,19 @@ def embed_with(embed_batch: Callable[[list[str]], np.ndarray], text) -> Column:
         return texts.fillna("").map(rows)
 
     return run(F.col(text) if isinstance(text, str) else text)
+
+
+_named: dict[str, Callable[[list[str]], np.ndarray]] = {}
+
+
+def register(name: str, embed_batch: Callable[[list[str]], np.ndarray]) -> None:
+    """Name an embedding provider."""
+    _named[name] = embed_batch
+
+
+def named(name: str) -> Callable[[Column], Column]:
+    """The embedding of a registered provider, for use wherever an operator takes one."""
+    if name not in _named:
+        raise KeyError(f"no embedding provider is registered as {name}; known: {sorted(_named)}")
+    embed_batch = _named[name]
+    return lambda text: embed_with(embed_batch, text)

@@ -101,7 +101,7 @@ def split_lines(text) -> Column:
 
 
 def split_tags(text) -> Column:
-    return F.filter(F.transform(F.split(_col(text), ","), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(_col(text), ","), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def json_object(text) -> Column:

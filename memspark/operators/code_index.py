@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import code, text
 from ..functions.hashing import content_hash
 from ..schema import L2, Config, MemoryState
-from . import dml, graph, layers
+from . import dml, grammars, graph, layers
 
 CHUNK_LINES = 40
 SYMBOLS = "array<struct<symbol_kind: string, name: string, parent: string, signature: string, docstring: string, line_start: int, line_end: int, body: string, calls: array<string>>>"
@@ -69,7 +69,8 @@ def manifest_diff(files: DataFrame, index_state: DataFrame) -> DataFrame:
 
 def extract(files: DataFrame, max_lines: int = 40) -> DataFrame:
     """files (workspace, path, language, content) -> a row per symbol, with seq, qualified_name and calls.
-    Python is parsed; other languages, unparsable files and files without symbols become chunks."""
+    Python is parsed, languages with braces are scanned (``grammars``); other languages, unparsable files
+    and files without symbols become chunks."""
 
     @F.pandas_udf(f"symbols {SYMBOLS}, error string")
     def parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -77,7 +78,8 @@ def extract(files: DataFrame, max_lines: int = 40) -> DataFrame:
             out = []
             for source, lang in zip(contents, languages):
                 try:
-                    out.append((python_symbols(source, max_lines) if lang == "python" else [], None))
+                    found = python_symbols(source, max_lines) if lang == "python" else grammars.symbols(source, lang, max_lines) if lang in grammars.TOP else []
+                    out.append((found, None))
                 except (SyntaxError, ValueError, RecursionError) as e:
                     out.append(([], f"parse failed ({e}); using chunk fallback"))
             yield pd.DataFrame(out, columns=["symbols", "error"])
@@ -102,11 +104,15 @@ def call_refs(symbols: DataFrame) -> DataFrame:
     return calls.join(names, ["workspace", "path", "callee"]).select("src_symbol", "dst_symbol", F.lit("calls").alias("ref_kind"), "workspace", F.col("path").alias("file_path")).distinct()
 
 
-def file_summaries(symbols: DataFrame) -> DataFrame:
-    """Counts of symbol kinds of each file, in one line."""
-    kinds = symbols.groupBy("workspace", "path", "language", "symbol_kind").agg(F.count(F.lit(1)).alias("n"))
-    parts = kinds.groupBy("workspace", "path", "language").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("symbol_kind", "n"))), lambda k: F.concat_ws(" ", k["n"].cast("string"), k["symbol_kind"])), ", ").alias("k"), F.sum("n").cast("long").alias("n_symbols"))
-    return parts.select("workspace", "path", "language", F.concat(F.col("language"), F.lit(" file with "), F.col("k")).alias("file_summary"), "n_symbols")
+def file_summaries(symbols: DataFrame, top: int = 8) -> DataFrame:
+    """Path, language, counts of symbol kinds and the first names of each file, in one line. symbols need
+    workspace, path, language, symbol_kind, name and seq (from 0)."""
+    keys = ["workspace", "path", "language"]
+    kinds = symbols.groupBy(*keys, "symbol_kind").agg(F.count(F.lit(1)).alias("n"))
+    parts = kinds.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("symbol_kind", "n"))), lambda k: F.concat_ws(" ", k["n"].cast("string"), k["symbol_kind"])), ", ").alias("k"), F.sum("n").cast("long").alias("n_symbols"))
+    first = symbols.where(F.col("seq") < top).groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "name"))), lambda x: x["name"]), ", ").alias("names"))
+    line = F.concat("path", F.lit(" ("), "language", F.lit("): "), "k", F.lit(". Top symbols: "), F.coalesce("names", F.lit("")), F.lit("."))
+    return parts.join(first, keys, "left").select(*keys, line.alias("file_summary"), "n_symbols")
 
 
 def index_code(state: MemoryState, files: DataFrame, now: float, embedding, config: Config = Config(), force: bool = False, languages: list[str] | None = None, prune: bool = False) -> tuple[MemoryState, DataFrame]:

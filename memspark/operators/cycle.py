@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -33,6 +34,26 @@ class FakeProvider:
         return next((v for k, v in self.scripted.items() if k in user), self.default)
 
 
+@dataclass(frozen=True)
+class ModelRouting:
+    """A model for each operation; what is not set falls back to ``default``."""
+
+    default: LLMProvider | None = None
+    consolidate: LLMProvider | None = None
+    proceduralize: LLMProvider | None = None
+    attention_gate: LLMProvider | None = None
+    l5_mental_model: LLMProvider | None = None
+    l6_forward_intent: LLMProvider | None = None
+
+    def get(self, operation: str) -> LLMProvider | None:
+        own = getattr(self, operation, None) if operation in self.__dataclass_fields__ else None
+        return own if own is not None else self.default
+
+
+def provider_for(provider: LLMProvider | ModelRouting | None, operation: str) -> LLMProvider | None:
+    return provider.get(operation) if isinstance(provider, ModelRouting) else provider
+
+
 def covered_members(state: MemoryState, workspace: str = "") -> DataFrame:
     """Ids that a live mental model abstracts."""
     models = scan.live(scan.memories(state.memories, workspace, L5)).select(F.col("id").alias("src_id"))
@@ -186,14 +207,14 @@ def decay(state: MemoryState, now: float, max_age_s: float = 0.0, floor: float =
     return (state if dry_run else dml.delete(state, gone)), report
 
 
-def run_cycle(state: MemoryState, now: float, embedding, provider: LLMProvider | None = None, config: Config = Config(), workspace: str = "") -> tuple[MemoryState, dict[str, DataFrame | None]]:
+def run_cycle(state: MemoryState, now: float, embedding, provider: LLMProvider | ModelRouting | None = None, config: Config = Config(), workspace: str = "") -> tuple[MemoryState, dict[str, DataFrame | None]]:
     """Consolidate, proceduralize, then models and intents where there are enough episodes, then decay."""
     reports: dict[str, DataFrame | None] = {}
     state, reports["consolidate"] = folds.consolidate(state, now, embedding, config, workspace)
     state, reports["proceduralize"] = folds.proceduralize(state, now, embedding, config, workspace)
     if scan.memories(state.memories, workspace, L1).limit(config.system2.min_episodes).count() >= config.system2.min_episodes:
-        state, reports["models"] = extract_models(state, now, embedding, provider, config, workspace)
-        state, reports["intents"] = predict_intents(state, now, embedding, provider, config, workspace)
+        state, reports["models"] = extract_models(state, now, embedding, provider_for(provider, "l5_mental_model"), config, workspace)
+        state, reports["intents"] = predict_intents(state, now, embedding, provider_for(provider, "l6_forward_intent"), config, workspace)
     state, reports["decay"] = decay(state, now, config=config, workspace=workspace)
     return state, reports
 

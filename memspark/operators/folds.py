@@ -43,6 +43,11 @@ def decide(candidate_hash: str, similar: list[tuple[float, str, str]], threshold
     return "UPDATE" if similar and similar[0][0] >= threshold else "ADD"
 
 
+def _three(step):
+    """A function of exactly (key, left, right)."""
+    return lambda key, left, right: step(key, left, right)
+
+
 def consolidation_log(state: MemoryState, config: Config = Config(), workspace: str = "", since: float = 0.0, classify: Callable[[str, list[str]], tuple[str, str]] | None = None) -> DataFrame:
     """What consolidation would do: workspace, place, episode_id, action, n_similar, new_id, target_id,
     content (of the new row), for each episode in order.
@@ -52,18 +57,23 @@ def consolidation_log(state: MemoryState, config: Config = Config(), workspace:
     near = config.min_episodes_to_trigger + 5
     episodes = graph.written(ordered_episodes(state.memories, workspace, since).where(F.col("embedding").isNotNull()), "episodes")
     vectors = scan.with_vectors(scan.memories(state.memories, workspace), config.dim)
-    hits = search.top_k_within(vectors, episodes.select("workspace", F.col("id").alias("query_id"), "embedding"), near + CAP)
-    m = state.memories.select("id", "layer", "content_hash", "content", meta.string("metadata", "superseded_by").alias("by"))
-    hits = hits.join(m, "id").select("workspace", "query_id", "id", "similarity", "layer", "content_hash", F.when(F.lit(classify is not None), F.col("content")).alias("content"), "by")
+    # contents travel only where a classifier reads them
+    m = state.memories.select("id", "layer", "content_hash", (F.lit(None).cast("string") if classify is None else F.col("content")).alias("content"), meta.string("metadata", "superseded_by").alias("by"))
+
+    def found(eps: DataFrame, k: int) -> DataFrame:
+        own = vectors.join(F.broadcast(eps.select("workspace").distinct()), "workspace", "left_semi")  # workspaces are few
+        hits = search.top_k_within(own, eps.select("workspace", F.col("episode_id").alias("query_id"), "embedding"), k)
+        return hits.join(m, "id").select("workspace", "query_id", "id", "similarity", "layer", "content_hash", "content", "by")
+
     eps = episodes.select("workspace", "place", F.col("id").alias("episode_id"), "content", "embedding")
     threshold = config.dedup_similarity
 
-    def fold(key: tuple, e: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, e: pd.DataFrame, h: pd.DataFrame, k: int) -> pd.DataFrame:
         e = e.sort_values("place")
         found = {q: g.sort_values(["similarity", "id"], ascending=[False, True]) for q, g in h.groupby("query_id")}
         gone: set[str] = set()
         fresh: list[tuple[str, np.ndarray, str, str]] = []  # id, vector, hash, content
-        out = []
+        out, short = [], False
         for r in e.itertuples(index=False):
             v = np.asarray(r.embedding, float)
             n = np.sqrt(v @ v)
@@ -73,6 +83,7 @@ def consolidation_log(state: MemoryState, config: Config = Config(), workspace:
                 for x in found[r.episode_id].itertuples(index=False):
                     if x.id not in gone:
                         pool.append((float(x.similarity), x.id, x.layer, x.content_hash, x.content, x.by))
+            short |= r.episode_id in found and len(found[r.episode_id]) >= k and len(pool) < near
             pool += [(float(v @ w), i, L2, hsh, c, "") for i, w, hsh, c in fresh if i not in gone]
             pool.sort(key=lambda x: (-x[0], x[1]))
             similar = [x for x in pool[:near] if x[0] >= 0.1 and x[2] == L2]
@@ -95,9 +106,25 @@ def consolidation_log(state: MemoryState, config: Config = Config(), workspace:
             if new_id:
                 fresh.append((new_id, v, hash_hex(content.encode()), content))
             out.append((key[0], r.place, r.episode_id, action, len(similar), new_id, target, content))
-        return pd.DataFrame(out, columns=["workspace", "place", "episode_id", "action", "n_similar", "new_id", "target_id", "content"])
+        rows = pd.DataFrame(out, columns=["workspace", "place", "episode_id", "action", "n_similar", "new_id", "target_id", "content"])
+        return rows.assign(short=short)
 
-    return eps.groupBy("workspace").cogroup(hits.groupBy("workspace")).applyInPandas(fold, "workspace string, place int, episode_id string, action string, n_similar int, new_id string, target_id string, content string")
+    # a pass gives up to CAP targets away, so near + CAP neighbours are always enough; mostly a few are
+    shape = "workspace string, place int, episode_id string, action string, n_similar int, new_id string, target_id string, content string, short boolean"
+    log, k = None, 4 * near
+    while True:
+        k = min(k, near + CAP)
+
+        def step(key: tuple, e: pd.DataFrame, h: pd.DataFrame, k=k) -> pd.DataFrame:
+            return fold(key, e, h, k)
+
+        got = graph.written(eps.groupBy("workspace").cogroup(found(eps, k).groupBy("workspace")).applyInPandas(_three(step), shape), "log")
+        done = got if k == near + CAP else got.where("not short")
+        log = done.drop("short") if log is None else log.unionByName(done.drop("short"))
+        again = got.where("short").select("workspace").distinct()
+        if k == near + CAP or again.isEmpty():
+            return log
+        eps, k = eps.join(again, "workspace", "left_semi"), 8 * k
 
 
 def consolidate(state: MemoryState, now: float, embedding, config: Config = Config(), workspace: str = "", since: float = 0.0, classify=None) -> tuple[MemoryState, DataFrame]:

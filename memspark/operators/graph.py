@@ -14,17 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions import meta
 from ..schema import MemoryState
+from ..sources.shared import shared_dir
 from . import dml
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder (a local one only where none is set)."""
+    """Cut lineage through the cluster's shared checkpoint folder (or a local one where the master is local and none is set)."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file:///tmp/memspark-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

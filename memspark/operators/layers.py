@@ -61,8 +61,8 @@ def facts(df: DataFrame, now: float, embedding=None) -> DataFrame:
 def code_files(df: DataFrame, now: float, embedding=None) -> DataFrame:
     """(id, path, file_summary, language) -> L2 code files."""
     return memory_rows(
-        df, now, embedding, layer=L2, type="code_file", content=F.concat_ws(": ", "path", "file_summary"), summary=text.truncate("file_summary", 120), source=F.col("path"),
-        metadata=F.to_json(F.struct(F.col("path").alias("file_path"), "language")), content_hash=content_hash(F.concat_ws("|", "path", "file_summary")),
+        df, now, embedding, layer=L2, type="code_file", content=F.col("file_summary"), summary=text.truncate("file_summary", 120), tags=F.array(F.lit("code"), "language"), source=F.col("path"),
+        metadata=F.to_json(F.struct(F.col("path").alias("file_path"), "language")), content_hash=content_hash("file_summary"),
     )
 
 

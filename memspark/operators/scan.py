@@ -79,6 +79,15 @@ def tenant(df: DataFrame, workspace: str, admin: bool = False) -> DataFrame:
     return df if admin else df.where(F.col("workspace") == workspace)
 
 
+def authorise(asked: str, own: str, admin: bool = False) -> str:
+    """The workspace a request works in: a user's own, any for an admin; asking for another's is refused."""
+    if admin:
+        return asked or own
+    if asked and asked != own:
+        raise PermissionError(f"403: no access to workspace {asked}")
+    return own
+
+
 def listing(df: DataFrame, workspace: str = "", layer: str = "", type: str = "", limit: int = 20, offset: int = 0) -> DataFrame:
     """Live memories, last updated first."""
     out = live(memories(df, workspace, layer, type)).orderBy(F.desc("updated_at"), F.desc("id"))

@@ -44,3 +44,10 @@ def stats(state: MemoryState, workspace: str = "") -> DataFrame:
     ws = state.memories.agg(F.sort_array(F.collect_set("workspace")).alias("workspaces"))
     avg = average_tokens(state.memories, workspace).withColumnRenamed("avg_tokens", "avg_tokens_per_memory")
     return one.crossJoin(table_counts(state)).crossJoin(ws).crossJoin(avg)  # one row each
+
+
+def request_metrics(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """log (path, status, ms) -> (requests and errors of each path under /api/, one row: mean recall latency)."""
+    api = log.where(F.col("path").startswith("/api/"))
+    ends = api.groupBy("path").agg(F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("status").between(200, 299)).alias("errors"))
+    return ends, api.agg(F.coalesce(F.avg(F.when(F.col("path") == "/api/recall", F.col("ms"))), F.lit(0.0)).alias("recall_avg_ms"))

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import code, meta, scoring, text
+from ..functions import code, meta, text
 from ..functions.hashing import content_hash, hash_embed
 from ..operators import attention, code_index, cycle, dml, folds, graph, layers, metrics, scan, search, stats
 from ..operators import recall as recalls
-from ..schema import L1, L2, Config, MemoryState
+from ..schema import L2, Config, MemoryState
+from ..sources.shared import shared_dir
 from . import views
 from .views import NOW, sql, table
 
@@ -53,9 +54,10 @@ def point_lookup(spark, d):
     return scan.by_id(views.facts(spark, d), ids).select("id", "summary")
 
 
-@query(sql("facts", body="SELECT content_hash, min(id) AS id, count(*) AS n FROM facts GROUP BY content_hash"))
+@query(sql("facts", body="SELECT id, workspace FROM facts WHERE content_hash = (SELECT content_hash FROM facts WHERE id = 'doc-1') ORDER BY id LIMIT 1"))
 def hash_lookup(spark, d):
-    return views.facts(spark, d).groupBy("content_hash").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    f = views.facts(spark, d)
+    return scan.by_hash(f, f.where("id = 'doc-1'").first()["content_hash"]).select("id", "workspace")
 
 
 @query(sql("facts", body="SELECT id, summary FROM facts WHERE workspace = 'ws0' ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 5"))
@@ -80,11 +82,19 @@ def latest_n(spark, d):
     return scan.recent(views.events(spark, d), "ws1", 25).select("id", "created_at")
 
 
-@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey = 2")
+_NEXT = "r AS (SELECT a.n_name AS src_symbol, b.n_name AS dst_symbol FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 1) % 25), n AS (SELECT n_name AS s FROM nation WHERE n_nationkey = 3)"
+
+
+def _next_nations(spark, d):
+    n = table(spark, d, "nation")
+    after = n.select(((F.col("n_nationkey") + 24) % 25).alias("n_nationkey"), F.col("n_name").alias("dst_symbol"))
+    return n.join(after, "n_nationkey").select(F.col("n_name").alias("src_symbol"), "dst_symbol")
+
+
+@query(f"WITH {_NEXT} SELECT src_symbol, dst_symbol FROM r, n WHERE src_symbol = s UNION ALL SELECT src_symbol, dst_symbol FROM r, n WHERE dst_symbol = s")
 def refs_both(spark, d):
-    refs = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # region has five rows
-    r = refs.select(F.col("n_name").alias("src_symbol"), F.when(F.col("n_regionkey") == 2, "two").otherwise("other").alias("dst_symbol"), "r_name")
-    return r.where("r_name = 'ASIA'").unionAll(scan.refs_of_symbol(r, "two", "in")).select(F.col("src_symbol").alias("n_name"), "r_name")
+    name = table(spark, d, "nation").where("n_nationkey = 3").first()["n_name"]
+    return scan.refs_of_symbol(_next_nations(spark, d), name, "both")
 
 
 # --- vectors and recall
@@ -120,31 +130,28 @@ def topk_within_workspace(spark, d):
     return search.top_k_within(v.select("workspace", "id", "embedding"), q, 8).select("workspace", "query_id", "id")
 
 
-def _tier1(spark, d):
-    """Tier-1 recall on given vectors: global top 24, filters, activation, the best 8."""
-    v = views.vectors(spark, d)
-    q = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding", F.col("label").alias("q_label"))
-    age = v.select("id", "label", (F.lit(NOW) - F.col("id") * 3600.0).alias("last_access_at"), (F.col("id") % 7).cast("int").alias("access_count"), F.concat(F.lit("t"), F.col("label").cast("string")).alias("type"))
-    hits = search.top_k(v, q, 24).where("similarity >= 0.0").join(age, "id").join(q.select("query_id", "q_label"), "query_id")
-    score = scoring.activation("similarity", "last_access_at", "access_count", F.col("id") % 3, "type", F.array(F.concat(F.lit("t"), F.col("q_label").cast("string"))), NOW)
-    ranked = hits.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("similarity"), "id")))
-    return ranked.where("rank <= 8")
-
-
 @query(
     sql("vectors", body=f"""SELECT query_id, id, round(score, 4) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s DESC, id) AS r FROM (
-        SELECT query_id, id, s, greatest(s, 0) + 0.3 * pow(0.5, greatest(id * 3600.0, 0) / 604800.0) + 0.2 * ln(1 + id % 7) + 0.15 * ln(1 + id % 3) + CASE WHEN label = q_label THEN 0.25 ELSE 0 END AS score FROM (
-        SELECT a.id AS query_id, a.label AS q_label, b.id, b.label, {_COS} AS s, row_number() OVER (PARTITION BY a.id ORDER BY {_COS} DESC, b.id) AS k FROM vectors a, vectors b WHERE a.id % 100 = 0) WHERE k <= 24 AND s >= 0)) WHERE r <= 8""")
+        SELECT query_id, id, s, greatest(s, 0) + 0.3 * pow(0.5, greatest(n * 3600.0, 0) / 604800.0) + 0.2 * ln(1 + n % 7) + 0.15 * ln(1 + n % 3) + CASE WHEN label = q_label THEN 0.25 ELSE 0 END AS score FROM (
+        SELECT a.id AS query_id, a.label AS q_label, a.workspace AS w, b.workspace, b.id AS n, b.id::VARCHAR AS id, b.label, {_COS} AS s, row_number() OVER (PARTITION BY a.id ORDER BY {_COS} DESC, b.id::VARCHAR) AS k FROM vectors a, vectors b WHERE a.id % 100 = 0)
+        WHERE k <= 24 AND s >= 0 AND workspace = w)) WHERE r <= 8""")
 )
 def recall_tier1_scored(spark, d):
-    return _tier1(spark, d).select("query_id", "id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+    """Tier-1 recall on given vectors: global top 24, filters, activation, the best 8."""
+    v = views.vectors(spark, d)
+    name, kind = F.col("id").cast("string"), F.concat(F.lit("t"), F.col("label").cast("string"))
+    rows = v.select(name.alias("id"), "embedding", "workspace", kind.alias("type"), (F.lit(NOW) - F.col("id") * 3600.0).alias("last_access_at"), (F.col("id") % 7).cast("int").alias("access_count"))
+    links = v.where("id % 3 > 0").select(name.alias("src_id"), F.explode(F.transform(F.sequence(F.lit(1), (F.col("id") % 3).cast("int")), lambda k: k.cast("string"))).alias("relation"), F.lit("sink").alias("dst_id"))
+    state = MemoryState.empty(spark, memories=layers.memory_rows(rows, NOW, layer=L2), edges=dml.link(links, NOW))
+    q = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "workspace", F.col("embedding").cast("array<float>").alias("embedding"), F.array(kind).alias("query_types"))
+    hits = recalls.tier1(state, q, NOW, Config(dim=DIM), 8)
+    return hits.select("query_id", "id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query()
 def recall_two_tier(spark, d):
     """Benchmark texts as queries over documents and events, graph expansion included."""
     state = views.state(spark, d, _embed)
-    state = state.with_(memories=graph.written(state.memories, "memories"))
     ids = state.memories.where("layer = 'L2_semantic'").select("id", F.expr("cast(substring(id, 5) as long)").alias("n"))
     links = ids.select(F.concat(F.lit("doc-"), F.col("n").cast("string")).alias("src_id"), F.lit("related_to").alias("relation"), F.concat(F.lit("doc-"), (F.col("n") + 4).cast("string")).alias("dst_id"))
     state = dml.put_edges(state, dml.link(links, NOW))
@@ -218,12 +225,12 @@ def retire_apply(spark, d):
 
 
 @query(
-    """WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.65),
+    """WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.3),
     r AS (SELECT a AS id, a AS o FROM p UNION SELECT r.id, p.b FROM r JOIN p ON r.o = p.a) SELECT id, min(o) AS component, count(*) AS size FROM r GROUP BY id HAVING count(*) >= 3"""
 )
 def similarity_components(spark, d):
     v = views.vectors(spark, d).select("label", "id", "embedding")
-    return cycle.clusters(v, 0.65, 3, "label").select("id", "component", "size")
+    return cycle.clusters(v, 0.3, 3, "label").select("id", "component", "size")
 
 
 # --- writes
@@ -380,18 +387,6 @@ def intent_window(spark, d):
     return cycle.intent_window(e, marks).select("workspace", "id", F.col("place").cast("long").alias("place"))
 
 
-@query(sql("episodes", body="SELECT agent, action FROM (SELECT agent, action, row_number() OVER (PARTITION BY agent ORDER BY count(*) DESC, min(event_id)) AS r FROM episodes GROUP BY agent, action) WHERE r = 1"))
-def action_mode(spark, d):
-    e = views.events(spark, d)
-    return e.groupBy("agent", "action").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("at")).groupBy("agent").agg(F.max_by("action", F.struct("n", -F.col("at"))).alias("action"))
-
-
-@query(sql("episodes", body="SELECT agent, string_agg(action, ',' ORDER BY seen) AS steps FROM (SELECT agent, action, min(event_id) AS seen FROM episodes GROUP BY agent, action) GROUP BY agent"))
-def ordered_steps(spark, d):
-    e = views.events(spark, d).groupBy("agent", "action").agg(F.min("event_id").alias("at"))
-    return e.groupBy("agent").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "action"))), lambda x: x["action"]), ",").alias("steps"))
-
-
 @query()
 def greedy_clusters(spark, d):
     v = views.vectors(spark, d)
@@ -435,11 +430,10 @@ def path_functions(spark, d):
     return p.select(F.col("url").alias("path"), F.when(lang.isin("html", "php"), lang).otherwise("").alias("language"), code.module_name("url").alias("module"))
 
 
-@query(f"WITH {_FILES} SELECT path, 'html file with ' || ((len(lines) - 1) // 40 + 1) || ' chunk' AS file_summary FROM c")
+@query(f"""WITH {_FILES}, n AS (SELECT path, (len(lines) - 1) // 40 + 1 AS n FROM c) SELECT path, path || ' (html): ' || n || ' chunk. Top symbols: ' || array_to_string(list_transform(range(0, least(n, 8)), lambda i: 'lines_' || (i * 40 + 1)), ', ') || '.' AS file_summary FROM n""")
 def file_summary(spark, d):
     p = table(spark, d, "pages").select(F.lit("ws").alias("workspace"), F.col("url").alias("path"), F.lit("html").alias("language"), F.coalesce("html", F.lit("")).alias("content"))
-    c = code_index.chunks(p).withColumn("symbol_kind", F.lit("chunk"))
-    return code_index.file_summaries(c).select("path", "file_summary")
+    return code_index.file_summaries(code_index.extract(p)).select("path", "file_summary")
 
 
 @query()
@@ -502,7 +496,12 @@ def retain_turn(spark, d):
     return layers.retained(table(spark, d, "conversations"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT conv_id || '_' || turn AS id, turn AS seq, substr(coalesce(text, ''), 1, 80) AS brief, (conv_id + turn) % 4 AS k, coalesce(role, '') AS source, 'ws' || (conv_id % 4) AS workspace FROM conversations)
+    SELECT id, 'L0_working' AS layer, 'note' AS type, brief AS summary, workspace FROM (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY seq DESC, id DESC) AS r FROM c WHERE k = 0) WHERE r <= 64
+    UNION ALL SELECT id, 'L1_episodic', 'event', CASE WHEN source <> '' THEN source ELSE 'user' END || ': ' || brief, workspace FROM c WHERE k = 1
+    UNION ALL SELECT id, 'L2_semantic', 'fact', brief, workspace FROM c WHERE k = 2 UNION ALL SELECT id, 'L3_procedural', 'playbook', brief, workspace FROM c WHERE k = 3"""
+)
 def route_requests(spark, d):
     c = table(spark, d, "conversations").withColumn("n", F.col("conv_id") + F.col("turn"))
     r = c.select(F.concat_ws("_", "conv_id", "turn").alias("id"), F.col("turn").alias("seq"), F.coalesce("text", F.lit("")).alias("content"), F.element_at(F.array(*[F.lit(x) for x in ("L0_working", "L1_episodic", "L2_semantic", "L3_procedural")]), (F.col("n") % 4 + 1).cast("int")).alias("layer"), F.lit("note").alias("type"), F.lit("").alias("summary"), F.col("role").alias("source"), F.array().cast("array<string>").alias("tags"), F.concat(F.lit("ws"), (F.col("conv_id") % 4).cast("string")).alias("workspace"))
@@ -525,13 +524,13 @@ def _to_table(spark, stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there and read its result."""
     import uuid
 
-    out = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
-    stream.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/rows")).outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
+    def store(batch: DataFrame, number: int) -> None:  # a batch that runs again replaces itself
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={0 if mode == 'complete' else number}")
 
-def _shared(spark) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/memspark-checkpoints").rstrip("/")
+    stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").drop("batch")
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id, event_type, epoch(ts) AS t FROM events), p AS (SELECT user_id, event_type, min(t) AS t FROM e GROUP BY ALL
@@ -558,3 +557,6 @@ def ring_stream(spark, d):
 
     s = _stream(spark, d).select(F.concat(F.lit("ws"), (F.col("user_id") % 4).cast("string")).alias("workspace"), F.col("event_id").alias("seq"), F.col("event_type").alias("content"))
     return _to_table(spark, streaming.ring(s), "update").select("workspace", "seq")
+
+
+from . import more  # noqa: E402, F401 - registers the rest

@@ -56,12 +56,12 @@ def vectors(spark, sf_dir) -> DataFrame:
 
 def state(spark, sf_dir, embedding) -> MemoryState:
     """Documents as facts and events as episodes, embedded."""
-    from ..operators import layers
+    from ..operators import graph, layers
 
     d = layers.memory_rows(facts(spark, sf_dir).drop("doc_id"), NOW)
     e = layers.episodes(events(spark, sf_dir).select("id", "workspace", "agent", "action", "observation", "outcome", "created_at", "last_access_at", "access_count"), NOW)
     both = d.unionByName(e)
-    return MemoryState.empty(spark, memories=both.withColumn("embedding", embedding("content")))
+    return MemoryState.empty(spark, memories=graph.written(both.withColumn("embedding", embedding("content")), "memories"))  # each row is embedded once
 
 
 SQL = {

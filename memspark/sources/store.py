@@ -1,13 +1,14 @@
-"""Snapshots: a state is written as Parquet under a new version, then a pointer file is swapped.
+"""Snapshots: a state is written as Parquet under a new version; a marker file in it, created last and
+never overwritten, commits it.
 
-Readers follow the pointer and so see whole versions only; a failed write leaves an unreferenced
-folder. Paths go through Hadoop's file system, so any store that Spark can write will do.
+Readers take the highest version with a marker and so see whole versions only, at every moment; a failed
+write leaves a folder without one, which the next writer replaces. Paths go through Hadoop's file system, so any store that Spark can write will do.
 """
 
 from __future__ import annotations
 
 import contextlib
-import json
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..schema import MemoryState
 
 
+#: The file that commits a version.
+MARKER = "_COMMITTED"
+
+
 class IndexLocked(RuntimeError):
     """Another writer holds the store."""
 
@@ -24,33 +29,33 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        return bytes(stream.readAllBytes()).decode()
-    finally:
-        stream.close()
+#: Seconds after which a lock is taken to be left by a writer that died.
+LEASE = 6 * 3600
 
 
-def _write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
-    fs, p = _fs(spark, path)
-    stream = fs.create(p, overwrite)
-    stream.write(bytearray(text.encode()))
-    stream.close()
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Committed versions, in order."""
+    fs, p = _fs(spark, root)
+    if not fs.exists(p):
+        return []
+    found = []
+    for entry in fs.listStatus(p):
+        name = entry.getPath().getName()
+        if name.startswith("v=") and fs.exists(_fs(spark, f"{root}/{name}/{MARKER}")[1]):
+            found.append(int(name[2:]))
+    return sorted(found)
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
-    text = _read_text(spark, f"{root}/CURRENT")
-    return None if text is None else json.loads(text)["version"]
+    return max(_versions(spark, root), default=None)
 
 
 @contextlib.contextmanager
-def writer(spark: SparkSession, root: str) -> Iterator[None]:
-    """One writer at a time; a second fails at once."""
+def writer(spark: SparkSession, root: str, lease: float = LEASE) -> Iterator[None]:
+    """One writer at a time; a second fails at once, unless the lock is older than its lease."""
     fs, p = _fs(spark, f"{root}/LOCK")
+    if fs.exists(p) and time.time() - fs.getFileStatus(p).getModificationTime() / 1000 > lease:
+        fs.delete(p, False)
     try:
         fs.create(p, False).close()
     except Exception as e:
@@ -72,12 +77,8 @@ def commit(state: MemoryState, root: str) -> int:
             if name == "memories":
                 out = out.partitionBy("workspace", "layer")
             out.parquet(f"{root}/v={version}/{name}")
-        _write_text(spark, f"{root}/CURRENT.next", json.dumps({"version": version}))
-        fs, target = _fs(spark, f"{root}/CURRENT")
-        _, source = _fs(spark, f"{root}/CURRENT.next")
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(source, target)
+        fs, marker = _fs(spark, f"{root}/v={version}/{MARKER}")
+        fs.create(marker, False).close()  # fails where another writer was first
     return version
 
 
