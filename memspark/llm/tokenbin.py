@@ -2,20 +2,23 @@
 
 Documents are range-partitioned by id, so chunk files follow each other in ascending id order.
 A chunk is a bounded run of documents: ids concatenated in one array (16 or 32 bits each), the
-documents' end offsets as an Elias-Fano sequence, and the document ids. Chunks are stored as rows
+documents' end offsets as an Elias-Fano sequence, and the document ids (ascending, so another such
+sequence, from the first id on). Offsets are read back by select on the sequence itself. Chunks are stored as rows
 (part, seq, blob) of a Parquet table in the shared folder: Spark's commit protocol then makes a
 lost executor harmless, and any store that Spark can write will do.
 
-Chunk layout, little-endian: ``MSTB``, u8 version, u8 id width, u64 n_docs, u64 n_ids, u64 length
-of the boundary block, the boundary block, null flags (n_docs bytes), document ids (8 bytes each),
-ids.
+Chunk layout, little-endian: ``MSTB``, u8 version, u8 id width, u64 n_docs, u64 n_ids, u64 documents
+without an id (they come first), i64 first id, u64 lengths of the two sequences, the sequences of end
+offsets and of ids less the first one, ids. A sequence: u64 n, u8 low bits, u64 lengths of its three
+parts, low bits, high bits in unary, u32 place of every 64th one among the high bits.
 
 Speed: most texts are split at single spaces and newlines between non-spaces, where the tokenizer
 always starts a new piece; each distinct chunk of text is encoded once by the library and remembered in a bounded
 memo. Texts that hold a special token go to the library whole.
 
-Edge cases: null and empty texts are encoded as the end id alone; null ids sort first; repeated ids
-keep all their rows, ordered by content hash; an empty table gives no chunks.
+Edge cases: null and empty texts are encoded as the end id alone; null ids sort first; null or repeated
+ids keep all their rows, ordered (and dealt over tasks) by content hash; a very long text makes a chunk
+larger than the bound; other columns are not read; an empty table gives no chunks.
 """
 
 from __future__ import annotations
@@ -54,7 +57,7 @@ class EliasFano:
         v = np.asarray(values, dtype=np.uint64)
         n = len(v)
         if not n:
-            return cls(0, 0, np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.uint64))
+            return cls(0, 0, np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.uint32))
         bits = max(0, int(np.log2(max(1.0, float(v[-1]) / n))))
         ones = (v >> np.uint64(bits)) + np.arange(n, dtype=np.uint64)
         high = np.zeros(int(ones[-1]) + 1, np.uint8)
@@ -62,7 +65,7 @@ class EliasFano:
         low = np.zeros(0, np.uint8)
         if bits:
             low = np.packbits(((v[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
-        return cls(n, bits, low, np.packbits(high, bitorder="little"), ones[::SAMPLE])
+        return cls(n, bits, low, np.packbits(high, bitorder="little"), ones[::SAMPLE].astype(np.uint32))
 
     def select(self, i: int) -> int:
         """The i-th value: from the sampled one-bit before it, count on to its own."""
@@ -78,11 +81,9 @@ class EliasFano:
         for _ in range(left):
             word &= word - 1
         one = (byte << 3) + (word & -word).bit_length() - 1
-        low = 0
-        for k in range(self.low_bits):
-            p = i * self.low_bits + k
-            low |= (int(self.low[p >> 3]) >> (p & 7) & 1) << k
-        return (one - i) << self.low_bits | low
+        p = i * self.low_bits
+        window = int.from_bytes(self.low[p >> 3 : (p + self.low_bits + 7) >> 3].tobytes(), "little") >> (p & 7)
+        return (one - i) << self.low_bits | window & ((1 << self.low_bits) - 1)
 
     def decode(self) -> np.ndarray:
         """All values at once."""
@@ -96,37 +97,37 @@ class EliasFano:
         return out
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QBQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)) + self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u8").tobytes()
+        return struct.pack("<QBQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)) + self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u4").tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
         n, bits, a, b, c = struct.unpack_from("<QBQQQ", data)
         at = struct.calcsize("<QBQQQ")
-        return cls(n, bits, np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a), np.frombuffer(data, "<u8", c, at + a + b))
+        return cls(n, bits, np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a), np.frombuffer(data, "<u4", c, at + a + b))
+
+
+_HEAD = "<BBQQQqQQ"
 
 
 def pack(doc_ids: list, lengths: list[int], ids: bytes) -> bytes:
-    """One chunk from document ids, token counts and all ids as u32."""
+    """One chunk from ascending document ids (None first), token counts and all ids as u32."""
     wide = np.frombuffer(ids, "<u4")
     width = 2 if not len(wide) or int(wide.max()) < 1 << 16 else 4
     bounds = EliasFano.encode(np.cumsum(lengths)).to_bytes()
-    nulls = np.array([d is None for d in doc_ids], np.uint8).tobytes()
-    keys = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()
-    return b"MSTB" + struct.pack("<BBQQQ", 1, width, len(doc_ids), len(wide), len(bounds)) + bounds + nulls + keys + wide.astype(f"<u{width}").tobytes()
+    nulls = sum(d is None for d in doc_ids)
+    first = doc_ids[nulls] if nulls < len(doc_ids) else 0
+    keys = EliasFano.encode([d - first for d in doc_ids[nulls:]]).to_bytes()
+    return b"MSTB" + struct.pack(_HEAD, 2, width, len(doc_ids), len(wide), nulls, first, len(bounds), len(keys)) + bounds + keys + wide.astype(f"<u{width}").tobytes()
 
 
 def unpack(blob: bytes) -> tuple[list, EliasFano, np.ndarray]:
     """Document ids, end offsets and ids of a chunk."""
     if blob[:4] != b"MSTB":
         raise ValueError("not a token chunk")
-    _, width, docs, n, size = struct.unpack_from("<BBQQQ", blob, 4)
-    at = 4 + struct.calcsize("<BBQQQ")
-    bounds = EliasFano.from_bytes(blob[at : at + size])
-    at += size
-    nulls = np.frombuffer(blob, np.uint8, docs, at)
-    keys = np.frombuffer(blob, "<i8", docs, at + docs)
-    ids = np.frombuffer(blob, f"<u{width}", n, at + 9 * docs)
-    return [None if z else int(k) for k, z in zip(keys, nulls)], bounds, ids
+    _, width, docs, n, nulls, first, a, b = struct.unpack_from(_HEAD, blob, 4)
+    at = 4 + struct.calcsize(_HEAD)
+    bounds, keys = EliasFano.from_bytes(blob[at : at + a]), EliasFano.from_bytes(blob[at + a : at + a + b])
+    return [None] * nulls + [first + k for k in keys.decode().tolist()], bounds, np.frombuffer(blob, f"<u{width}", n, at + a + b)
 
 
 class Encoder:
@@ -282,7 +283,8 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id:
             yield pd.DataFrame({"part": [part], "seq": [seq], "n_ids": [size], "blob": [pack(keys, lengths, b"".join(held))]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")  # the hash deals null or repeated ids over tasks
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = ranged.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
     out = ranged.mapInPandas(chunks, "part int, seq int, n_ids long, blob binary")
     out.write.option("compression", "zstd").parquet(path)
@@ -302,7 +304,7 @@ def read(spark, path: str) -> DataFrame:
         for pdf in batches:
             for part, seq, blob in zip(pdf["part"], pdf["seq"], pdf["blob"]):
                 keys, bounds, ids = unpack(blob)
-                ends = bounds.decode()
+                ends = np.array([bounds.select(i) for i in range(len(keys))], np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
                 wide = ids.astype("<u4").tobytes()
                 yield pd.DataFrame({"doc_id": pd.array(keys, "Int64"), "part": part, "seq": seq, "offset": starts, "n_tokens": ends - starts, "ids_crc32": [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(starts, ends)]})
