@@ -14,7 +14,10 @@ block's seed table has a proven size and is broadcast, one pass over the texts f
 Training texts are never shuffled and no seed of theirs leaves its task.
 
 Edge cases: null or word-less texts and items match nothing; items without an id are reported with a
-null id; repeated items and repeated documents are each reported; an empty side gives no rows.
+null id; repeated items and repeated documents are each reported; a seed that recurs in an item or a very
+long text counts at all its places; of overlaps of one pair the one with most agreeing tokens is reported,
+then the longest, then the last; other columns are carried by ``clean`` whatever their names; an empty
+side gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ WINDOW, MIN_SHARE = 13, 0.8
 #: Items up to so many words have to agree in all of them.
 EXACT = 5
 BLOCK_TOKENS = 1_000_000
+#: Hits that are held at once before equal diagonals are united.
+HITS = 1 << 20
 _FILTER_BITS = 22
 _WORDS = re.compile(r"\w+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2D358DCCAA6C78A5, 0x8BB84B93962EACC9], np.uint64)
@@ -95,10 +100,9 @@ class Index:
             for places, span, salt, length in self.masks:
                 if len(t) == length or (not length and len(t) >= WINDOW):
                     s = seeds(t, places, salt)[: len(t) - span + 1]
-                    s, first = np.unique(s, return_index=True)  # where a seed recurs in its item, its first place
                     keys.append(s)
                     item.append(np.full(len(s), i))
-                    place.append(first)
+                    place.append(np.arange(len(s)))
         keys, item, place = np.concatenate(keys), np.concatenate(item), np.concatenate(place)
         order = np.argsort(keys, kind="stable")
         self.keys, self.item, self.place = keys[order], item[order], place[order]
@@ -120,11 +124,16 @@ class Index:
             maybe = np.flatnonzero(self.filter[(s >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
             maybe = maybe[doc[maybe] == doc[maybe + span - 1]]
             lo = np.searchsorted(self.keys, s[maybe], "left")
-            hi = np.searchsorted(self.keys, s[maybe], "right")
-            many = hi - lo
-            at = np.repeat(maybe, many)
-            entry = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            hits.append(np.stack([doc[at], self.item[entry], at - starts[doc[at]] - self.place[entry]], 1))
+            many = np.searchsorted(self.keys, s[maybe], "right") - lo
+            maybe, lo, many = maybe[many > 0], lo[many > 0], many[many > 0]
+            step = np.cumsum(many) // HITS  # repetitive texts and items hit each other often
+            for cut in np.split(np.arange(len(maybe)), np.flatnonzero(np.diff(step)) + 1) if len(maybe) else ():
+                n = many[cut]
+                at = np.repeat(maybe[cut], n)
+                entry = np.repeat(lo[cut] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                hits.append(np.unique(np.stack([doc[at], self.item[entry], at - starts[doc[at]] - self.place[entry]], 1), axis=0))
+        if not hits:
+            return []
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
         for d, i, shift in np.unique(np.concatenate(hits), axis=0).tolist():
             a, b = docs[d], self.tokens[i]
