@@ -9,7 +9,10 @@ writes them from a grammar of page layouts, with the label on each element) and
 Scale: each page is decoded by itself in an Arrow UDF; the model is a few KB.
 
 Edge cases: null or empty html and pages without text blocks give the empty text; broken or cut markup
-is read as far as it goes (an unclosed comment or script hides the rest; an unclosed head ends where something follows that may not stand in it); equal rows give equal results.
+is read as far as it goes (an unclosed comment or script hides the rest, as in browsers; an unclosed head
+ends where something follows that may not stand in it; other unclosed hidden elements hide nothing); equal
+rows give equal results; labels that score alike count as rest; very long and deeply nested pages take time
+in proportion to their size; other columns are kept by ``extract``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -55,7 +58,9 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], str | None]] = []
+    #: open elements: tag, and of it and its ancestors tags, names and nearest label
+    stack: list[tuple[str, frozenset[str], frozenset[str], str | None]] = []
+    closes: dict[str, int] = {}
     pieces: list[str] = []
     state = {"hidden": None, "link": 0, "linked": 0, "depth": 0}
 
@@ -64,10 +69,8 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
             pieces.clear()
             if text:
-                tags = frozenset(t for t, _, _ in stack)
-                names = frozenset(n for _, ns, _ in stack for n in ns)
-                label = next((y for _, _, y in reversed(stack) if y), None)
-                out.append(Block(text, stack[-1][0] if stack else "", tags, names, min(1.0, state["linked"] / len(text)), label))
+                tag, tags, names, label = stack[-1] if stack else ("", frozenset(), frozenset(), None)
+                out.append(Block(text, tag, tags, names, min(1.0, state["linked"] / len(text)), label))
         state["linked"] = 0
 
     at, n = 0, len(page)
@@ -119,7 +122,10 @@ def blocks(page: str) -> list[Block]:
             at = close.end() if close else n
             continue
         if tag in HIDDEN:
-            if not m[3].rstrip().endswith("/"):
+            if tag not in closes:
+                closes[tag] = max((x.start() for x in re.compile(rf"</{tag}\b", re.I).finditer(page)), default=-1)
+            # without an end tag an element other than the head hides nothing
+            if not m[3].rstrip().endswith("/") and (tag == "head" or closes[tag] >= at):
                 state["hidden"], state["depth"] = tag, 1
             continue
         if tag == "br":
@@ -145,7 +151,8 @@ def blocks(page: str) -> list[Block]:
                         names += _NAME.findall(value.lower())
                     elif key == "data-y":
                         label = value
-                stack.append((tag, tuple(names), label))
+                _, tags, above, marked = stack[-1] if stack else ("", frozenset(), frozenset(), None)
+                stack.append((tag, tags if tag in tags else tags | {tag}, above.union(names) if names else above, label or marked))
     flush()
     return out
 
@@ -367,8 +374,10 @@ def main_text(page: str | None, weights: np.ndarray, move: np.ndarray) -> tuple[
     return "\n".join(kept), len(kept), len(bs)
 
 
-def extract(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with a struct column ``main``: text, n_kept, n_blocks."""
+def extract(pages: DataFrame, html: str = "html", into: str = "main") -> DataFrame:
+    """``pages`` with a struct column ``into`` (a new name): text, n_kept, n_blocks."""
+    if into in pages.columns:
+        raise ValueError(f"the pages have a column {into} already")
     spark = prepare(pages.sparkSession)
     shared = spark.sparkContext.broadcast(model())
 
@@ -377,7 +386,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
         for some in batches:
             yield pd.DataFrame([main_text(p, *shared.value) for p in some], columns=["text", "n_kept", "n_blocks"])
 
-    return pages.withColumn("main", run(text_of(html)))
+    return pages.withColumn(into, run(text_of(html)))
 
 
 def query(pages: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ bounded memo), so a text costs a count of its words.
 
 Edge cases: null text or a text without a letter is ``und`` with score 0; without any training
 document everything is ``und``; null languages teach nothing; ties go to the first language by
-name; repeated rows are judged alike.
+name; repeated rows are judged alike; very long texts are counted whole; other columns are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
