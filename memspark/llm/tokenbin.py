@@ -17,7 +17,7 @@ always starts a new piece; each distinct chunk of text is encoded once by the li
 memo. Texts that hold a special token go to the library whole.
 
 Edge cases: null and empty texts are encoded as the end id alone; null ids sort first; null or repeated
-ids keep all their rows, ordered (and dealt over tasks) by content hash; a very long text makes a chunk
+ids keep all their rows, ordered (and dealt over tasks) by input split, then by content hash; a very long text makes a chunk
 larger than the bound; other columns are not read; an empty table gives no chunks.
 """
 
@@ -282,9 +282,10 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id:
         if keys:
             yield pd.DataFrame({"part": [part], "seq": [seq], "n_ids": [size], "blob": [pack(keys, lengths, b"".join(held))]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")  # the hash deals null or repeated ids over tasks
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # null or repeated ids are dealt over tasks by the split they come from, which a task run again shares
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.spark_partition_id().alias("split"))
+    order = F.col("doc_id").asc_nulls_first(), F.col("split")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.xxhash64("text"))
     ranged = ranged.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
     out = ranged.mapInPandas(chunks, "part int, seq int, n_ids long, blob binary")
     out.write.option("compression", "zstd").parquet(path)
