@@ -42,7 +42,7 @@ END_ID = 0
 #: A chunk is closed at this many ids (it may exceed it by one document).
 CHUNK_IDS = 1 << 21
 #: Distinct text chunks that a worker remembers.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 500_000
 SAMPLE = 64
 
 
@@ -145,7 +145,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
-        self.marks = {c: self.whole(c) for c in ",."}
+        self.marks = {c: self.whole(c) for c in _STOPS}
         self.newline = self.whole("\n")
         self.newline_id = int.from_bytes(self.newline[:4], "little")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -164,8 +164,6 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as u32 bytes."""
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
         out: list[bytes] = [b""] * len(texts)
         plain: list[int] = []
         for k, t in enumerate(texts):
@@ -178,19 +176,26 @@ class Encoder:
                 parts[0] = self.NEW + parts[0]
                 out[k] = b"".join(self.ids_of(parts))
         if plain:
-            marked = pa.array([self.NEW + texts[k].replace("\n", " " + self.LINE) for k in plain], pa.large_string())
-            lists = pc.split_pattern(marked, " ")
+            lists = pc.split_pattern(pa.array([self.NEW + texts[k].replace("\n", " " + self.LINE) for k in plain], pa.large_string()), " ")
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             chunks = lists.flatten().dictionary_encode()
-            vals = self.ids_of(chunks.dictionary.to_pylist())
-            index = chunks.indices.to_numpy()
+            del lists
+            known, index = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+            del chunks
+            vals = self.ids_of(known)
             size = np.array([len(v) for v in vals], np.int64) // 4
             begin = np.cumsum(size) - size
             lengths = size[index]
             ends = np.cumsum(lengths)
-            ids = np.frombuffer(b"".join(vals), "<u4")[np.repeat(begin[index] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
-            bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            bounds = np.concatenate([[0], ends])[offsets]
+            at = np.repeat(begin[index] - (ends - lengths), lengths)
+            at += np.arange(len(at))
+            ids = np.frombuffer(b"".join(vals), "<u4")[at]
+            del at
             for k, x, y in zip(plain, bounds.tolist(), bounds[1:].tolist()):
                 out[k] = ids[x:y].tobytes()
+        if len(self.memo) > MEMO_ENTRIES:  # what these texts use is kept
+            self.memo = dict(zip(known, vals)) if plain else {}
         return out
 
     def ids_of(self, chunks: list[str]) -> list[bytes]:
@@ -204,21 +209,25 @@ class Encoder:
     def learn(self, fresh: set[str]) -> None:
         """Encode chunks: those without white space many at a time, between newlines, each a piece of its
         own; a comma or full stop after a letter is a piece of its own too."""
-        memo, new, line = self.memo, self.NEW, self.LINE
-        tails = {c for c in fresh if c[-1:] in (",", ".") and c[-2:-1].isalpha() and _ANY.search(c) is None}
-        plain = [c for c in (fresh - tails) | {c[:-1] for c in tails} - memo.keys() if c and c != new and c != line and _ANY.search(c) is None]
-        other = []
-        for c in plain:
-            head = c[0] == new or c[0] == line
+        memo, new, line, tokenize = self.memo, self.NEW, self.LINE, self.model.tokenize
+        tails, other = [], set()
+        for c in fresh:
+            if c[-1:] in _STOPS and c[-2:-1].isalpha():
+                tails.append(c)
+                c = c[:-1]
+                if c in memo:
+                    continue
+            head = c[:1] == new or c[:1] == line
             word = c[1:] if head else c
-            if not self.bytelevel or not word.isalpha() or max(word) >= "\u0250":
-                other.append(c)
+            if not self.bytelevel or not word.isalpha() or not (word.isascii() or max(word) < "\u0250"):
+                if word and _ANY.search(word) is None:
+                    other.add(c)
                 continue
             # a word of letters is one piece: straight to the library's merge model
-            shown = ("" if head else "\u0120") + (word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN))
-            ids = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+            shown = ("" if head else "\u0120") + (word if word.isascii() else "".join(map(_PIECES.__getitem__, word)))
+            ids = array("I", [x.id for x in tokenize(shown)]).tobytes()
             memo[c] = self.newline + ids if c[0] == line else ids
-        plain = other
+        plain = list(other)
         for at in range(0, len(plain), 20_000):
             part = plain[at : at + 20_000]
             joined = "\n".join([c[1:] if c[0] == new or c[0] == line else " " + c for c in part])
@@ -230,18 +239,23 @@ class Encoder:
             for c, a, b in zip(part, bounds, bounds[1:]):
                 memo[c] = self.newline + data[a + 4 : b] if c[0] == line else data[a + 4 : b]
         for c in tails:
-            memo[c] = memo[c[:-1]] + self.marks[c[-1]]
+            if (stem := memo.get(c[:-1])) is not None:
+                memo[c] = stem + self.marks[c[-1]]
         for c in fresh - memo.keys():
             memo[c] = self.newline + self.whole(c[1:]) if c[:1] == line else self.whole(c[1:] if c[:1] == new else " " + c)
 
 
 #: How a byte-level model shows bytes: printable Latin-1 as itself, the others from U+0100 on.
 _SHOWN = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}
+#: The same for the characters up to U+024F, whose UTF-8 bytes may be two.
+_PIECES = {chr(c): "".join(_SHOWN.get(b, chr(b)) for b in chr(c).encode()) for c in range(0x250)}
 _ANY = re.compile(r"\s")
+#: Marks that are a piece of their own after a letter.
+_STOPS = (",", ".")
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
-def gathered(batches, chars: int = 8 << 20):
+def gathered(batches, chars: int = 4 << 20):
     """Join Arrow batches up to some characters of text: the larger, the fewer different chunks."""
     held, size = [], 0
     for pdf in batches:
