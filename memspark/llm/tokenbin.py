@@ -42,7 +42,7 @@ END_ID = 0
 #: A chunk is closed at this many ids (it may exceed it by one document).
 CHUNK_IDS = 1 << 21
 #: Distinct text chunks that a worker remembers.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 700_000
 SAMPLE = 64
 
 
@@ -183,7 +183,7 @@ class Encoder:
             known, index = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
             del chunks
             vals = self.ids_of(known)
-            size = np.array([len(v) for v in vals], np.int64) // 4
+            size = np.fromiter(map(len, vals), np.int64, len(vals)) // 4
             begin = np.cumsum(size) - size
             lengths = size[index]
             ends = np.cumsum(lengths)
@@ -255,7 +255,7 @@ _STOPS = (",", ".")
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
-def gathered(batches, chars: int = 4 << 20):
+def gathered(batches, chars: int = 8 << 20):
     """Join Arrow batches up to some characters of text: the larger, the fewer different chunks."""
     held, size = [], 0
     for pdf in batches:
