@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, htmlcrf, langid, lmscore, mixing, neardup, pii, quality, suffixdedup, tokenbin
+from . import decontam, htmlcrf, langid, lmscore, mixing, neardup, phrases, pii, quality, suffixdedup, tokenbin, urlrules, vectorcodes
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -57,6 +57,18 @@ def op10_token_binary(spark, sf_dir):
     return tokenbin.query(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_url_filters(spark, sf_dir):
+    return urlrules.query(table(spark, sf_dir, "pages"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return vectorcodes.query(table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrase_mining(spark, sf_dir):
+    return phrases.query(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -74,6 +86,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_binary": op10_token_binary,
+    "op11_url_filters": op11_url_filters,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_phrase_mining": op13_phrase_mining,
     "pipeline": pipeline,
 }
-ORACLE = {"op8_mixing": mixing.SQL}
+ORACLE = {"op8_mixing": mixing.SQL, "op11_url_filters": urlrules.SQL, "op12_vector_codes": vectorcodes.SQL, "op13_phrase_mining": phrases.SQL}
