@@ -8,7 +8,9 @@ by its words and not by hashes.
 
 A task cuts its texts into chunks of ``CHUNK`` bytes, numbers the words of a chunk and counts n-grams with numpy;
 what leaves a task is a row for each distinct phrase of a chunk and, for the buckets, packed pairs (place, count
-up to 255) for each of ``BLOCKS`` blocks. Block counts are summed as a sorted stream, a block at a time.
+up to 255) for each block of ``WIDTH`` buckets. Block counts are summed as a sorted stream, a block at a time. A
+pass's table is dropped as soon as its counts are summed. Ranks are taken inside hash parts of a language first, so the last
+window reads at most ``RANK_PARTS`` x ``top`` rows of one.
 
 Bounds: a bitmap takes 2^bits / 8 bytes; ``bits`` follows the bytes of all texts (a bucket for 8 bytes) up to
 ``MAX_BITS`` (256 MB a bitmap). Beyond that buckets are shared by more n-grams, more of them are counted, and the
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, scratch, written
+from .common import drop_path, fresh_path, prepare, scratch, written
 
 MAX_WORDS = 3
 MIN_COUNT = 10
@@ -42,13 +44,17 @@ MIN_COUNT = 10
 COVERED = 50
 TOP = 2000
 #: Bytes of text that a task counts at a time.
-CHUNK = 8 << 20
-BLOCKS = 1024
+CHUNK = 16 << 20
+#: Bytes that are words of their own at a time; the rest of a chunk is held as numbers.
+SLICE = 1 << 20
+#: Buckets of a block: a place takes two bytes.
+WIDTH = 1 << 16
+RANK_PARTS = 64
 MIN_BITS, MAX_BITS = 16, 31
 #: Piece ends: ``.,;:!?``, line feed, vertical tab, form feed, carriage return.
 ENDS = bytes.maketrans(b".,;:!?\n\v\f\r", b"." * 10)
-OUT = "lang string, phrase string, n long, hash long, block int, places binary, counts binary"
-SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("hash", pa.int64()), ("block", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
+OUT = "lang string, phrase string, n long, block int, places binary, counts binary"
+SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("block", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,7 +80,12 @@ def follow(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def cut(text: bytes, limit: int = CHUNK) -> Iterator[bytes]:
+def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    salt = lang.encode() + b"\0"
+    return np.array([xxhash.xxh3_64_intdigest(salt + w) for w in words], np.uint64)
+
+
+def cut(text: bytes, limit: int) -> Iterator[bytes]:
     """Parts of about ``limit`` bytes, cut at piece ends. text: with ``.`` at all piece ends."""
     begin = 0
     while len(text) - begin > limit:
@@ -87,51 +98,57 @@ def cut(text: bytes, limit: int = CHUNK) -> Iterator[bytes]:
     yield text[begin:]
 
 
-def chunks(batches, limit: int = CHUNK) -> Iterator[tuple[str, bytes]]:
-    """(lang, text) with the texts of a language joined up to about ``limit`` bytes of all languages."""
+def chunks(batches, limit: int = CHUNK) -> Iterator[tuple[str, list[bytes]]]:
+    """(lang, parts of texts), parts of all languages together up to about ``limit`` bytes."""
     held, size = defaultdict(list), 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            for part in cut(text.lower().translate(ENDS), limit):
+            for part in cut(text.lower().translate(ENDS), min(limit, SLICE)):
                 held[lang].append(part)
                 size += len(part)
                 if size >= limit:
                     for k in list(held):
-                        yield k, b".".join(held.pop(k))
+                        yield k, held.pop(k)
                     size = 0
-    for lang, parts in held.items():
-        yield lang, b".".join(parts)
+    yield from held.items()
 
 
 class Grams:
     """The n-grams of one chunk. words: by number, 0 is a piece end; ids: the chunk's numbers in order."""
 
-    def __init__(self, lang: str, text: bytes):
-        tokens = text.replace(b".", b" . ").split()
+    def __init__(self, lang: str, parts: list[bytes]):
         numbers: dict[bytes, int] = defaultdict()
         numbers.default_factory = numbers.__len__
         numbers[b"."]
-        self.ids = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
+        ids, held, size = [], [], 0
+        for k, part in enumerate(parts, 1):
+            held.append(part)
+            size += len(part)
+            if size >= SLICE or k == len(parts):
+                tokens = b".".join(held).replace(b".", b" . ").split()
+                ids.append(np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens)))
+                ids.append(np.zeros(1, np.int32))
+                held, size = [], 0
+        self.ids = np.concatenate(ids)
         self.words = list(numbers)
-        salt = lang.encode()
-        hashes = np.array([xxhash.xxh3_64_intdigest(salt + b"\0" + w) for w in self.words], np.uint64)
+        hashes = word_hashes(lang, self.words)
         counts = np.bincount(self.ids, minlength=len(self.words))
         # level 1: number, hash and count of each distinct gram, the gram that begins at each place (-1: none)
         self.n, self.parts = 1, [np.arange(len(self.words))]
         self.word_hashes, self.hashes, self.counts = hashes, hashes, counts
-        self.at = np.where(self.ids == 0, -1, self.ids)
+        self.at = np.where(self.ids == 0, np.int32(-1), self.ids)
 
     def keep(self, marks: np.ndarray) -> None:
         """Grams not marked are taken out of all places."""
         if len(marks):
-            self.at = np.where((self.at >= 0) & marks[self.at], self.at, -1)
+            self.at = np.where((self.at >= 0) & marks[self.at], self.at, np.int32(-1))
 
     def longer(self) -> None:
         """To the grams that are one word longer, both of whose parts are still there."""
         V = len(self.words)
         here = np.flatnonzero((self.at[:-1] >= 0) & (self.at[1:] >= 0))
-        found, back, counts = np.unique(self.at[here] * V + self.ids[here + self.n], return_inverse=True, return_counts=True)
-        at = np.full(max(len(self.at) - 1, 0), -1)
+        found, back, counts = np.unique(self.at[here].astype(np.int64) * V + self.ids[here + self.n], return_inverse=True, return_counts=True)
+        at = np.full(max(len(self.at) - 1, 0), -1, np.int32)
         at[here] = back
         before, last = found // V, found % V
         self.hashes = follow(self.hashes[before], self.word_hashes[last])
@@ -148,8 +165,7 @@ def pack(hashes: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple[in
     at = (hashes >> np.uint64(64 - bits)).astype(np.int64)
     order = np.argsort(at, kind="stable")
     at, counts = at[order], np.minimum(counts[order], 255).astype(np.uint8)
-    width = (1 << bits) // BLOCKS
-    block, places = at // width, (at % width).astype("<u4")
+    block, places = at // WIDTH, (at % WIDTH).astype("<u2")
     ends = np.flatnonzero(np.diff(block, append=-1)) + 1 if len(block) else []
     begin = 0
     for end in ends:
@@ -164,39 +180,38 @@ def count_pass(n: int, longest: int, bits: int, frequent: list, buckets):
     def run(batches):
         known = [Bitmap(bits, np.frombuffer(b.value, np.uint8)) for b in frequent]
         marked = Bitmap(bits, np.frombuffer(buckets.value, np.uint8)) if buckets is not None else None
-        for lang, text in chunks(batches):
-            grams = Grams(lang, text)
+        for lang, parts in chunks(batches):
+            grams = Grams(lang, parts)
             for shorter in known:
                 grams.keep(shorter.of(grams.hashes))
                 grams.longer()
             which = np.arange(1, len(grams.words)) if n == 1 else np.flatnonzero(marked.of(grams.hashes))
             if not len(which):
                 continue
-            yield pa.record_batch([pa.array([lang] * len(which)), pa.array(grams.texts(which), pa.binary()).cast(pa.string()), pa.array(grams.counts[which]), pa.array(grams.hashes[which].view(np.int64)), *[pa.nulls(len(which), t) for t in (pa.int32(), pa.binary(), pa.binary())]], schema=SCHEMA)
+            yield pa.record_batch([pa.array([lang] * len(which)), pa.array(grams.texts(which), pa.binary()).cast(pa.string()), pa.array(grams.counts[which]), *[pa.nulls(len(which), t) for t in (pa.int32(), pa.binary(), pa.binary())]], schema=SCHEMA)
             if n < longest:
                 if n > 1:
                     grams.keep(marked.of(grams.hashes))
                 grams.longer()
                 if rows := list(pack(grams.hashes, grams.counts, bits)):
                     block, places, counts = zip(*rows)
-                    yield pa.record_batch([*[pa.nulls(len(rows), t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())], pa.array(block, pa.int32()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], schema=SCHEMA)
+                    yield pa.record_batch([*[pa.nulls(len(rows), t) for t in (pa.string(), pa.string(), pa.int64())], pa.array(block, pa.int32()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], schema=SCHEMA)
 
     return run
 
 
 def bitmap(packed: DataFrame, bits: int, least: int):
     """Broadcast bitmap of the places whose counts sum up to ``least``. packed: (block, places, counts)."""
-    width = (1 << bits) // BLOCKS
 
     def total(batches):
-        now, sums = None, np.zeros(width, np.int64)
+        now, sums = None, np.zeros(WIDTH, np.int64)
         for batch in batches:
             for block, places, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 if now not in (None, block):
                     yield now, sums
-                    sums = np.zeros(width, np.int64)
+                    sums = np.zeros(WIDTH, np.int64)
                 now = block
-                np.add.at(sums, np.frombuffer(places, "<u4"), np.frombuffer(counts, np.uint8))
+                np.add.at(sums, np.frombuffer(places, "<u2"), np.frombuffer(counts, np.uint8))
         if now is not None:
             yield now, sums
 
@@ -208,7 +223,7 @@ def bitmap(packed: DataFrame, bits: int, least: int):
     rows = packed.select("block", "places", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, marks binary")
     whole = bytearray((1 << bits) // 8)
     for block, marks in rows.toLocalIterator():
-        whole[block * (width // 8) : (block + 1) * (width // 8)] = marks
+        whole[block * (WIDTH // 8) : (block + 1) * (WIDTH // 8)] = marks
     return packed.sparkSession.sparkContext.broadcast(bytes(whole))
 
 
@@ -217,12 +232,17 @@ def hashes_packed(frequent: DataFrame, bits: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            hashes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            rows = list(pack(hashes, np.ones(len(hashes), np.int64), bits))
-            if rows:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["block", "places", "counts"])
+            groups = defaultdict(list)
+            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                groups[lang].append(phrase.split(b" "))
+            for lang, split in groups.items():
+                hashes, *more = (word_hashes(lang, list(w)) for w in zip(*split))
+                for last in more:
+                    hashes = follow(hashes, last)
+                rows = zip(*pack(hashes, np.ones(len(hashes), np.int64), bits))
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.binary(), pa.binary()))], names=["block", "places", "counts"])
 
-    return frequent.select("hash").mapInArrow(run, "block int, places binary, counts binary")
+    return frequent.select("lang", "phrase").mapInArrow(run, "block int, places binary, counts binary")
 
 
 def table_bits(docs: DataFrame) -> int:
@@ -236,19 +256,22 @@ def counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COU
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sums, levels, known, buckets, sent = None, [], [], None, []
     for n in range(1, max_words + 1):
-        rows = written(texts.mapInArrow(count_pass(n, max_words, bits, list(known), buckets), OUT), "phrasepass")
+        path = fresh_path(docs.sparkSession, "phrasepass")
+        texts.mapInArrow(count_pass(n, max_words, bits, list(known), buckets), OUT).write.option("compression", "zstd").parquet(path)
+        rows = docs.sparkSession.read.schema(OUT).parquet(path)
         phrases = rows.where("block IS NULL")
         if n == 1:
             sums = written(phrases.groupBy("lang").agg(F.sum("n").alias("n")), "phrasesums")
-        level = phrases.groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.min("hash").alias("hash")).where(F.col("f") >= min_count)
+        level = phrases.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
         levels.append(written(level, "phrases"))
         if n < max_words:
             known.append(bitmap(hashes_packed(levels[-1], bits), bits, 1))
             buckets = bitmap(rows.where("block IS NOT NULL"), bits, min_count)
             sent += [known[-1], buckets]
+        drop_path(docs.sparkSession, path)
     for b in sent:
         b.unpersist()
-    return sums, [x.drop("hash") for x in levels]
+    return sums, levels
 
 
 def mine(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, covered: int = COVERED, top: int | None = TOP, bits: int | None = None) -> DataFrame:
@@ -279,8 +302,11 @@ def mine(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT
         if inside:
             around = reduce(DataFrame.unionByName, inside).groupBy("lang", "phrase").agg(F.max("f").alias("around"))
             every = every.join(around, ["lang", "phrase"], "left").where(F.col("around").isNull() | (F.col("around") * 100 < F.col("a") * covered))
-        order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-        ranked = every.withColumn("rank", F.row_number().over(order))
+        order = (F.desc("score"), F.desc("a"), "phrase")
+        if top is not None:
+            part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
+            every = every.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+        ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
         ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
         return written(ranked.join(sums, "lang").select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score"), "collocations", keep=True)
 

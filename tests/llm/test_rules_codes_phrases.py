@@ -218,7 +218,7 @@ def test_phrases_small_chunks(spark, monkeypatch):
     rows = phrase_rows(3, 40) + [(99, "one two three, " * 200, "en"), (100, "no end here " * 100, "en")]
     want = collections.Counter()
     for lang, text in ((r[2] or "und", r[1] or "") for r in rows):
-        grams = phrases.Grams(lang, text.encode().lower().translate(phrases.ENDS))
+        grams = phrases.Grams(lang, [text.encode().lower().translate(phrases.ENDS)])
         grams.longer()
         for t, c in zip(grams.texts(np.arange(len(grams.counts))), grams.counts):
             want[lang, t] += int(c)
@@ -226,8 +226,8 @@ def test_phrases_small_chunks(spark, monkeypatch):
 
     got = collections.Counter()
     batch = pa.record_batch([pa.array([r[2] or "und" for r in rows]), pa.array([r[1] or "" for r in rows])], names=["lang", "text"])
-    for lang, text in phrases.chunks([batch], limit=64):
-        grams = phrases.Grams(lang, text)
+    for lang, parts in phrases.chunks([batch], limit=64):
+        grams = phrases.Grams(lang, parts)
         grams.longer()
         for t, c in zip(grams.texts(np.arange(len(grams.counts))), grams.counts):
             got[lang, t] += int(c)
