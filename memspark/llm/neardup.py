@@ -14,10 +14,10 @@ exact weighted Jaccard similarity of 0.8 or more.
 
 A bucket never yields all its pairs. Exact copies are collapsed first, so hot copies weigh nothing. Every
 member is verified against the bucket's least member; where that leaves a bucket in several classes, its
-members are compared with each other in blocks of 128, first by their samples, then exactly, until it is
+members are compared with each other in blocks of 512 texts or 4 MB of them, first by their samples, then exactly, until it is
 settled: no class that a link of the bucket would join stays apart. A bucket of n texts that are alike
 enough to share it and yet in several classes costs n^2 / 2 comparisons of 64 samples, spread over
-(n / 128)^2 / 2 tasks.
+p^2 / 2 tasks for its p blocks, and each text travels p times.
 
 Edge cases: equal texts are always one class, texts without words too (null is the empty text); null
 ids get the class but never name it unless all are null; repeated rows are copies; ties take the least
@@ -40,9 +40,9 @@ WORDS_A_SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Share of the texts up to which a shingle weighs fully, and texts without it that are added to the count.
 COMMON, UNSEEN = 0.01, 1000
-#: Texts of a bucket in a block; samples of the 64 that two texts must share to be compared exactly (at a
+#: Texts of a bucket in a block, and bytes of text; samples of the 64 that two texts must share to be compared exactly (at a
 #: similarity of 0.8 fewer agree in four pairs of a million).
-BLOCK, SCREEN = 128, 36
+BLOCK, BLOCK_BYTES, SCREEN = 512, 4 << 20, 36
 _K = BANDS * ROWS
 _MEMO = 300_000
 
@@ -195,12 +195,12 @@ class NearDuplicates:
                     k, tf = shingles(text)
                     if len(k):
                         drawn = samples(k, idf.value.weights(k, tf))
-                        rows.append((node, banded(drawn).astype(np.int64), drawn.astype("<u4").tobytes()))
+                        rows.append((node, banded(drawn).astype(np.int64), drawn.astype("<u4").tobytes(), len(text)))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["node", "bands", "samples"])
+                    yield pd.DataFrame(rows, columns=["node", "bands", "samples", "size"])
 
-        sketches = written(self.texts.select("node", "text").mapInPandas(sketch, "node string, bands array<long>, samples binary"), "sketches", compression="zstd")
-        bucketed = sketches.select("node", F.explode("bands").alias("bucket"))
+        sketches = written(self.texts.select("node", "text").mapInPandas(sketch, "node string, bands array<long>, samples binary, size long"), "sketches", compression="zstd")
+        bucketed = sketches.select("node", "size", F.explode("bands").alias("bucket"))
         leaders = bucketed.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = written(bucketed.join(leaders, "bucket"), "buckets")
         stars = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
@@ -218,12 +218,12 @@ class NearDuplicates:
         idf, least = self.idf, self.threshold
         # every member has been compared with its leader
         apart = shared.where("n > 2 and node <> leader").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = apart.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("bucket", "m")
-        apart = apart.select("bucket", "node", "label").join(mixed, "bucket").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
+        mixed = apart.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("parts")).where("x <> y").select("bucket", "parts")
+        apart = apart.select("bucket", "node", "label").join(mixed, "bucket")
         apart = apart.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("p", q).alias("i"), F.greatest("p", q).alias("j")))
         dealt = apart.select("bucket", "node", "label", "p", F.explode(meet).alias("c")).select("bucket", "node", "label", "p", "c.i", "c.j")
-        dealt = dealt.join(sketches, "node").join(self.texts.select("node", "text"), "node")
+        dealt = dealt.join(sketches.drop("size"), "node").join(self.texts.select("node", "text"), "node")
 
         def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             bucket, i, j = key
