@@ -559,4 +559,4 @@ def ring_stream(spark, d):
     return _to_table(spark, streaming.ring(s), "update").select("workspace", "seq")
 
 
-from . import more  # noqa: E402, F401 - registers the rest
+from . import extra, more  # noqa: E402, F401 - register the rest

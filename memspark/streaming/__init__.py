@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -58,6 +58,53 @@ def after_mark(stream: DataFrame, mark: float) -> tuple[DataFrame, DataFrame]:
     return stream.where(F.col("created_at") > mark), stream.where(F.col("created_at") <= mark)
 
 
+class MarkCounts:
+    """Counts of a stream's rows on both sides of a high-water mark, from the metrics that ``Dataset.observe`` reports
+    with each finished batch; the stream itself is read once."""
+
+    def __init__(self, mark: float, name: str = "mark"):
+        self.mark, self.name = mark, name
+
+    def watch(self, stream: DataFrame) -> DataFrame:
+        late = F.col("created_at").isNull() | (F.col("created_at") <= self.mark)
+        return stream.observe(self.name, F.count_if(~late).alias("passed"), F.count_if(late).alias("late"), F.max("created_at").alias("highest"))
+
+    def passed(self, stream: DataFrame) -> DataFrame:
+        """The rows after the mark; those without a time are late."""
+        return self.watch(stream).where(F.col("created_at") > self.mark)
+
+    def of(self, query: StreamingQuery) -> dict[str, float]:
+        """Sums over the batches that the query reports (its last ``spark.sql.streaming.numRecentProgressUpdates``)."""
+        seen = {p["batchId"]: p["observedMetrics"][self.name] for p in query.recentProgress if self.name in (p["observedMetrics"] or {})}
+        highs = [r["highest"] for r in seen.values() if r["highest"] is not None]
+        return {"passed": sum(r["passed"] for r in seen.values()), "late": sum(r["late"] for r in seen.values()), "highest": max([self.mark, *highs])}
+
+
+def expiring(stream: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """(id, created_at timestamp, expires_at timestamp) -> (id, expires_at): each id once, when the watermark has
+    passed its time; a later row of an id replaces its time. State is held for live ids only: a timer in event time drops it. Ids whose
+    time never comes, and rows later than the watermark allows, give nothing."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (ms,) = state.get
+            state.remove()
+            yield pd.DataFrame({"id": [key[0]], "ms": [ms]})
+            return
+        ms = int(pd.concat(list(batches)).sort_values(["created_at", "ms"])["ms"].iloc[-1])
+        if ms < state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"id": [key[0]], "ms": [ms]})
+            return
+        state.update((ms,))
+        state.setTimeoutTimestamp(ms)
+
+    timed = stream.where("id is not null and expires_at is not null").select("id", "created_at", F.unix_millis("expires_at").alias("ms")).withWatermark("created_at", delay)
+    gone = timed.groupBy("id").applyInPandasWithState(step, "id string, ms long", "ms long", "append", GroupStateTimeout.EventTimeTimeout)
+    return gone.select("id", F.timestamp_millis("ms").alias("expires_at"))
+
+
 def windowed_counts(stream: DataFrame, width: str = "1 hour", late: str = "2 hours", key: str = "event_type") -> DataFrame:
     """Event-time windows with a watermark (an extension)."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), key, "n")
@@ -76,20 +123,51 @@ def append_events(state: MemoryState, batch: DataFrame) -> MemoryState:
 
 
 class Worker:
-    """Runs a step for every micro-batch: on a timer, or once over what is there. After
-    ``max_errors`` failures in a row the stream ends (None: never); a single run raises at once."""
+    """Runs a step over the rows that arrive: on a timer, or once over what is there. No row is lost.
+
+    Every micro-batch is first written under its number to ``pending`` (a batch that Spark runs again replaces
+    itself). With every ``every``-th batch, and with each batch after a failure, the step gets all that is pending, in one
+    frame with the column ``batch_id``, and the number of the last batch; what it got is removed only after it has returned. A step that fails leaves its
+    rows pending. After ``max_errors`` failures in a row the error reaches Spark and the stream ends (None: never); its last
+    batch then is not committed, and the next start from the same checkpoint takes up the pending rows.
+
+    ``once`` raises the first error, and at its end runs the step over what ``every`` has left. A step may see rows again if the driver
+    is lost between the step's end and the removal: steps write under the batch numbers they get, or replace what they wrote.
+    A stream of empty batches leaves nothing pending and does not call the step."""
 
     def __init__(self, step: Callable[[DataFrame, int], None], interval_s: int = 300, max_errors: int | None = 10, every: int = 1):
         self.step, self.interval_s, self.max_errors, self.every = step, interval_s, max_errors, max(1, every)
-        self.errors = 0
-
-    def _batch(self, strict: bool) -> Callable[[DataFrame, int], None]:
+        self.errors, self.since = 0, 0
+
+    @staticmethod
+    def _folders(spark: SparkSession, pending: str) -> tuple[object, list]:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(pending)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [f.getPath() for f in fs.listStatus(path)] if fs.exists(path) else []
+        # a folder without its marker is a batch whose write did not end
+        return fs, [p for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+    def drain(self, spark: SparkSession, pending: str) -> None:
+        """The step over all pending batches."""
+        fs, folders = self._folders(spark, pending)
+        if not folders:
+            return
+        last = max(int(p.getName().split("=")[1]) for p in folders)
+        self.step(spark.read.option("basePath", pending).parquet(*[p.toString() for p in folders]), last)
+        for p in folders:
+            fs.delete(p, True)
+
+    def _batch(self, pending: str, strict: bool) -> Callable[[DataFrame, int], None]:
         def run(batch: DataFrame, batch_id: int) -> None:
-            if batch_id % self.every:
+            if not batch.isEmpty():
+                batch.write.mode("overwrite").parquet(f"{pending}/batch_id={batch_id}")
+            self.since += 1
+            if self.since < self.every and not self.errors:
                 return
             try:
-                self.step(batch, batch_id)
-                self.errors = 0
+                self.drain(batch.sparkSession, pending)
+                self.errors, self.since = 0, 0
             except Exception:
                 self.errors += 1
                 if strict or (self.max_errors is not None and self.errors >= self.max_errors):
@@ -98,7 +176,11 @@ class Worker:
         return run
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        return stream.writeStream.foreachBatch(self._batch(False)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{self.interval_s} seconds").start()
+        pending = f"{checkpoint.rstrip('/')}-pending"
+        return stream.writeStream.foreachBatch(self._batch(pending, False)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{self.interval_s} seconds").start()
 
     def once(self, stream: DataFrame, checkpoint: str) -> None:
-        stream.writeStream.foreachBatch(self._batch(True)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        pending = f"{checkpoint.rstrip('/')}-pending"
+        stream.writeStream.foreachBatch(self._batch(pending, True)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        self.drain(stream.sparkSession, pending)
+        self.errors = self.since = 0
