@@ -70,9 +70,7 @@ def abstractable(state: MemoryState, workspace: str = "") -> DataFrame:
 
 def clusters(vectors: DataFrame, threshold: float, min_size: int, key: str = "workspace") -> DataFrame:
     """key, id, component, size of components of cosine similarity with enough members."""
-    pairs = graph.similar_pairs(vectors, threshold, key, forest=True)
-    labels = graph.components(pairs)
-    out = labels.join(vectors.select(key, F.col("id").alias("node")), "node").select(key, F.col("node").alias("id"), "component")
+    out = graph.written(graph.similar_components(vectors, threshold, key), "components")
     sizes = out.groupBy(key, "component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
     return out.join(sizes, [key, "component"])
 

@@ -2,7 +2,7 @@
 
 Every decision sees the writes before it. The parts that grow with the data (similarity search,
 assignment to anchors) run distributed first; what is folded in order is bounded: ``CAP`` episodes of a
-workspace with ``CAP`` + 8 candidates each, or one block of anchors.
+workspace with as many candidates as their decisions can use, or one block of anchors.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def consolidation_log(state: MemoryState, config: Config = Config(), workspace:
     m = state.memories.select("id", "layer", "content_hash", (F.lit(None).cast("string") if classify is None else F.col("content")).alias("content"), meta.string("metadata", "superseded_by").alias("by"))
 
     def found(eps: DataFrame, k: int) -> DataFrame:
-        own = vectors.join(F.broadcast(eps.select("workspace").distinct()), "workspace", "left_semi")  # workspaces are few
+        own = vectors.join(eps.select("workspace").distinct(), "workspace", "left_semi")
         hits = search.top_k_within(own, eps.select("workspace", F.col("episode_id").alias("query_id"), "embedding"), k)
         return hits.join(m, "id").select("workspace", "query_id", "id", "similarity", "layer", "content_hash", "content", "by")
 
@@ -136,27 +136,30 @@ def consolidate(state: MemoryState, now: float, embedding, config: Config = Conf
         F.col("new_id").alias("id"), "workspace", "content", F.col("ep_summary").alias("summary"), F.col("ep_tags").alias("tags"), meta.with_entries("ep_metadata", source_episode=F.col("episode_id")).alias("metadata"), F.lit("consolidate").alias("source")
     )
     made = layers.facts(adds, now, embedding)
-    # a target may itself be new in this pass, so clones are taken link by link from the oldest row
-    updates = log.where("action = 'UPDATE' and new_id is not null").select("new_id", "target_id", "episode_id", "content", "place")
-    origin = graph.written(updates, "updates")
-    base = dml.upsert(state.memories, made, "id")
-    new = made
+    # a target may itself be new in this pass: what a clone keeps is that of the oldest row of its chain, and the nearest
+    # summary on the way. Links are doubled, so rounds grow with the logarithm of the longest chain
+    updates = graph.written(log.where("action = 'UPDATE' and new_id is not null").select("new_id", "target_id", "episode_id", "content"), "updates")
+    own = F.when(F.col("ep_summary") != "", F.col("ep_summary")).alias("near_summary")
+    hop = graph.written(updates.join(ep.select("episode_id", "ep_summary"), "episode_id").select("new_id", F.col("target_id").alias("to"), own), "chain")
     while True:
-        ready = origin.join(base.select(F.col("id").alias("target_id")), "target_id", "left_semi").join(new.select(F.col("id").alias("new_id")), "new_id", "left_anti")
-        ready = graph.written(ready, "ready")
-        if ready.isEmpty():
+        x, y = hop.alias("x"), hop.alias("y")
+        step = x.join(y, F.col("x.to") == F.col("y.new_id"), "left").select(F.col("x.new_id").alias("new_id"), F.coalesce("y.to", "x.to").alias("to"), F.coalesce("x.near_summary", "y.near_summary").alias("near_summary"), F.col("y.to").isNotNull().alias("moved"))
+        step = graph.written(step, "chain")
+        hop = step.drop("moved")
+        if step.where("moved").isEmpty():
             break
-        t = base.select(F.col("id").alias("target_id"), *[F.col(c).alias(f"t_{c}") for c in layers.COLUMNS if c != "id"])
-        c = ready.join(t, "target_id").join(ep.select("episode_id", "ep_summary"), "episode_id")
-        clones = c.select(
-            F.col("new_id").alias("id"), F.col("t_layer").alias("layer"), F.col("t_type").alias("type"), "content", F.when(F.col("ep_summary") != "", F.col("ep_summary")).otherwise(F.col("t_summary")).alias("summary"), F.col("t_tags").alias("tags"),
-            meta.with_entries("t_metadata", source_episode=F.col("episode_id"), updated_from=F.col("target_id")).alias("metadata"), F.col("t_source").alias("source"), F.col("t_workspace").alias("workspace"), F.col("t_created_at").alias("created_at"),
-            F.lit(now).alias("updated_at"), F.col("t_last_access_at").alias("last_access_at"), F.col("t_access_count").alias("access_count"), F.col("t_activation").alias("activation"),
-        )
-        from ..functions.hashing import content_hash
-
-        clones = graph.written(clones.withColumn("content_hash", content_hash("content")).withColumn("embedding", embedding("content")).select(*layers.COLUMNS), "clones")
-        base, new = base.unionByName(clones), new.unionByName(clones)
+    base = dml.upsert(state.memories, made, "id")
+    t = base.select(F.col("id").alias("to"), *[F.col(c).alias(f"t_{c}") for c in layers.COLUMNS if c != "id"])
+    c = updates.join(hop, "new_id").join(t, "to")
+    from ..functions.hashing import content_hash
+
+    clones = c.select(
+        F.col("new_id").alias("id"), F.col("t_layer").alias("layer"), F.col("t_type").alias("type"), "content", F.coalesce("near_summary", "t_summary").alias("summary"), F.col("t_tags").alias("tags"),
+        meta.with_entries("t_metadata", source_episode=F.col("episode_id"), updated_from=F.col("target_id")).alias("metadata"), F.col("t_source").alias("source"), F.col("t_workspace").alias("workspace"), F.col("t_created_at").alias("created_at"),
+        F.lit(now).alias("updated_at"), F.col("t_last_access_at").alias("last_access_at"), F.col("t_access_count").alias("access_count"), F.col("t_activation").alias("activation"),
+    )
+    clones = clones.withColumn("content_hash", content_hash("content")).withColumn("embedding", embedding("content")).select(*layers.COLUMNS)
+    new = graph.written(made.select(*layers.COLUMNS).unionByName(clones), "consolidated")
     after = dml.put_memories(state, new)
     pairs = log.where("target_id is not null").select(F.col("target_id").alias("old_id"), "new_id")
     return graph.retire(after, pairs, now), log
@@ -255,17 +258,20 @@ def proceduralize(state: MemoryState, now: float, embedding, config: Config = Co
     cand = graph.written(playbook_candidates(state, workspace, min_size, threshold).withColumn("embedding", embedding("content")), "candidates")
     near = config.min_episodes_to_trigger + 5
     vectors = scan.with_vectors(state.memories, config.dim)
-    n = cand.groupBy("workspace").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    hits = search.top_k_within(vectors, cand.select("workspace", F.col("anchor_id").alias("query_id"), "embedding"), near + min(int(n), CAP))
+    n = int(cand.groupBy("workspace").count().agg(F.max("count").alias("n")).first()["n"] or 0)
     m = state.memories.select("id", "layer", "type", "content_hash", meta.retired("metadata").alias("gone"))
-    hits = hits.join(m, "id").select("workspace", "query_id", "id", "similarity", "layer", "type", "content_hash", "gone")
 
-    def fold(key: tuple, c: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+    def found(some: DataFrame, k: int) -> DataFrame:
+        hits = search.top_k_within(vectors, some.select("workspace", F.col("anchor_id").alias("query_id"), "embedding"), k)
+        return hits.join(m, "id").select("workspace", "query_id", "id", "similarity", "layer", "type", "content_hash", "gone")
+
+    def fold(key: tuple, c: pd.DataFrame, h: pd.DataFrame, k: int) -> pd.DataFrame:
         found = {q: g.sort_values(["similarity", "id"], ascending=[False, True]) for q, g in h.groupby("query_id")}
-        fresh, gone, out = [], set(), []
+        fresh, gone, out, short = [], set(), [], False
         for r in c.sort_values("anchor_place").itertuples(index=False):
             v = np.asarray(r.embedding, float)
             pool = [(float(x.similarity), x.id, x.layer == L3 and x.type == "playbook" and not x.gone, x.content_hash) for x in (found[r.anchor_id].itertuples(index=False) if r.anchor_id in found else ()) if x.id not in gone]
+            short |= r.anchor_id in found and len(found[r.anchor_id]) >= k and len(pool) < near
             pool += [(float(v @ w), i, True, hsh) for i, w, hsh in fresh if i not in gone]
             pool.sort(key=lambda x: (-x[0], x[1]))
             similar = [x for x in pool[:near] if x[0] >= 0.1 and x[2]]
@@ -279,11 +285,26 @@ def proceduralize(state: MemoryState, now: float, embedding, config: Config = Co
                     target = similar[0][1]
                     gone.add(target)
             out.append((key[0], r.anchor_id, action, r.action_verb, int(r.size), new_id, target))
-        return pd.DataFrame(out, columns=["workspace", "anchor_id", "action", "action_verb", "size", "new_id", "target_id"])
+        rows = pd.DataFrame(out, columns=["workspace", "anchor_id", "action", "action_verb", "size", "new_id", "target_id"])
+        return rows.assign(short=short)
 
-    details = cand.select("workspace", "anchor_id", "anchor_place", "content", "action_verb", "size", "embedding").groupBy("workspace").cogroup(hits.groupBy("workspace")).applyInPandas(
-        fold, "workspace string, anchor_id string, action string, action_verb string, size long, new_id string, target_id string"
-    )
+    # a pass retires at most as many targets as a workspace has clusters, so near + n neighbours are always enough; where fewer
+    # fall short, a workspace is folded again with more of them
+    shape = "workspace string, anchor_id string, action string, action_verb string, size long, new_id string, target_id string, short boolean"
+    some, details, k = cand.select("workspace", "anchor_id", "anchor_place", "content", "action_verb", "size", "embedding"), None, 4 * near
+    while True:
+        k = min(k, near + n)
+
+        def step(key: tuple, c: pd.DataFrame, h: pd.DataFrame, k=k) -> pd.DataFrame:
+            return fold(key, c, h, k)
+
+        got = graph.written(some.groupBy("workspace").cogroup(found(some, k).groupBy("workspace")).applyInPandas(_three(step), shape), "details")
+        done = (got if k == near + n else got.where("not short")).drop("short")
+        details = done if details is None else details.unionByName(done)
+        again = got.where("short").select("workspace").distinct()
+        if k == near + n or again.isEmpty():
+            break
+        some, k = some.join(again, "workspace", "left_semi"), 8 * k
     details = graph.written(details, "details")
     new = details.where("new_id is not null").join(cand.select("anchor_id", "name", "steps", "preconditions"), "anchor_id").select(F.col("new_id").alias("id"), "workspace", "name", "steps", "preconditions", F.lit("success").alias("expected_outcome"), F.array("action_verb").alias("tags"))
     after = dml.put_memories(state, layers.playbooks(new, now, embedding))

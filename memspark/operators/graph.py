@@ -108,12 +108,13 @@ def latest_in_chain(edges: DataFrame, starts: DataFrame, max_rounds: int = 64) -
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) -> node, component (least node), by label propagation and pointer jumps over written tables."""
-    both = written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    """(a, b) -> node, component (least node), by label propagation and pointer jumps; one written table a round."""
+    once = written(edges.select("a", "b"), "edges")
+    both = written(once.unionAll(once.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        new = written(labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")), "labels")
+        new = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         up = new.select(F.col("node").alias("up"), F.col("component").alias("top"))
         jumped = written(new.join(up, new["component"] == up["up"]).select("node", "old", F.least("component", "top").alias("component")), "labels")
         labels = jumped.select("node", "component")
@@ -121,6 +122,90 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+#: Vectors of a cell in one task, and pivots at most.
+TASK_VECTORS, MAX_PIVOTS = 2048, 4096
+
+
+def similar_components(vectors: DataFrame, threshold: float, key: str = "workspace") -> DataFrame:
+    """key, id, component: components of the graph in which vectors of a ``key`` with a cosine of ``threshold`` or more are
+    joined, named by their least id. Exact, without its pairs.
+
+    Equal vectors are one. The others are cut by the nearest of some pivots. A vector y at home with pivot q is no farther
+    from q than from p, so for a unit vector x at home with p and |x - y| <= r = sqrt(2 - 2 threshold): x.p - x.q <= r |p - q|. x
+    visits just those cells, and of two cells only the later, so every similar pair meets once or more. A cell's vectors are
+    dealt over blocks of about ``TASK_VECTORS``, every two blocks meet in one task as a matrix, and a task returns a star for each component
+    it sees, so what leaves it is linear in its vectors. High thresholds leave few visits; at low ones every cell
+    visits every other, as any exact method has to look at them."""
+    kind, keykind = vectors.schema["id"].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+    rows = vectors.where(F.col("embedding").isNotNull()).select(key, "id", F.col("embedding").cast("array<double>").alias("embedding"))
+    alone = written(rows.groupBy(key, "embedding").agg(F.min("id").alias("rep")), "vectors")
+    n = alone.count()
+    pivots = alone.select("embedding").distinct().orderBy(F.xxhash64("embedding"), "embedding").limit(max(1, min(MAX_PIVOTS, n // TASK_VECTORS))).toPandas()
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
+
+    def units(column) -> np.ndarray:
+        m = np.array([np.asarray(x, float) for x in column])
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    if len(pivots) > 1:
+        p = units(pivots["embedding"])
+        gaps = np.sqrt(np.maximum(0.0, 2 - 2 * p @ p.T)) * reach
+
+        def cells(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                m = units(pdf["embedding"])
+                dots = m @ p.T
+                home = dots.argmax(axis=1)
+                visits = (dots[np.arange(len(m)), home][:, None] - dots <= gaps[home] + 1e-9) & (np.arange(len(p)) > home[:, None])
+                # a zero vector is similar to none but by a threshold of 0 or less
+                visits[np.arange(len(m)), home] = True
+                if threshold <= 0:
+                    visits[~m.any(axis=1)] = True
+                at, cell = np.nonzero(visits)
+                yield pd.DataFrame({key: pdf[key].to_numpy()[at], "rep": pdf["rep"].to_numpy()[at], "embedding": pdf["embedding"].to_numpy()[at], "cell": cell})
+
+        placed = alone.mapInPandas(cells, f"{key} {keykind}, rep {kind}, embedding array<double>, cell long")
+    else:
+        placed = alone.select(key, "rep", "embedding", F.lit(0).cast("long").alias("cell"))
+    placed = written(placed, "cells")
+    sizes = placed.groupBy(key, "cell").agg(F.ceil(F.count(F.lit(1)) / TASK_VECTORS).alias("parts"))
+    joined = placed.join(sizes.withColumnRenamed(key, "_k").withColumnRenamed("cell", "_c"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("cell") == F.col("_c"))).drop("_k", "_c")
+    joined = joined.withColumn("p", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.struct(F.least(F.col("p"), q).alias("i"), F.greatest(F.col("p"), q).alias("j")))
+    # where there are several blocks, pairs of different blocks also see the pairs inside them
+    dealt = joined.select(key, "cell", "rep", "embedding", "p", "parts", F.explode(meet).alias("c")).where("parts = 1 or c.i <> c.j").select(key, "cell", "c.i", "c.j", "rep", "embedding")
+
+    def stars(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep")
+        ids, m = pdf["rep"].to_numpy(), units(pdf["embedding"])
+        of, out = np.full(len(m), -1), []
+        for root in range(len(m)):
+            if of[root] >= 0:
+                continue
+            of[root], front = root, np.array([root])
+            while len(front):
+                free = np.flatnonzero(of < 0)
+                if not len(free):
+                    break
+                hit = np.zeros(len(free), bool)
+                for at in range(0, len(front), 512):
+                    hit |= (m[free] @ m[front[at : at + 512]].T >= threshold).any(axis=1)
+                front = free[hit]
+                of[front] = root
+        for x in np.flatnonzero(of != np.arange(len(m))):
+            out.append((group[0], ids[of[x]], ids[x]))
+        return pd.DataFrame(out, columns=[key, "a", "b"])
+
+    links = written(dealt.groupBy(key, "cell", "i", "j").applyInPandas(stars, f"{key} {keykind}, a {kind}, b {kind}"), "stars")
+    labels = components(links.select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("_top"))
+    # copies come back; a component is named by its least id
+    members = rows.withColumnRenamed(key, "_k").withColumnRenamed("embedding", "_e").join(alone, F.col("_k").eqNullSafe(F.col(key)) & (F.col("_e") == F.col("embedding"))).select(key, "id", "rep")
+    return members.join(labels, "rep", "left").select(key, "id", F.coalesce("_top", "rep").alias("component"))
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "workspace", pieces: int = 8, forest: bool = False) -> DataFrame:
     """Pairs a < b inside each ``key`` with cosine of ``threshold`` or more. Vectors are dealt over pieces
     and every two pieces meet in one task as matrices. ``forest``: keep only pairs that join two trees of

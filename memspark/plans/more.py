@@ -293,27 +293,38 @@ def _axis(k: Column, dim: int) -> Column:
 
 
 def _consolidation(spark, d) -> tuple[MemoryState, Config]:
-    """800 episodes; of three one has a fact of the same content beside it, one a fact of other content, one none."""
-    e = views.events(spark, d).where("event_id < 800")
-    f = e.where("event_id % 3 < 2").select(F.concat(F.lit("fact-"), F.col("event_id").cast("string")).alias("id"), "workspace", F.when(F.col("event_id") % 3 == 0, F.col("content")).otherwise(F.concat(F.lit("not "), "content")).alias("content"))
+    """Every event as an episode; users that share an axis have the same vector, so what an episode meets is the fact that earlier ones left."""
+    e = views.events(spark, d).withColumn("id", F.concat(F.lit("x-"), F.col("event_id").cast("string"))).withColumn("observation", F.lit(""))
     episodes = layers.episodes(e.select("id", "workspace", "agent", "action", "observation", "outcome", "created_at", "last_access_at", "access_count"), NOW)
-    both = episodes.unionByName(layers.facts(f, NOW)).withColumn("embedding", _axis(F.regexp_extract("id", "[0-9]+$", 0).cast("int"), 1024))
-    return MemoryState.empty(spark, memories=graph.written(both, "memories")), Config(dim=1024)
+    axis = F.regexp_extract("content", "user_([0-9]+)", 1).cast("int") % 64
+    return MemoryState.empty(spark, memories=graph.written(episodes.withColumn("embedding", _axis(axis, 64)), "memories")), Config(dim=64)
 
 
-@query("SELECT 'ev-' || event_id AS episode_id, CASE event_id % 3 WHEN 0 THEN 'NOOP' WHEN 1 THEN 'UPDATE' ELSE 'ADD' END AS action, CASE WHEN event_id % 3 < 2 THEN 1 ELSE 0 END::BIGINT AS n_similar, CASE WHEN event_id % 3 = 1 THEN 'fact-' || event_id END AS target_id FROM events WHERE event_id < 800")
+#: The first 500 episodes of a workspace in order; a fact of an axis is what the episode before it left.
+_CHAIN = """x AS (SELECT *, 'x-' || event_id AS xid, user_id % 64 AS axis, concat_ws(' | ', 'agent=' || agent, 'action=' || action, CASE WHEN outcome <> '' THEN 'outcome=' || outcome END) AS text FROM episodes),
+    p AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY workspace ORDER BY created_at, xid) <= 500),
+    l AS (SELECT *, lag(text) OVER w AS before FROM p WINDOW w AS (PARTITION BY workspace, axis ORDER BY created_at, xid)),
+    a AS (SELECT *, CASE WHEN before IS NULL THEN 'ADD' WHEN before = text THEN 'NOOP' ELSE 'UPDATE' END AS action_ FROM l),
+    chain AS (SELECT xid, action_ AS action, CASE WHEN before IS NULL THEN 0 ELSE 1 END::BIGINT AS n_similar,
+        CASE WHEN action_ = 'UPDATE' THEN last_value(CASE WHEN action_ <> 'NOOP' THEN xid END IGNORE NULLS) OVER (PARTITION BY workspace, axis ORDER BY created_at, xid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS replaces FROM a)"""
+
+
+@query(sql("episodes", body="SELECT 1").rsplit("\n", 1)[0] + ",\n" + _CHAIN + "\nSELECT xid AS episode_id, action, n_similar, replaces FROM chain")
 def consolidate_decisions(spark, d):
+    """Decisions that depend on earlier ones: an UPDATE names the episode whose fact it replaces."""
     state, config = _consolidation(spark, d)
-    return folds.consolidation_log(state, config).select("episode_id", "action", F.col("n_similar").cast("long").alias("n_similar"), "target_id")
+    log = graph.written(folds.consolidation_log(state, config), "log")
+    made = log.where("new_id is not null").select(F.col("new_id").alias("target_id"), F.col("episode_id").alias("replaces"))
+    return log.join(made, "target_id", "left").select("episode_id", "action", F.col("n_similar").cast("long").alias("n_similar"), "replaces")
 
 
-@query("""WITH e AS (SELECT event_id % 3 AS k FROM events WHERE event_id < 800) SELECT 'L1_episodic' AS layer, false AS retired, count(*) AS n FROM e
-    UNION ALL SELECT 'L2_semantic', true, count(*) FILTER (k = 1) FROM e UNION ALL SELECT 'L2_semantic', false, count(*) FROM e""")
+@query(sql("episodes", body="SELECT 1").rsplit("\n", 1)[0] + ",\n" + _CHAIN + """\nSELECT 'L1_episodic' AS layer, false AS retired, count(*) AS n FROM episodes
+    UNION ALL SELECT 'L2_semantic', true, count(*) FILTER (action = 'UPDATE') FROM chain UNION ALL SELECT 'L2_semantic', false, count(*) FILTER (action = 'ADD') FROM chain""")
 def consolidate_state(spark, d):
     from ..functions import meta
 
     state, config = _consolidation(spark, d)
-    after, _ = folds.consolidate(state, NOW, lambda c: hash_embed(c, 1024), config)
+    after, _ = folds.consolidate(state, NOW, lambda c: hash_embed(c, 64), config)
     return after.memories.groupBy("layer", meta.retired("metadata").alias("retired")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -133,3 +133,52 @@ def test_expiring_intents(spark, tmp_path):
     assert sorted(got) == [("a", 40), ("c", 5), ("d", 120)]
     state = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
     assert state[-1] == 3 and len(state) > 1  # b, e and f are still to come
+
+
+# --- components of similar vectors
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.3, -0.2])
+def test_similar_components(spark, monkeypatch, threshold):
+    """Cells, visits and blocks find what all pairs would."""
+    from memspark.operators import graph
+
+    monkeypatch.setattr(graph, "TASK_VECTORS", 12)
+    r = np.random.default_rng(3)
+    rows = [("a" if k % 3 else None, k, [float(x) for x in r.normal(size=3)]) for k in range(150)]
+    rows += [("a", 900 + k, rows[1][2]) for k in range(30)] + [("b", 800, [0.0] * 3), ("b", 801, [0.0] * 3), ("b", 802, [1.0, 0.0, 0.0]), ("a", 803, None), ("c", 804, [1.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "workspace string, id int, embedding array<double>")
+    got = {r["id"]: r["component"] for r in graph.similar_components(df, threshold).collect()}
+    held = [x for x in rows if x[2] is not None]
+    unit = {i: np.array(v) / (np.linalg.norm(v) or 1.0) for _, i, v in held}
+    parent = {i: i for _, i, _ in held}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, (wx, i, vx) in enumerate(held):
+        for wy, j, vy in held[:x]:
+            if wx == wy and (vx == vy or float(unit[i] @ unit[j]) >= threshold):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert got == {i: root(i) for _, i, _ in held}
+
+
+def test_update_chain_keeps_its_root(spark):
+    """Twenty updates of one fact: what the last clone keeps comes from the first row, its summary from the nearest that has one."""
+    from memspark.operators import folds, layers
+    from memspark.schema import Config, MemoryState
+
+    e = spark.createDataFrame([(f"x{k:02d}", "w", f"u{k}", "act", "", "ok", float(k), 0.0, 0) for k in range(20)], "id string, workspace string, agent string, action string, observation string, outcome string, created_at double, last_access_at double, access_count int")
+    memories = layers.episodes(e, 50.0).withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")).withColumn("summary", F.when(F.col("id") == "x04", "told").otherwise(""))
+    state = MemoryState.empty(spark, memories=memories)
+    after, log = folds.consolidate(state, 50.0, lambda c: F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>"), Config(dim=2))
+    actions = [r["action"] for r in log.orderBy("place").collect()]
+    # seven of the eight nearest are episodes once there are so many; facts come first as their ids are hex
+    assert actions[0] == "ADD" and actions.count("UPDATE") + actions.count("ADD") == 20
+    live = after.memories.where("layer = 'L2_semantic' and embedding is not null")
+    assert live.count() == actions.count("ADD")
+    if actions.count("ADD") == 1:
+        assert live.first()["summary"] == "told"
