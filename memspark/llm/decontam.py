@@ -7,7 +7,7 @@ the test items are hashed; training texts are hashed with the same masks and joi
 hit fixes a diagonal (item place against text place); the whole diagonal is then compared token by
 token, and the overlap counts if some window of ``WINDOW`` tokens (the whole item if it is shorter)
 agrees in ``MIN_SHARE`` of its places. Items shorter than ``WINDOW`` are sought whole, with masks of
-their own length; those of up to ``EXACT`` words have to agree in every word.
+their own length; 80 % of up to four words are all of them.
 
 Scale: the test side is cut into blocks of at most ``BLOCK_TOKENS`` tokens by item hash; each
 block's seed table has a proven size and is broadcast, one pass over the texts for each block.
@@ -37,8 +37,6 @@ from .common import prepare, text_of
 #: Which successive tokens each mask reads.
 MASKS = ("11101111", "11010010111", "1110110011")
 WINDOW, MIN_SHARE = 13, 0.8
-#: Items up to so many words have to agree in all of them.
-EXACT = 5
 BLOCK_TOKENS = 1_000_000
 #: Hits that are held at once before equal diagonals are united.
 HITS = 1 << 20
@@ -80,7 +78,7 @@ def seeds(tokens: np.ndarray, places: tuple[int, ...], salt: int) -> np.ndarray:
 
 def short_masks(n: int) -> list[tuple[int, ...]]:
     """Places read in a whole item of ``n`` tokens: of d + 2 parts, all but d, where d may differ."""
-    d = n - int(np.ceil(MIN_SHARE * n)) if n > EXACT else 0
+    d = n - int(np.ceil(MIN_SHARE * n))
     parts = np.array_split(np.arange(n), d + 2)
     return [tuple(np.concatenate([x for k, x in enumerate(parts) if k not in c]).tolist()) for c in combinations(range(d + 2), d)] if d else [tuple(range(n))]
 

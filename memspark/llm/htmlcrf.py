@@ -1,7 +1,8 @@
 """Main-text extraction: a linear-chain conditional random field over the leaf blocks of a page.
 
 A lenient scanner turns the page into leaf blocks (runs of text between block-level tags) with the
-tags, classes and ids of their ancestors. The field's two labels are article and rest; its features
+tags of their ancestors and the classes and ids of the nearest ``NEAR`` ones but ``html`` and ``body``, whose names describe
+the page and not a part of it. The field's two labels are article and rest; its features
 are ancestor tags, ancestor name tokens, block tag, length, link share, punctuation and place. It is
 trained by gradient ascent on the conditional likelihood over labelled pages (``training_pages``
 writes them from a grammar of page layouts, with the label on each element) and decoded by Viterbi.
@@ -46,6 +47,8 @@ _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 DIMENSION = 1 << 12
+#: Ancestors whose names count.
+NEAR = 16
 
 
 class Block:
@@ -58,9 +61,10 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
-    #: open elements: tag, and of it and its ancestors tags, names and nearest label
-    stack: list[tuple[str, frozenset[str], frozenset[str], str | None]] = []
+    #: open elements: tag, and of it and its ancestors tags, names (of the nearest) and nearest label
+    stack: list[tuple[str, frozenset[str], tuple[tuple[str, ...], ...], str | None]] = []
     closes: dict[str, int] = {}
+    ends: dict[str, int] = {}
     pieces: list[str] = []
     state = {"hidden": None, "link": 0, "linked": 0, "depth": 0}
 
@@ -69,8 +73,8 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
             pieces.clear()
             if text:
-                tag, tags, names, label = stack[-1] if stack else ("", frozenset(), frozenset(), None)
-                out.append(Block(text, tag, tags, names, min(1.0, state["linked"] / len(text)), label))
+                tag, tags, names, label = stack[-1] if stack else ("", frozenset(), (), None)
+                out.append(Block(text, tag, tags, frozenset().union(*names), min(1.0, state["linked"] / len(text)), label))
         state["linked"] = 0
 
     at, n = 0, len(page)
@@ -101,8 +105,9 @@ def blocks(page: str) -> list[Block]:
                 at = close.end() if close else n
                 continue
             if state["hidden"] == "head" and tag in ("noscript", "template") and not m[1]:
-                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = close.end() if close else at
+                if tag not in ends:  # the last one, so that many without an end cost no search each
+                    ends[tag] = max((x.start() for x in re.compile(rf"</{tag}\s*>", re.I).finditer(page)), default=-1)
+                at = re.compile(rf"</{tag}\s*>", re.I).search(page, at).end() if ends[tag] >= at else at
                 continue
             if state["hidden"] != "head" or m[1] or tag in IN_HEAD:
                 continue
@@ -147,12 +152,12 @@ def blocks(page: str) -> list[Block]:
                 names, label = [], None
                 for a in _ATTR.finditer(m[3]):
                     key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
-                    if key in ("class", "id", "role"):
+                    if key in ("class", "id", "role") and tag not in ("html", "body"):
                         names += _NAME.findall(value.lower())
                     elif key == "data-y":
                         label = value
-                _, tags, above, marked = stack[-1] if stack else ("", frozenset(), frozenset(), None)
-                stack.append((tag, tags if tag in tags else tags | {tag}, above.union(names) if names else above, label or marked))
+                _, tags, above, marked = stack[-1] if stack else ("", frozenset(), (), None)
+                stack.append((tag, tags if tag in tags else tags | {tag}, (*above, tuple(names))[-NEAR:], label or marked))
     flush()
     return out
 

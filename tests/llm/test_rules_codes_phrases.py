@@ -249,3 +249,41 @@ def test_phrases_empty(spark):
 
 def test_new_queries_have_sql():
     assert {"op11_url_filters", "op12_vector_codes", "op13_phrase_mining"} <= set(ORACLE)
+
+
+# --- 4: names of the page, and depth
+
+
+@pytest.mark.parametrize("state", ["", "has-sidebar", "right-sidebar", "no-comments", "menu-open"])
+def test_names_of_the_body_say_nothing(state):
+    from memspark.llm import htmlcrf
+
+    weights, move = _html_model()
+    paragraph = "<p>This is a sentence that talks about things, and goes on for a while. It stands in an article.</p>"
+    for wrap in ("<article>{}</article>", "<div class=content>{}</div>"):
+        page = f"<html class='{state}'><body class='{state}'><nav><ul><li><a href=/>Home</a></li></ul></nav>{wrap.format(paragraph * 6)}<footer>&copy; 2024 name</footer></body></html>"
+        found = htmlcrf.blocks(page)
+        labels = htmlcrf.viterbi(htmlcrf._scores(weights, found), move)
+        assert labels == [0, *[1] * 6, 0]
+
+
+_models = []
+
+
+def _html_model():
+    from memspark.llm import htmlcrf
+
+    if not _models:
+        _models.append(htmlcrf.fit(htmlcrf.training_pages()))
+    return _models[0]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    from memspark.llm import htmlcrf
+
+    for page in ("".join(f"<div class=n{k}>" for k in range(30_000)) + "text" + "</div>" * 30_000, "<head>" + "<noscript>" * 30_000 + "x"):
+        begun = time.process_time()
+        htmlcrf.blocks(page)
+        assert time.process_time() - begun < 3
