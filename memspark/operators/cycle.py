@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import meta, scoring, text
 from ..schema import ABSTRACTABLE, L1, L5, L6, Config, MemoryState
 from . import dml, folds, graph, layers, scan
+from .clustering import Clustering
 
 CYCLE_KEY, MARK_KEY = "l5_merge_cycle_count", "l6_watermark"
 
@@ -128,10 +129,20 @@ def extract_models(state: MemoryState, now: float, embedding, provider: LLMProvi
     return state, details
 
 
-def merge_models(state: MemoryState, now: float, embedding, provider: LLMProvider, config: Config = Config(), workspace: str = "", prompt: str = "Abstract.") -> tuple[MemoryState, DataFrame]:
-    """Replace similar live models by one over all their members."""
-    models = graph.written(scan.live(scan.memories(state.memories, workspace, L5)).withColumn("embedding", embedding("content")), "live")
-    groups = graph.written(clusters(models.select("workspace", "id", "embedding"), config.system2.l5_merge_similarity, 2), "groups")
+def live_models(state: MemoryState, embedding, workspace: str = "") -> DataFrame:
+    """workspace, id, embedding of mental models that are not retired."""
+    return scan.live(scan.memories(state.memories, workspace, L5)).select("workspace", "id", embedding("content").alias("embedding"))
+
+
+def merge_models(state: MemoryState, now: float, embedding, provider: LLMProvider, config: Config = Config(), workspace: str = "", prompt: str = "Abstract.", clustering: Clustering | None = None) -> tuple[MemoryState, DataFrame]:
+    """Replace similar live models by one over all their members. ``clustering``: that of ``live_models``, advanced
+    since the last merge, so that only changed models are compared; else everything is clustered."""
+    if clustering is None:
+        groups = clusters(live_models(state, embedding, workspace), config.system2.l5_merge_similarity, 2)
+    else:
+        sizes = clustering.rows.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size >= 2")
+        groups = clustering.rows.select("workspace", "id", "component").join(sizes, "component")
+    groups = graph.written(groups, "groups")
     held = graph.current(state.edges).where("relation = 'abstracts'").join(groups.select("workspace", "component", F.col("id").alias("src_id")), "src_id").select("workspace", "component", F.col("dst_id").alias("id")).distinct()
     members = held.join(state.memories.select("id", "type", "content"), "id")
     found = _summaries(members, provider, prompt)

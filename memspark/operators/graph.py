@@ -138,7 +138,10 @@ def similar_components(vectors: DataFrame, threshold: float, key: str = "workspa
     visits every other, as any exact method has to look at them."""
     kind, keykind = vectors.schema["id"].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
     rows = vectors.where(F.col("embedding").isNotNull()).select(key, "id", F.col("embedding").cast("array<double>").alias("embedding"))
-    alone = written(rows.groupBy(key, "embedding").agg(F.min("id").alias("rep")), "vectors")
+    # vectors of norm zero are similar to none, not to their copies either, but by a threshold of 0 or less
+    zero = F.lit(threshold > 0) & ~F.exists("embedding", lambda x: x != 0)
+    rows = rows.withColumn("own", F.when(zero, F.col("id")))
+    alone = written(rows.groupBy(key, "embedding", "own").agg(F.min("id").alias("rep")), "vectors")
     n = alone.count()
     pivots = alone.select("embedding").distinct().orderBy(F.xxhash64("embedding"), "embedding").limit(max(1, min(MAX_PIVOTS, n // TASK_VECTORS))).toPandas()
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
@@ -202,7 +205,8 @@ def similar_components(vectors: DataFrame, threshold: float, key: str = "workspa
     links = written(dealt.groupBy(key, "cell", "i", "j").applyInPandas(stars, f"{key} {keykind}, a {kind}, b {kind}"), "stars")
     labels = components(links.select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("_top"))
     # copies come back; a component is named by its least id
-    members = rows.withColumnRenamed(key, "_k").withColumnRenamed("embedding", "_e").join(alone, F.col("_k").eqNullSafe(F.col(key)) & (F.col("_e") == F.col("embedding"))).select(key, "id", "rep")
+    members = rows.select(F.col(key).alias("_k"), "id", F.col("embedding").alias("_e"), F.col("own").alias("_o"))
+    members = members.join(alone, F.col("_k").eqNullSafe(F.col(key)) & (F.col("_e") == F.col("embedding")) & F.col("_o").eqNullSafe(F.col("own"))).select(key, "id", "rep")
     return members.join(labels, "rep", "left").select(key, "id", F.coalesce("_top", "rep").alias("component"))
 
 
