@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import code
+from . import tree
 
 BENCHMARK = (
     "question_id string, question_type string, question string, answer string, question_date string, haystack_session_ids array<string>, haystack_dates array<string>, "
@@ -54,9 +54,6 @@ def markdown(df: DataFrame, title: str) -> str:
 
 def source_tree(spark: SparkSession, root: str, workspace: str, ignore_globs=()) -> DataFrame:
     """Files below a folder: workspace, path (relative), content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.split("://", 1)[-1].rstrip("/") + "/"
-    path = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-    rel = F.when(F.instr(path, base) == 1, F.substring(path, len(base) + 1, 1 << 20)).otherwise(path)
-    out = files.select(F.lit(workspace).alias("workspace"), rel.alias("path"), F.decode("content", "utf-8").alias("content"))
-    return out.where(~code.ignored("path", ignore_globs))
+    spark.dataSource.register(tree.SourceTree)
+    files = spark.read.format("source_tree").option("ignore", ",".join(ignore_globs)).load(root)
+    return files.select(F.lit(workspace).alias("workspace"), "path", "content")
