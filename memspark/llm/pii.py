@@ -8,7 +8,7 @@ co-occur. With n documents, n_c with the entity c, n_t with the word t and n_ct
 of c by t is PMI = log2(n n_ct / (n_c n_t)), at most the entity's own information IC = log2(n / n_c).
 A word discloses c if PMI is ``SHARE`` x IC or more and k x PMI, the bits that k different contexts of c
 give, exceeds ``DOUBT`` bits and the logarithm of the number of pairs tested (copies, and near copies with
-the same surroundings, are one context). Every occurrence of such a word, in every document that holds
+the same surroundings, are one context). The words that a pattern itself asks for (``OWN``) are no evidence. Every occurrence of such a word, in every document that holds
 the entity, becomes a span of kind ``term``. ``sanitise`` generalises entities to their kind and removes
 disclosing words.
 
@@ -51,6 +51,8 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "secret": r"(?:token|secret|password|passwd|api_key|apikey|access_key)[ ]{0,3}[=:]"}
 TERM = r"\p{L}{3,}"
+#: Words that a pattern itself asks for disclose nothing beyond it.
+OWN = {"secret": ("token", "secret", "password", "passwd", "api", "apikey", "key", "access")}
 
 
 def _digits(value: Column) -> Column:
@@ -143,6 +145,10 @@ def disclosures(docs: DataFrame, rows: DataFrame) -> DataFrame:
     classes = each.groupBy("id", "text_key", F.col("kind").cast("string").alias("entity")).agg(F.min(F.xxhash64("context")).alias("place"))
     texts = rows.where(F.size("spans") > 0).select("id", "text_key", "text").dropDuplicates(["id", "text_key"])
     wide = classes.join(texts, ["id", "text_key"]).select("id", "text_key", "entity", "place", F.explode(_terms(F.col("text"))).alias("term"))
+    own = F.lit(False)
+    for kind, words in OWN.items():
+        own = own | ((F.substring_index("entity", ":", 1) == str(KINDS.index(kind))) & F.col("term").isin(*words))
+    near, wide = near.where(~own), wide.where(~own)
     seen = near.unionAll(wide).groupBy("entity", "term", "place", "id", "text_key").agg(F.lit(1).alias("one"))
     pairs = written(seen.groupBy("entity", "term", "place").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("k")), "pairs")
     of_value = each.select("id", "text_key", "entity").distinct()
