@@ -414,6 +414,17 @@ def test_pii_disclosure(spark):
     assert "[EMAIL]" in clean[1000] and "Zebedee" not in clean[1000] and clean[5] == rows[5][1]
 
 
+def test_pii_own_key_words(spark):
+    """Words that the secret's pattern asks for are no terms; other words that only such documents hold are."""
+    rows = [(k, prose(k, 30)) for k in range(300)]
+    rows += [(1000 + k, f"{prose(4000 + k, 12)} vaultmaster sets {name} = {'%032x' % (k * 7919 + 5)} {prose(5000 + k, 9)}") for k in range(12) for name in [("token", "api_key", "access_key", "password")[k % 4]]]
+    for x in pii.query(documents(spark, rows)).collect():
+        text = dict(rows)[x["doc_id"]]
+        terms = {text[int(a) : int(b)] for kind, a, b in (s.split(":") for s in x["spans"].split(",") if s) if kind == "term"}
+        assert not terms & {w for words in pii.OWN.values() for w in words}
+        assert ("vaultmaster" in terms) == (x["doc_id"] >= 1000) and x["n_secret"] == (x["doc_id"] >= 1000)
+
+
 def test_pii_edges(spark):
     rows = [*odd_rows(), (60, "1" * 60_000), (61, "a." * 30_000 + "@"), (62, "a@" + "b." * 20_000 + "c"), (63, "+1" + "(" * 30_000)]
     got = pii.query(extra(documents(spark, rows))).collect()
@@ -466,6 +477,19 @@ def test_curriculum(spark):
     np.testing.assert_allclose([x["t"] for x in got], ts, atol=1e-4)
 
 
+def test_mixing_deals_hot_ids(spark):
+    """Rows of one id, or of none, take many buckets, and the mix does not depend on the rows' order."""
+    rows = [(None if k % 2 else 7, prose(k, 1 + k % 30), "en", f"s{k % 3}") for k in range(2000)] + [(7, "same text", "en", "s0")] * 50
+    docs = documents(spark, rows)
+    share = docs.groupBy("doc_id", F.substring(mixing.stream_key(), 1, 3).alias("b")).count().groupBy("doc_id").agg(F.max("count").alias("most"), F.count("b").alias("buckets")).collect()
+    assert {x["doc_id"] for x in share} == {7, None} and all(x["buckets"] > 700 and x["most"] < 60 for x in share)
+    got, again = (sorted(map(repr, mixing.query(d).collect())) for d in (docs, docs.repartition(5)))
+    assert got == again and len(got) == 2050
+    for s in ("s0", "s1", "s2"):
+        mine = [x for x in mixing.query(docs).where(F.col("source") == s).collect()]
+        assert abs(sum(x["taken"] for x in mine) - mine[0]["target"]) < 0.05 * mine[0]["target"]
+
+
 def test_mixing_edges(spark):
     got = {x["doc_id"]: x for x in mixing.query(extra(documents(spark, odd_rows()))).collect()}
     assert got[1]["size"] == 0 and got[1]["target"] == 0.0 or got[1]["source"] is None
