@@ -12,7 +12,7 @@ equi-join. At most ``MAX_PIVOTS`` vectors reach the driver; they are kept while
 it has grown by ``REGROW``, so that cells stay small.
 
 Edge cases: null vectors are no members; ids must be unique over all keys, and a vector whose value or key changed counts
-as removed and new; vectors of norm zero are similar to none (for a positive threshold); equal vectors are similar; an
+as removed and new; equal vectors are similar, those of norm zero only to each other (for a positive threshold); an
 empty table gives an empty clustering.
 """
 
@@ -150,6 +150,7 @@ class Clustering:
             for at in range(0, len(m), 512):
                 x, y = np.nonzero(m[at : at + 512] @ o.T >= threshold)
                 hits[na[1][x + at], nb[1][y]] = True
+            hits[np.ix_(na[1][~m.any(axis=1)], nb[1][~o.any(axis=1)])] = True  # vectors of norm zero are equal
             links = bipartite_forest(hits)
             return pd.DataFrame([(na[0][a], nb[0][b]) for a, b in links], columns=["a", "b"])
 

@@ -23,7 +23,8 @@ def brute(rows, threshold):
         unit[i] = np.asarray(v) / n if n else np.zeros(len(v))
     for k1, i, _ in rows:
         for k2, j, _ in rows:
-            if i < j and k1 == k2 and unit[i] @ unit[j] >= threshold:
+            both_zero = not unit[i].any() and not unit[j].any()  # equal vectors are similar
+            if i < j and k1 == k2 and (both_zero or unit[i] @ unit[j] >= threshold):
                 a, b = top(i), top(j)
                 parent[max(a, b)] = min(a, b)
     return {i: top(i) for _, i, _ in rows}
@@ -35,9 +36,10 @@ def test_components_follow_changes(spark, monkeypatch):
     r = np.random.default_rng(3)
     centres = r.normal(size=(25, 6))
     rows = [(None if k % 11 == 0 else f"w{k % 3}", f"v{k:03d}", [float(x) for x in centres[k % 25] + r.normal(0, 0.35, 6)]) for k in range(150)]
-    rows += [("w0", "zero1", [0.0] * 6), ("w0", "zero2", [0.0] * 6), ("w1", "copy1", rows[1][2]), ("w1", "copy2", rows[1][2])]
+    rows.insert(0, ("w0", "zero1", [0.0] * 6))
+    rows += [("w0", "zero2", [0.0] * 6), ("w1", "copy1", rows[2][2]), ("w1", "copy2", rows[2][2])]
     df = lambda some: spark.createDataFrame(some + [("w0", "null", None)], "workspace string, id string, embedding array<double>")
-    steps = [rows[:90], rows[20:], [(k, i, v if i != "v100" else [-x for x in v]) for k, i, v in rows if i[-1] != "7"]]
+    steps = [rows[:90], rows[:1] + rows[20:], [(k, i, v if i != "v100" else [-x for x in v]) for k, i, v in rows if i[-1] != "7"]]
     c = None
     for some in steps:
         c = Clustering.of(df(some), 0.9) if c is None else c.advance(df(some))
