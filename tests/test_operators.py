@@ -276,6 +276,22 @@ def test_models_and_merge(spark):
     assert cycle.extract_models(s, NOW, embed, None)[1] is None
 
 
+def test_merge_takes_an_advanced_clustering(spark):
+    from memspark.operators.clustering import Clustering
+
+    fake = cycle.FakeProvider({"title": "Cats", "model": "they sit"})
+    conf = Config(dim=DIM)
+    model = lambda i, text: (i, text, {"layer": L5, "type": "mental_model"})
+    base = MemoryState.empty(spark, memories=memories(spark, [("f1", "one"), ("f2", "two"), model("m1", "Cats: they sit"), model("m3", "nothing alike")]))
+    links = spark.createDataFrame([("m1", "abstracts", "f1"), ("m2", "abstracts", "f2"), ("m3", "abstracts", "f2")], "src_id string, relation string, dst_id string")
+    after = dml.put_edges(dml.put_memories(base, memories(spark, [model("m2", "Cats: they sit")])), dml.link(links, NOW))
+    c = Clustering.of(cycle.live_models(base, embed), conf.system2.l5_merge_similarity).advance(cycle.live_models(after, embed))
+    got = [cycle.merge_models(after, NOW + 1, embed, fake, conf, clustering=x) for x in (None, c)]
+    rows = [sorted(map(repr, d.select("n_members", "action").collect())) for _, d in got]
+    live = [sorted(r["content"] for r in scan.live(s.memories.where(F.col("layer") == L5)).collect()) for s, _ in got]
+    assert rows[0] == rows[1] and len(rows[0]) == 1 and live[0] == live[1] == ["Cats: they sit", "nothing alike"]
+
+
 def test_intents(spark):
     rows = [("x1", "gone", {"layer": L6, "metadata": '{"valid_to": 5}'}), ("x2", "gone", {"layer": L6}), ("x3", "keep", {"layer": L6, "metadata": '{"valid_to":"soon"}'}), ("x4", "keep", {"layer": L6, "metadata": f'{{"valid_to":"{NOW + 9}"}}'})]
     s = state_of(spark, rows)
