@@ -62,8 +62,8 @@ def chunks(df: DataFrame, content: str = "content", size: int = CHUNK_LINES) ->
 
 def manifest_diff(files: DataFrame, index_state: DataFrame) -> DataFrame:
     """files (workspace, path, body_hash) -> with status new, changed or unchanged."""
-    old = index_state.select("workspace", F.col("file_path").alias("path"), F.col("body_hash").alias("_old"))
-    j = files.join(old, ["workspace", "path"], "left")
+    old = index_state.select(F.col("workspace").alias("_w"), F.col("file_path").alias("_p"), F.col("body_hash").alias("_old"))
+    j = files.join(old, F.col("workspace").eqNullSafe(F.col("_w")) & F.col("path").eqNullSafe(F.col("_p")), "left").drop("_w", "_p")
     return j.withColumn("status", F.when(F.col("_old").isNull(), "new").when(F.col("_old") == F.col("body_hash"), "unchanged").otherwise("changed")).drop("_old")
 
 
