@@ -80,28 +80,34 @@ class MarkCounts:
         return {"passed": sum(r["passed"] for r in seen.values()), "late": sum(r["late"] for r in seen.values()), "highest": max([self.mark, *highs])}
 
 
-def expiring(stream: DataFrame, delay: str = "0 seconds") -> DataFrame:
+#: Groups over which ids that will expire are dealt.
+EXPIRY_BUCKETS = 4096
+
+
+def expiring(stream: DataFrame, delay: str = "0 seconds", buckets: int = EXPIRY_BUCKETS) -> DataFrame:
     """(id, created_at timestamp, expires_at timestamp) -> (id, expires_at): each id once, when the watermark has
     passed its time; a later row of an id replaces its time. State is held for live ids only: a timer in event time drops it. Ids whose
-    time never comes, and rows later than the watermark allows, give nothing."""
+    time never comes, and rows later than the watermark allows, give nothing.
+
+    Ids are dealt over ``buckets`` by hash. A bucket's live ids are one row of state with one timer, at the earliest of their
+    times, so a batch costs a call for each bucket it touches and not for each id."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (ms,) = state.get
+        held = pd.Series(list(state.get[1]), list(state.get[0]), "int64") if state.exists else pd.Series([], [], "int64")
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["created_at", "ms"]).drop_duplicates("id", keep="last")
+            held = pd.concat([held[~held.index.isin(rows["id"])], pd.Series(rows["ms"].to_numpy(), rows["id"].to_numpy(), "int64")])
+        gone = held < state.getCurrentWatermarkMs()
+        live = held[~gone]
+        if len(live):
+            state.update((live.index.tolist(), live.tolist()))
+            state.setTimeoutTimestamp(max(1, int(live.min())))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"id": [key[0]], "ms": [ms]})
-            return
-        ms = int(pd.concat(list(batches)).sort_values(["created_at", "ms"])["ms"].iloc[-1])
-        if ms < state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"id": [key[0]], "ms": [ms]})
-            return
-        state.update((ms,))
-        state.setTimeoutTimestamp(ms)
+        yield pd.DataFrame({"id": held.index[gone], "ms": held[gone].to_numpy()})
 
-    timed = stream.where("id is not null and expires_at is not null").select("id", "created_at", F.unix_millis("expires_at").alias("ms")).withWatermark("created_at", delay)
-    gone = timed.groupBy("id").applyInPandasWithState(step, "id string, ms long", "ms long", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = stream.where("id is not null and expires_at is not null").select(F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"), "id", "created_at", F.unix_millis("expires_at").alias("ms")).withWatermark("created_at", delay)
+    gone = timed.groupBy("bucket").applyInPandasWithState(step, "id string, ms long", "ids array<string>, ms array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
     return gone.select("id", F.timestamp_millis("ms").alias("expires_at"))
 
 

@@ -24,3 +24,24 @@ def pages(spark, d):
 def test_manifest_of_repeated_urls(spark, tmp_path):
     pages(spark, tmp_path)
     same_as_sql(spark, tmp_path, "file_manifest_diff")
+
+
+def test_summaries_of_repeated_urls(spark, tmp_path):
+    pages(spark, tmp_path)
+    same_as_sql(spark, tmp_path, "file_summary")
+
+
+def test_expiry_calls_a_bucket_once(spark, tmp_path):
+    """Many ids in few groups of state: an id's later row counts, times at the watermark wait, state holds buckets."""
+    from memspark import streaming
+
+    for k, rows in enumerate([[(f"i{j}", 10, 20 + j) for j in range(300)], [(f"i{j}", 100, 1000 + j) for j in range(0, 300, 3)], [("late", 200, 5000)]]):
+        df = spark.createDataFrame(rows, "id string, c long, e long").selectExpr("id", "timestamp_seconds(c) AS created_at", "timestamp_seconds(e) AS expires_at")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema("id string, created_at timestamp, expires_at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = []
+    q = streaming.expiring(s, buckets=5).writeStream.outputMode("append").foreachBatch(lambda df, i: got.extend((r["id"], int(r["e"])) for r in df.selectExpr("id", "unix_seconds(expires_at) AS e").collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(got) == sorted((f"i{j}", 20 + j) for j in range(300) if j % 3 and 20 + j < 200)
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(state) <= 5
