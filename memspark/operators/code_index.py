@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import code, text
 from ..functions.hashing import content_hash
 from ..schema import L2, Config, MemoryState
+from ..sources.shared import small_batches
 from . import dml, grammars, graph, layers
 
 CHUNK_LINES = 40
@@ -84,6 +85,7 @@ def extract(files: DataFrame, max_lines: int = 40) -> DataFrame:
                     out.append(([], f"parse failed ({e}); using chunk fallback"))
             yield pd.DataFrame(out, columns=["symbols", "error"])
 
+    small_batches(files.sparkSession)
     parsed = files.withColumn("_p", parse("content", "language")).withColumn("module", code.module_name("path"))
     some = parsed.where(F.size("_p.symbols") > 0).select("workspace", "path", "language", "module", F.posexplode("_p.symbols").alias("seq", "s")).select("workspace", "path", "language", "module", "seq", "s.*", F.lit(None).cast("string").alias("error"))
     parent = F.when(F.col("parent") == "", F.lit("")).otherwise(F.concat_ws(".", "module", "parent"))
