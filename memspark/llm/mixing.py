@@ -131,16 +131,26 @@ def assign(docs: DataFrame, carry: Column | None = None, weights=WEIGHTS, max_ep
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), positions.alias("positions"), *(["carried"] if carry is not None else []))
 
 
+def training_stream(assigned: DataFrame, *columns: str) -> DataFrame:
+    """Rows of ``assign`` -> ``columns``, epoch and position of each copy, range-sorted by position."""
+    rows = assigned.select(*columns, F.posexplode("positions").alias("epoch", "position"))
+    return rows.repartitionByRange("position", "epoch").sortWithinPartitions("position", "epoch")
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The training stream: the rows of ``docs``, each as often as it is taken, range-sorted by position."""
-    columns = docs.columns
-    taken = assign(docs, F.struct(*[F.col(f"`{c}`") for c in columns]), **options)
-    rows = taken.select("carried", F.posexplode("positions").alias("epoch", "position"))
-    return rows.repartitionByRange("position", "epoch").sortWithinPartitions("position", "epoch").select("carried.*")
+    taken = assign(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), **options)
+    return training_stream(taken, "carried").select("carried.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return assign(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", F.try_element_at("positions", F.lit(1)).alias("first_position"))
+    """What the training stream holds of each document: the stream is written in order of position (row numbers in place of
+    texts), and words, copies and first position are those found in it."""
+    rows = written(assign(docs).drop("copies", "taken").withColumn("row", F.monotonically_increasing_id()), "assigned")
+    stream = written(training_stream(rows, "row", "size"), "stream")
+    found = stream.groupBy("row").agg(F.sum("size").alias("taken"), F.count(F.lit(1)).alias("copies"), F.min("position").alias("first_position"))
+    none = F.lit(0).cast("long")
+    return rows.join(found, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), "source", F.coalesce("copies", none).alias("copies"), "first_position")
 
 
 SQL = r"""
