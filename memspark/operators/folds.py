@@ -22,6 +22,8 @@ from . import dml, graph, layers, scan, search
 CAP = 500
 ACTIONS = ("ADD", "UPDATE", "DELETE", "NOOP")
 ANCHORS = 256
+#: Rows that one task compares with a block of anchors.
+PIECE = 16384
 
 
 def ordered_episodes(memories: DataFrame, workspace: str = "", since: float = 0.0, cap: int | None = CAP) -> DataFrame:
@@ -29,8 +31,15 @@ def ordered_episodes(memories: DataFrame, workspace: str = "", since: float = 0.
     e = scan.memories(memories, workspace, L1)
     if since:
         e = e.where(F.col("created_at") >= since)
-    e = e.withColumn("place", F.row_number().over(Window.partitionBy("workspace").orderBy("created_at", "id")))
-    return e.where(F.col("place") <= cap) if cap else e
+    if cap:
+        return e.withColumn("place", F.row_number().over(Window.partitionBy("workspace").orderBy("created_at", "id"))).where(F.col("place") <= cap)
+    # all of them: sorted ranges are numbered by themselves, then by what lies before them, so a workspace is no single task
+    e = graph.written(e.repartitionByRange("workspace", "created_at", "id").withColumn("_range", F.spark_partition_id()), "ordered")
+    sizes = e.groupBy(F.col("workspace").alias("_w"), F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("_w").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
+    e = e.withColumn("_at", F.row_number().over(Window.partitionBy("workspace", "_range").orderBy("created_at", "id")))
+    e = e.join(F.broadcast(before), F.col("workspace").eqNullSafe(F.col("_w")) & (F.col("_range") == F.col("_r")))
+    return e.withColumn("place", (F.col("_at") + F.col("_before")).cast("int")).drop("_w", "_r", "_range", "_at", "_before")
 
 
 def decide(candidate_hash: str, similar: list[tuple[float, str, str]], threshold: float) -> str:
@@ -62,7 +71,8 @@ def consolidation_log(state: MemoryState, config: Config = Config(), workspace:
 
     def found(eps: DataFrame, k: int) -> DataFrame:
         own = vectors.join(eps.select("workspace").distinct(), "workspace", "left_semi")
-        hits = search.top_k_within(own, eps.select("workspace", F.col("episode_id").alias("query_id"), "embedding"), k)
+        # written, so that the join knows how few rows there are
+        hits = graph.written(search.top_k_within(own, eps.select("workspace", F.col("episode_id").alias("query_id"), "embedding"), k), "hits")
         return hits.join(m, "id").select("workspace", "query_id", "id", "similarity", "layer", "content_hash", "content", "by")
 
     eps = episodes.select("workspace", "place", F.col("id").alias("episode_id"), "content", "embedding")
@@ -170,7 +180,7 @@ def action_counts(log: DataFrame, key: str = "workspace") -> DataFrame:
     return log.groupBy(key).pivot("action", list(ACTIONS)).count().fillna(0)
 
 
-def greedy_clusters(rows: DataFrame, threshold: float, min_size: int = 3, key: str = "workspace", block: int = ANCHORS, pieces: int = 8) -> DataFrame:
+def greedy_clusters(rows: DataFrame, threshold: float, min_size: int = 3, key: str = "workspace", block: int = ANCHORS, piece: int = PIECE) -> DataFrame:
     """rows (key, id, place, embedding) -> key, anchor_id, anchor_place, id, place, size.
 
     The first row not yet taken becomes an anchor and takes every later free row that is similar enough;
@@ -216,8 +226,9 @@ def greedy_clusters(rows: DataFrame, threshold: float, min_size: int = 3, key: s
         got = graph.written(head.groupBy(key).applyInPandas(anchors, shape), "anchors")
         rest = left.join(head.select("id"), "id", "left_anti")
         leaders = got.where("id = anchor_id").select("id").join(head, "id").select(key, "id", "place", "embedding")
-        spread = leaders.select("*", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece"))
-        dealt = rest.withColumn("piece", F.pmod(F.xxhash64("id"), F.lit(pieces)).cast("int"))
+        sizes = graph.written(rest.groupBy(F.col(key).alias("_k")).agg(F.ceil(F.count(F.lit(1)) / piece).alias("_pieces")), "pieces")
+        spread = leaders.join(sizes, F.col(key).eqNullSafe(F.col("_k"))).select(key, "id", "place", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1)).alias("piece"))
+        dealt = rest.join(sizes, F.col(key).eqNullSafe(F.col("_k"))).select(key, "id", "place", "embedding", F.pmod(F.xxhash64("id"), F.col("_pieces")).alias("piece"))
         claimed = graph.written(dealt.groupBy(key, "piece").cogroup(spread.groupBy(key, "piece")).applyInPandas(claim, shape), "claimed")
         both = got.unionByName(claimed)
         taken = both if taken is None else taken.unionByName(both)
@@ -230,7 +241,7 @@ def greedy_clusters(rows: DataFrame, threshold: float, min_size: int = 3, key: s
 
 def playbook_candidates(state: MemoryState, workspace: str = "", min_size: int = 3, threshold: float = 0.55) -> DataFrame:
     """workspace, anchor_id, size, action_verb, name, steps, preconditions, content of each cluster of successes."""
-    e = ordered_episodes(state.memories, workspace, cap=None).where(F.col("embedding").isNotNull())
+    e = ordered_episodes(state.memories.select("id", "layer", "workspace", "created_at", "embedding", "metadata"), workspace, cap=None).where(F.col("embedding").isNotNull())
     e = e.withColumn("outcome", meta.string("metadata", "outcome")).where(F.col("outcome").isin("success", "ok", "done"))
     enough = e.groupBy("workspace").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_size).select("workspace")
     e = graph.written(e.join(enough, "workspace", "left_semi"), "successes")
@@ -262,7 +273,7 @@ def proceduralize(state: MemoryState, now: float, embedding, config: Config = Co
     m = state.memories.select("id", "layer", "type", "content_hash", meta.retired("metadata").alias("gone"))
 
     def found(some: DataFrame, k: int) -> DataFrame:
-        hits = search.top_k_within(vectors, some.select("workspace", F.col("anchor_id").alias("query_id"), "embedding"), k)
+        hits = graph.written(search.top_k_within(vectors, some.select("workspace", F.col("anchor_id").alias("query_id"), "embedding"), k), "hits")
         return hits.join(m, "id").select("workspace", "query_id", "id", "similarity", "layer", "type", "content_hash", "gone")
 
     def fold(key: tuple, c: pd.DataFrame, h: pd.DataFrame, k: int) -> pd.DataFrame:
