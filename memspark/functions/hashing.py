@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .text import features
+from ..sources.shared import small_batches
+from .text import PARTS, RUNS
 
 
 def hash_hex(data: bytes, size: int = 16) -> str:
@@ -28,30 +29,48 @@ def content_hash(col, size: int = 16) -> Column:
     return run(F.col(col) if isinstance(col, str) else col)
 
 
-@lru_cache(maxsize=200_000)
-def _slot(feature: str) -> tuple[int, float]:
-    d = hashlib.blake2b(feature.encode(), digest_size=8).digest()
-    return int.from_bytes(d[:4], "little"), -1.0 if d[4] & 1 else 1.0
+class _Slots(dict):
+    """feature -> twice its bucket, plus 1 where its sign is negative."""
+
+    def __missing__(self, feature: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        d = hashlib.blake2b(feature.encode(), digest_size=8).digest()
+        self[feature] = slot = int.from_bytes(d[:4], "little") * 2 + (d[4] & 1)
+        return slot
+
+
+_slots = _Slots()
+_runs, _parts = re.compile(RUNS), re.compile(PARTS)
+
+
+def features(text: str | None) -> list[str]:
+    """``text.features`` of one text."""
+    tokens: list[str] = []
+    for run in _runs.findall(text or ""):
+        tokens += _parts.findall(run) or (run,)
+    tokens = [t.lower() for t in tokens]
+    return tokens + [f"{a}_{b}" for a, b in zip(tokens, tokens[1:])]
 
 
 def hash_vector(feats, dim: int) -> np.ndarray:
-    out = np.zeros(dim)
-    for f in feats:
-        bucket, sign = _slot(f)
-        out[bucket % dim] += sign
+    slots = np.fromiter(map(_slots.__getitem__, feats), np.int64)
+    out = np.bincount((slots >> 1) % dim, 1.0 - 2.0 * (slots & 1), dim)
     norm = np.sqrt((out * out).sum())
     return (out / (norm or 1.0)).astype(np.float32)
 
 
 def hash_embed(text, dim: int = 256) -> Column:
-    """Signed feature hashing of tokens and token pairs, unit length."""
+    """Signed feature hashing of tokens and token pairs, unit length. Texts reach the worker in small batches, not their features."""
+    if spark := SparkSession.getActiveSession():
+        small_batches(spark)
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for feats in batches:
-            yield feats.map(lambda f: hash_vector(() if f is None else f, dim))
+        for texts in batches:
+            yield texts.map(lambda t: hash_vector(features(t), dim))
 
-    return run(features(text))
+    return run(F.col(text) if isinstance(text, str) else text)
 
 
 def embed_with(embed_batch: Callable[[list[str]], np.ndarray], text) -> Column:
