@@ -30,6 +30,8 @@ ROUNDS = 6
 PART = 4096
 #: Vectors on which the number of probes is measured.
 SAMPLE = 256
+#: Numbers in a matrix of vectors x cells, and rows of queries x cells in a frame.
+CHUNK, FRAME = 1 << 20, 1 << 14
 
 
 @dataclass(frozen=True)
@@ -48,8 +50,12 @@ def _norm2(c: str):
 
 def nearest_cells(units: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     """The n nearest centres of each row, nearest first; ties by number."""
-    sims = units.astype(np.float64) @ centres.T.astype(np.float64)
-    return np.argsort(-sims, axis=1, kind="stable")[:, :n]
+    out = np.zeros((len(units), min(n, len(centres))), np.int64)
+    wide, step = centres.T.astype(np.float64), max(1, CHUNK // max(1, len(centres)))
+    for at in range(0, len(units), step):
+        sims = units[at : at + step].astype(np.float64) @ wide
+        out[at : at + step] = sims.argmax(axis=1)[:, None] if n == 1 else np.argsort(-sims, axis=1, kind="stable")[:, :n]
+    return out
 
 
 def build(vectors: DataFrame, cells: int | None = None, rounds: int = ROUNDS, dim: int | None = None) -> Index:
@@ -112,9 +118,11 @@ def top_k(index: Index, queries: DataFrame, k: int, probes: int = 8) -> DataFram
 
     def aim(batches):
         for pdf in batches:
-            if len(pdf) and len(centres):
-                cells = nearest_cells(search._unit(search._matrix(pdf["embedding"], dim)), centres, probes)
-                yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), cells.shape[1]), "embedding": pdf["embedding"].repeat(cells.shape[1]).to_numpy(), "cell": cells.ravel()})
+            step = max(1, FRAME // min(probes, max(1, len(centres))))
+            for at in range(0, len(pdf) if len(centres) else 0, step):
+                some = pdf[at : at + step]
+                cells = nearest_cells(search._unit(search._matrix(some["embedding"], dim)), centres, probes)
+                yield pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy(), cells.shape[1]), "embedding": some["embedding"].repeat(cells.shape[1]).to_numpy(), "cell": cells.ravel()})
 
     aimed = q.where("norm2 > 0").select("query_id", "embedding").mapInPandas(aim, f"query_id {qkind}, embedding array<float>, cell long")
     shape = aimed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART).alias("qparts")).join(index.filed.groupBy("cell").agg(F.max("part").alias("last")), "cell")
