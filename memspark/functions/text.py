@@ -31,14 +31,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def features(text) -> Column:
-    """Tokens and the pairs of neighbours."""
+def pairs(tokens) -> Column:
+    """Neighbours, joined by ``_``."""
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.concat(a, F.lit("_"), b))
 
-    def with_pairs(t):
-        n = F.greatest(F.size(t) - 1, F.lit(0))
-        return F.concat(t, F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat(a, F.lit("_"), b)))
 
-    return let(tokenize(text), with_pairs)
+def features(text) -> Column:
+    """Tokens and the pairs of neighbours."""
+    return let(tokenize(text), lambda t: F.concat(t, pairs(t)))
 
 
 def infer_query_types(query) -> Column:
