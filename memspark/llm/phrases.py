@@ -204,25 +204,38 @@ def bitmap(packed: DataFrame, bits: int, least: int):
     """Broadcast bitmap of the places whose counts sum up to ``least``. packed: (block, places, counts)."""
 
     def total(batches):
-        now, sums = None, np.zeros(WIDTH, np.int64)
+        now, sums, held, size = None, np.zeros(WIDTH, np.int64), [], 0
+
+        def added():
+            nonlocal held, size
+            if held:
+                places, counts = (b"".join(x) for x in zip(*held))
+                sums[:] += np.bincount(np.frombuffer(places, "<u2"), np.frombuffer(counts, np.uint8), WIDTH).astype(np.int64)
+            held, size = [], 0
+            return sums
+
         for batch in batches:
             for block, places, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 if now not in (None, block):
-                    yield now, sums
+                    yield now, added()
                     sums = np.zeros(WIDTH, np.int64)
                 now = block
-                np.add.at(sums, np.frombuffer(places, "<u2"), np.frombuffer(counts, np.uint8))
+                held.append((places, counts))
+                size += len(counts)
+                if size >= SLICE:
+                    added()
         if now is not None:
-            yield now, sums
+            yield now, added()
 
     def run(batches):
         for block, sums in total(batches):
             marks = np.packbits(sums >= least, bitorder="little").tobytes()
             yield pa.record_batch([pa.array([block], pa.int32()), pa.array([marks], pa.binary())], names=["block", "marks"])
 
-    rows = packed.select("block", "places", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, marks binary")
+    # the sums are taken by all tasks at once and written; a local iterator over them would run one task after another
+    rows = written(packed.select("block", "places", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, marks binary"), "phrasemarks", compression="zstd")
     whole = bytearray((1 << bits) // 8)
-    for block, marks in rows.toLocalIterator():
+    for block, marks in rows.toLocalIterator(prefetchPartitions=True):
         whole[block * (WIDTH // 8) : (block + 1) * (WIDTH // 8)] = marks
     return packed.sparkSession.sparkContext.broadcast(bytes(whole))
 
