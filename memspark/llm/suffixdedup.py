@@ -243,11 +243,12 @@ class Shard:
         self.data = np.frombuffer(b"\xff".join(slices) + b"\xff", np.uint8)  # no UTF-8 text has 0xFF
         sizes = np.array([len(s) for s in slices], np.int64)
         self.starts = np.cumsum(sizes + 1) - sizes - 1
-        self.slice = np.repeat(np.arange(len(slices)), sizes + 1)
-        self.offset = np.arange(len(self.data)) - self.starts[self.slice]
+        self.slice = np.repeat(np.arange(len(slices), dtype=np.int32), sizes + 1)
+        self.offset = (np.arange(len(self.data)) - self.starts[self.slice]).astype(np.int32)
         self.whole = self.offset + length <= sizes[self.slice]
-        self.sa = suffix_array(self.data)  # in full: Kasai's rule needs the order of ties too
-        self.runs = np.cumsum(common_prefixes(self.data, self.sa, length) < length)
+        sa = suffix_array(self.data)  # in full: Kasai's rule needs the order of ties too
+        self.runs = np.cumsum(common_prefixes(self.data, sa, length) < length, dtype=np.int32)
+        self.sa = sa.astype(np.int32)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(places of whole strings in suffix order, number of the run of equal strings of each)."""
@@ -435,7 +436,7 @@ def repeats(texts: DataFrame) -> DataFrame:
         for pdf in batches:
             for r in pdf[["gram", "n", "hood", "twice", "origin", "low", "data"]].itertuples(index=False, name=None):
                 if not held or r[0] != held[-1][-1][0]:
-                    if size >= 8 * SHARD:
+                    if size >= SHARD:  # equal strings pick equal grams, so groups need not meet
                         yield done(held)
                         held, size = [], 0
                     held.append([])
