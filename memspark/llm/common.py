@@ -7,11 +7,13 @@ null id stays null.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: The operator that last ran in this Python worker, and what forgets its memo.
+_last: tuple[str, Callable[[], object]] | None = None
+
+
+def takes_over(operator: str, forget: Callable[[], object] = lambda: None) -> None:
+    """Called by an operator's tasks. Python workers outlive tasks and serve one operator after another: when the next one
+    begins, the last one's memo goes, and what its batches left with the allocators returns to the system."""
+    global _last
+    before, _last = _last, (operator, forget)
+    if before and before[0] != operator:
+        before[1]()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc only
+            trim(0)
+
+
 def id_text(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

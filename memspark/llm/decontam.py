@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_of
+from .common import prepare, takes_over, text_of
 
 #: Which successive tokens each mask reads.
 MASKS = ("11101111", "11010010111", "1110110011")
@@ -58,6 +58,10 @@ class Tokens(dict):
 _tokens = Tokens()
 
 
+def begin() -> None:
+    takes_over("decontam", _tokens.clear)
+
+
 def hashes(text: str | None) -> np.ndarray:
     words = _WORDS.findall(text.lower()) if text else []
     return np.fromiter(map(_tokens.__getitem__, words), np.uint64, len(words))
@@ -164,6 +168,7 @@ def indexes(items: DataFrame, block_tokens: int = BLOCK_TOKENS):
 def _found(shared, text: Column) -> Column:
     @F.pandas_udf("array<struct<item_id: bigint, n_match: int, n_compared: int, start_token: int, end_token: int>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        begin()
         for texts in batches:
             rows: list[list] = [[] for _ in range(len(texts))]
             for d, i, m, n, a, b in shared.value.search(texts.tolist()):
@@ -176,6 +181,7 @@ def _found(shared, text: Column) -> Column:
 def _leaks(shared, text: Column) -> Column:
     @F.pandas_udf("boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        begin()
         for texts in batches:
             hit = np.zeros(len(texts), bool)
             hit[[x[0] for x in shared.value.search(texts.tolist())]] = True

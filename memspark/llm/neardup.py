@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, prepare, scratch, text_of, written
+from .common import id_text, prepare, scratch, takes_over, text_of, written
 from .sketch import heavy
 
 WORDS_A_SHINGLE, THRESHOLD = 5, 0.8
@@ -67,6 +67,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def begin() -> None:
+    takes_over("neardup", _words.clear)
+
+
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted, and how often each occurs."""
     words = text.lower().encode("utf-8", "surrogatepass").split() if text else []
@@ -181,6 +185,7 @@ class NearDuplicates:
         self.texts = written(keyed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text")), "texts", compression="zstd")
 
         def keys_of(texts):
+            begin()
             keys = np.concatenate([shingles(t)[0] for t in texts]) if texts else np.zeros(0, np.uint64)
             yield keys, np.ones(len(keys), np.int64), np.zeros(len(keys), np.uint64)
 
@@ -189,6 +194,7 @@ class NearDuplicates:
         idf = self.idf
 
         def sketch(batches):
+            begin()
             for pdf in batches:
                 rows = []
                 for node, text in zip(pdf["node"], pdf["text"]):
@@ -226,6 +232,7 @@ class NearDuplicates:
         dealt = dealt.join(sketches.drop("size"), "node").join(self.texts.select("node", "text"), "node")
 
         def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            begin()
             bucket, i, j = key
             n = len(pdf)
             nodes, texts, part = pdf["node"].tolist(), pdf["text"].tolist(), pdf["p"].to_numpy()
@@ -271,6 +278,7 @@ class NearDuplicates:
         b = self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
         def check(batches):
+            begin()
             held = ("", None)
             for pdf in batches:
                 out = []

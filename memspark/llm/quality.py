@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, takes_over
 
 #: At most about this many labelled rows train the list.
 MAX_LABELS = 20_000
@@ -91,6 +91,7 @@ def statistics(text: Column) -> Column:
 
     @F.pandas_udf(SCHEMA)
     def run(texts: pd.Series) -> pd.DataFrame:
+        takes_over("quality")
         return pd.DataFrame([text_statistics(t) for t in texts], columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return run(text)

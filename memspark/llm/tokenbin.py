@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, prepare, text_of
+from .common import fresh_path, prepare, takes_over, text_of
 
 END_ID = 0
 #: A chunk is closed at this many ids (it may exceed it by one document).
@@ -277,6 +277,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id:
     def chunks(batches):
         from pyspark import TaskContext
 
+        takes_over("tokenbin", Encoder._loaded.clear)
         part, seq = TaskContext.get().partitionId(), 0
         encoder = Encoder.at(tokenizer_path)
         keys: list = []
@@ -316,6 +317,7 @@ def read(spark, path: str) -> DataFrame:
     at = at.join(parts, "part").select("part", "seq", (F.col("start") + F.col("part_start")).alias("chunk_start"))
 
     def documents(batches):
+        takes_over("tokenbin", Encoder._loaded.clear)
         for pdf in batches:
             for part, seq, blob in zip(pdf["part"], pdf["seq"], pdf["blob"]):
                 keys, bounds, ids = unpack(blob)

@@ -4,10 +4,12 @@ import os
 import sys
 
 import numpy as np
+import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from memspark.llm import mixing, phrases, suffixdedup
+from memspark.llm import decontam, mixing, neardup, phrases, quality, suffixdedup, tokenbin
+from memspark.llm.queries import tokenizer_path
 
 
 def test_mixing_query_reads_the_stream(spark, monkeypatch):
@@ -61,3 +63,30 @@ def test_suffix_arrays_hold_a_shard(spark, monkeypatch):
         pickle.unregister_pickle_by_value(suffixdedup)
     assert got == want
     assert max(int(x) for x in open(here)) < 4000 + 4 * 1000
+
+
+def test_workers_remember_for_one_operator(spark):
+    """The stages of the pipeline run in the same Python workers one after another; a stage finds no memo of those before it."""
+    docs = spark.range(0, 400, 1, 8).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 30), x -> concat('w', id * 7 + x))) AS text")
+    items = spark.createDataFrame([(1, " ".join(f"w{x}" for x in range(20)))], "item_id long, text string")
+
+    def held(batches):
+        for _ in batches:
+            yield pd.DataFrame([(os.getpid(), len(tokenbin.Encoder._loaded), len(neardup._words), len(decontam._tokens))], columns=["pid", "a", "b", "c"])
+
+    def workers():
+        return {x["pid"]: (x["a"], x["b"], x["c"]) for x in spark.range(0, 8, 1, 8).mapInPandas(held, "pid long, a long, b long, c long").collect()}
+
+    def last(k, done):
+        found = workers().values()
+        assert any(x[k] for x in found) and all(sum(map(bool, x)) <= 1 for x in found), (done, found)
+
+    for done in (1, 2):
+        tokenbin.query(docs, tokenizer_path()).collect()
+        last(0, done)
+        neardup.query(docs).collect()
+        last(1, done)
+        decontam.clean(docs, items).collect()
+        last(2, done)
+    quality.query(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert any(not any(x) for x in workers().values())
