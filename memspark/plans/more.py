@@ -300,10 +300,9 @@ def _consolidation(spark, d) -> tuple[MemoryState, Config]:
     return MemoryState.empty(spark, memories=graph.written(episodes.withColumn("embedding", _axis(axis, 64)), "memories")), Config(dim=64)
 
 
-#: The first 500 episodes of a workspace in order; a fact of an axis is what the episode before it left.
+#: All episodes of a workspace in order; a fact of an axis is what the episode before it left.
 _CHAIN = """x AS (SELECT *, 'x-' || event_id AS xid, user_id % 64 AS axis, concat_ws(' | ', 'agent=' || agent, 'action=' || action, CASE WHEN outcome <> '' THEN 'outcome=' || outcome END) AS text FROM episodes),
-    p AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY workspace ORDER BY created_at, xid) <= 500),
-    l AS (SELECT *, lag(text) OVER w AS before FROM p WINDOW w AS (PARTITION BY workspace, axis ORDER BY created_at, xid)),
+    l AS (SELECT *, lag(text) OVER w AS before FROM x WINDOW w AS (PARTITION BY workspace, axis ORDER BY created_at, xid)),
     a AS (SELECT *, CASE WHEN before IS NULL THEN 'ADD' WHEN before = text THEN 'NOOP' ELSE 'UPDATE' END AS action_ FROM l),
     chain AS (SELECT xid, action_ AS action, CASE WHEN before IS NULL THEN 0 ELSE 1 END::BIGINT AS n_similar,
         CASE WHEN action_ = 'UPDATE' THEN last_value(CASE WHEN action_ <> 'NOOP' THEN xid END IGNORE NULLS) OVER (PARTITION BY workspace, axis ORDER BY created_at, xid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS replaces FROM a)"""
@@ -313,7 +312,7 @@ _CHAIN = """x AS (SELECT *, 'x-' || event_id AS xid, user_id % 64 AS axis, conca
 def consolidate_decisions(spark, d):
     """Decisions that depend on earlier ones: an UPDATE names the episode whose fact it replaces."""
     state, config = _consolidation(spark, d)
-    log = graph.written(folds.consolidation_log(state, config), "log")
+    log = folds.consolidation_log(state, config, cap=None)
     made = log.where("new_id is not null").select(F.col("new_id").alias("target_id"), F.col("episode_id").alias("replaces"))
     return log.join(made, "target_id", "left").select("episode_id", "action", F.col("n_similar").cast("long").alias("n_similar"), "replaces")
 

@@ -82,3 +82,9 @@ def test_consolidate_actions_reads_every_event(spark, tmp_path):
     spark.createDataFrame([(1, "some text", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["consolidate_actions"](spark, str(tmp_path))
     assert got.count() == 2600 and got.agg(F.max("place")).first()[0] > 500
+
+
+def test_decisions_of_every_event(spark, tmp_path):
+    events(spark, tmp_path)
+    same_as_sql(spark, tmp_path, "consolidate_decisions")
+    assert QUERIES["consolidate_decisions"](spark, str(tmp_path)).count() == 2600
