@@ -323,7 +323,7 @@ def consolidate_state(spark, d):
     from ..functions import meta
 
     state, config = _consolidation(spark, d)
-    after, _ = folds.consolidate(state, NOW, lambda c: hash_embed(c, 64), config)
+    after, _ = folds.consolidate(state, NOW, lambda c: hash_embed(c, 64), config, cap=None)
     return after.memories.groupBy("layer", meta.retired("metadata").alias("retired")).agg(F.count(F.lit(1)).alias("n"))
 
 

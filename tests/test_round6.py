@@ -88,3 +88,21 @@ def test_decisions_of_every_event(spark, tmp_path):
     events(spark, tmp_path)
     same_as_sql(spark, tmp_path, "consolidate_decisions")
     assert QUERIES["consolidate_decisions"](spark, str(tmp_path)).count() == 2600
+
+
+def test_state_after_every_event(spark, tmp_path):
+    events(spark, tmp_path)
+    same_as_sql(spark, tmp_path, "consolidate_state")
+
+
+def test_clone_keeps_nearest_summary(spark):
+    """Past the pass of 500: the live fact at the end of a chain of updates has the last summary that was told."""
+    r = [(f"x{k:03d}", L1, "w", "event", f"text {k}", f"told {k}" if k in (3, 590) else "", float(k)) for k in range(600)]
+    m = spark.createDataFrame(r, "id string, layer string, workspace string, type string, content string, summary string, created_at double")
+    from memspark.operators import layers
+
+    state = MemoryState.empty(spark, memories=layers.memory_rows(m, 50.0).withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")))
+    after, log = folds.consolidate(state, 50.0, lambda c: F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>"), Config(dim=2), cap=None)
+    live = after.memories.where("layer = 'L2_semantic' and embedding is not null").collect()
+    assert [(x["content"], x["summary"]) for x in live] == [("text 599", "told 590")]
+    assert {x["action"]: x["count"] for x in log.groupBy("action").count().collect()} == {"ADD": 1, "UPDATE": 599}
