@@ -106,3 +106,41 @@ def test_clone_keeps_nearest_summary(spark):
     live = after.memories.where("layer = 'L2_semantic' and embedding is not null").collect()
     assert [(x["content"], x["summary"]) for x in live] == [("text 599", "told 590")]
     assert {x["action"]: x["count"] for x in log.groupBy("action").count().collect()} == {"ADD": 1, "UPDATE": 599}
+
+
+def shop(spark, d, orders=301, parts=40, suppliers=60):
+    r = np.random.default_rng(8)
+    ok = [k for k in range(orders) if k % 7 != 3]
+    spark.createDataFrame([(k, int(r.integers(0, 30))) for k in ok], "o_orderkey long, o_custkey long").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(k,) for k in range(parts)], "p_partkey long").write.parquet(f"{d}/part.parquet")
+    spark.createDataFrame([(k,) for k in range(suppliers)], "s_suppkey long").write.parquet(f"{d}/supplier.parquet")
+    lines = [(k, j, int(r.integers(0, parts + 3)), float(r.integers(1, 51)), str(r.choice(["R", "N", "A"]))) for k in ok for j in range(3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_quantity double, l_returnflag string").write.parquet(f"{d}/lineitem.parquet")
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3])
+def test_walk_keeps_what_it_returns_only(spark, tmp_path, monkeypatch, hops):
+    """The walk equals its SQL at any depth; of the tables written on the way those are left that the result reads."""
+    from pathlib import Path
+
+    from memspark.operators import recall
+    from memspark.plans import extra, queries
+
+    shop(spark, tmp_path)
+    shared, real = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://").removeprefix("file:")), recall.expand
+    monkeypatch.setattr(recall, "expand", lambda state, anchors, _: real(state, anchors, hops))
+    monkeypatch.setitem(queries.ORACLE, "tier2_walk", extra._walk_sql(3, hops))
+    before = set(shared.iterdir())
+    same_as_sql(spark, tmp_path, "tier2_walk")
+    left = sorted(p.name.split("-")[0] for p in set(shared.iterdir()) - before)
+    assert left == ["expanded", "files", "paths"]
+
+
+def test_written_removes_its_shuffle(spark):
+    from memspark.operators import graph
+
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    held = tracker.shuffleStatuses().size()
+    t = graph.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "some")
+    assert t.count() == 7 and tracker.shuffleStatuses().size() <= held + 1  # count() leaves one of its own
+    graph.forget(t)
